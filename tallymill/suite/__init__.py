@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("privacy",)
+FAMILIES = ("privacy", "attempts", "cost")
 
 
 def _collect(attribute: str) -> dict:
