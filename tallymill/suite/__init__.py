@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("privacy", "attempts", "cost")
+FAMILIES = ("privacy", "attempts", "cost", "scoring")
 
 
 def _collect(attribute: str) -> dict:
