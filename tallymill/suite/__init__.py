@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("privacy", "attempts", "cost", "scoring")
+FAMILIES = ("privacy", "attempts", "cost", "scoring", "monitor", "versions")
 
 
 def _collect(attribute: str) -> dict:
