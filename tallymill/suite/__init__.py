@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("privacy", "attempts", "cost", "scoring", "monitor", "versions")
+FAMILIES = ("privacy", "attempts", "cost", "scoring", "monitor", "versions", "prompts", "state")
 
 
 def _collect(attribute: str) -> dict:
