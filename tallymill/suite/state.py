@@ -23,10 +23,11 @@ def state_table(spark, d):
 
 
 def state_upsert(spark, d):
-    """Three waves of writes, each giving a new snapshot."""
+    """Three waves of writes that arrive out of order, each giving a new snapshot."""
     snapshots = st.Snapshots(spark, fresh_path(spark, "state"))
     log = state_log(spark, d)
-    waves = [log.filter("updated_at % 3 = 0"), log.filter("updated_at % 3 = 1"), log.filter("updated_at % 3 = 2")]
+    waves = [log.filter("status = 'pending'"), log.filter("status = 'completed' AND input_hash < '8'"),
+             log.filter("status = 'completed' AND input_hash >= '8'")]
     for version, wave in enumerate(waves):
         result = st.upsert(snapshots, wave, ["id"], ["updated_at"], version)
     return result
