@@ -8,11 +8,11 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tallymill.functions.basic import zero
 from tallymill.functions.text import lines, strip
 
-ZERO = F.lit(0.0)
-
 # Patterns and penalties of the safety check, matched without regard to case.
 INJECTION = (r"<script[^>]*>", r"__import__\s*\(", r"eval\s*\(", r"exec\s*\(", r"subprocess\.", r"os\.system\s*\(")
 LEAKAGE = (r"\b\d{3}-\d{2}-\d{4}\b", r"\b\d{16}\b", r"password\s*[:=]\s*\S+")
@@ -35,14 +35,14 @@ LOWEST_BAND = "failing"
 
 
 def clamp(score: Column) -> Column:
-    return F.greatest(ZERO, F.least(F.lit(1.0), score))
+    return F.greatest(zero(), F.least(F.lit(1.0), score))
 
 
 def penalised(penalties: list[tuple[Column, float]]) -> Column:
     """1 minus every penalty whose condition holds, kept within [0, 1]."""
     score = F.lit(1.0)
     for condition, penalty in penalties:
-        score = score - F.when(condition, F.lit(penalty)).otherwise(ZERO)
+        score = score - F.when(condition, F.lit(penalty)).otherwise(zero())
     return clamp(score)
 
 
@@ -54,9 +54,9 @@ def weighted_score(scores: Column, weights: Mapping[str, float] | None = None) -
     def weight(name: Column) -> Column:
         return F.coalesce(F.try_element_at(table, name), F.lit(1.0)) if weights else F.lit(1.0)
 
-    total = F.aggregate(entries, ZERO, lambda acc, e: acc + e["value"] * weight(e["key"]))
-    weight_sum = F.aggregate(entries, ZERO, lambda acc, e: acc + weight(e["key"]))
-    return F.when(weight_sum > 0, total / weight_sum).otherwise(ZERO)
+    total = F.aggregate(entries, zero(), lambda acc, e: acc + e["value"] * weight(e["key"]))
+    weight_sum = F.aggregate(entries, zero(), lambda acc, e: acc + weight(e["key"]))
+    return F.when(weight_sum > 0, total / weight_sum).otherwise(zero())
 
 
 def band(score: Column) -> Column:
@@ -94,7 +94,7 @@ def _compiles(source: str | None) -> bool:
     return True
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _compiles_batch(sources: pd.Series) -> pd.Series:
     return sources.map(_compiles).astype(bool)
 
@@ -140,7 +140,7 @@ def completeness(input: Column, output: Column) -> Column:
     length_score = (F.when(proportion < 0.3, 0.3).when(proportion < 0.8, 0.7)
                     .when(proportion > 10.0, 0.8).otherwise(1.0))
     blank = (strip(input) == "") | (strip(output) == "")
-    return (F.when(blank, ZERO).when(F.size(asked) == 0, 0.5)
+    return (F.when(blank, zero()).when(F.size(asked) == 0, 0.5)
             .otherwise(F.lit(0.6) * covered + F.lit(0.4) * length_score))
 
 
@@ -165,7 +165,7 @@ def coherence(_input: Column, output: Column) -> Column:
         ((count > 5) & (repetition > 0.3), 0.3), (mean_words < 3, 0.2), (mean_words > 50, 0.1),
         (said_in_order(output, ["however", "therefore"]), 0.1),
         (said_in_order(output, ["but", "also", "but"]), 0.1)])
-    return F.when(count == 0, ZERO).when(F.length(strip(output)) < 20, 0.2).otherwise(score)
+    return F.when(count == 0, zero()).when(F.length(strip(output)) < 20, 0.2).otherwise(score)
 
 
 def substance(_input: Column, output: Column) -> Column:

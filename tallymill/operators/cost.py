@@ -7,14 +7,12 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymill.functions.basic import zero
 from tallymill.functions.money import (
     PRICING, Pricing, call_cost, completion_price, ratio)
 from tallymill.plans.ordered import OrderedRows, first_rows, global_number
 from tallymill.plans.skew import lookup_join
 
-ZERO = F.lit(0.0)
-
-
 def price_calls(calls: DataFrame, pricing: Pricing = PRICING) -> DataFrame:
     return calls.withColumn("cost", call_cost(
         F.col("model"), F.col("prompt_tokens"), F.col("completion_tokens"), pricing))
@@ -92,10 +90,10 @@ def value_metrics(items: DataFrame, priced: DataFrame, by: list[str]) -> DataFra
         F.count_if(F.col("status") == "success").alias("items_succeeded"),
         F.count_if(F.col("status") != "success").alias("items_failed"),
         F.sum("words").alias("words_processed"), F.sum("iterations").alias("total_iterations"),
-        F.coalesce(F.avg(F.when(F.col("score") > 0, F.col("score"))), ZERO).alias("avg_score"))
+        F.coalesce(F.avg(F.when(F.col("score") > 0, F.col("score"))), zero()).alias("avg_score"))
     spent = priced.groupBy(*by).agg(F.sum("cost").cast("double").alias("total_cost"))
     return (made.join(spent, by, "left").fillna(0.0, ["total_cost"])
-            .withColumn("cost_per_item", ratio(F.col("total_cost"), F.col("items_succeeded"), ZERO)))
+            .withColumn("cost_per_item", ratio(F.col("total_cost"), F.col("items_succeeded"), zero())))
 
 
 def estimated_cost(model: Column, tokens: Column, pricing: Pricing = PRICING) -> Column:
@@ -160,8 +158,8 @@ def mission_totals(report: DataFrame) -> DataFrame:
     """Dashboard figures over all missions of an ROI report."""
     totals = report.agg(F.sum("total_cost").cast("double").alias("total_cost"),
                         F.sum("items").alias("total_items"), F.sum("successes").alias("total_success"))
-    return (totals.withColumn("success_rate", ratio(F.col("total_success").cast("double"), F.col("total_items"), ZERO))
-            .withColumn("cost_per_success", ratio(F.col("total_cost"), F.col("total_success"), ZERO)))
+    return (totals.withColumn("success_rate", ratio(F.col("total_success").cast("double"), F.col("total_items"), zero()))
+            .withColumn("cost_per_success", ratio(F.col("total_cost"), F.col("total_success"), zero())))
 
 
 def roi_curve(priced: DataFrame, items: DataFrame, bucket_of_call: Column, bucket_of_item: Column,
@@ -177,7 +175,7 @@ def roi_curve(priced: DataFrame, items: DataFrame, bucket_of_call: Column, bucke
         "bucket", F.sum("cost").over(upto).cast("double").alias("cost"),
         F.coalesce(F.sum("items").over(upto), F.lit(0)).alias("items"),
         F.coalesce(F.sum("successes").over(upto), F.lit(0)).alias("successes"))
-    rate = ratio(F.col("successes").cast("double"), F.col("items"), ZERO)
+    rate = ratio(F.col("successes").cast("double"), F.col("items"), zero())
     return (running.withColumn("success_rate", rate).drop("successes")
             .orderBy(F.desc("bucket")).limit(points))
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymill.functions.basic import zero
 from tallymill.functions.money import ratio
 from tallymill.functions.text import short_hash
 from tallymill.plans.ordered import first_rows
 from tallymill.plans.skew import lookup_join
 
-ZERO = F.lit(0.0)
 GOLDEN = 5
 PREVIEW = 200
 
@@ -27,8 +27,8 @@ def run_stats(traces: DataFrame, by: list[str]) -> DataFrame:
         F.count("*").alias("total"), F.count_if(F.col("success") == 1).alias("_good"),
         F.sum("iterations").alias("_iterations"))
     return counted.select(
-        *by, "total", F.round(ratio(F.col("_good").cast("double"), F.col("total"), ZERO), 4).alias("success_rate"),
-        F.round(ratio(F.col("_iterations").cast("double"), F.col("total"), ZERO), 2).alias("average_retries"))
+        *by, "total", F.round(ratio(F.col("_good").cast("double"), F.col("total"), zero()), 4).alias("success_rate"),
+        F.round(ratio(F.col("_iterations").cast("double"), F.col("total"), zero()), 2).alias("average_retries"))
 
 
 def skill_id(prompt: Column, prefix: str = "SKILL-") -> Column:

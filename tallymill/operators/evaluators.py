@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.functions.scoring import ZERO, band, bar, clamp, two_places
+from tallymill.functions.basic import no_scores, zero
+from tallymill.functions.scoring import band, bar, clamp, two_places
 
 NEUTRAL = 0.5
 
@@ -25,10 +26,10 @@ class Dimension:
 
 def _mean(dimensions: list[Dimension], score_of: Callable[[str], Column]) -> Column:
     if not dimensions:
-        return ZERO
+        return zero()
     total = sum(d.weight for d in dimensions)
     weights = {d.name: d.weight for d in dimensions} if total > 0 else {d.name: 1.0 for d in dimensions}
-    weighted = ZERO
+    weighted = zero()
     for name, weight in weights.items():
         weighted = weighted + score_of(name) * F.lit(float(weight))
     return weighted / F.lit(float(sum(weights.values())))
@@ -47,11 +48,11 @@ def judge(df: DataFrame, dimensions: list[Dimension], threshold: float = 0.7, in
     columns = {}
     for d in dimensions:
         score = F.lit(NEUTRAL) if d.evaluator is None else d.evaluator(F.col(input), F.col(output))
-        columns[f"_d_{d.name}"] = clamp(F.coalesce(score, ZERO))
+        columns[f"_d_{d.name}"] = clamp(F.coalesce(score, zero()))
     scored = df.withColumns(columns) if columns else df
     weighted = _mean(dimensions, lambda name: F.col(f"_d_{name}"))
     scores = (F.create_map(*[c for n in names for c in (F.lit(n), F.col(f"_d_{n}"))]) if names
-              else F.create_map().cast("map<string,double>"))
+              else no_scores())
     return (scored.withColumn("_weighted", weighted)
             .withColumns({"scores": scores, "weighted_score": F.round("_weighted", 4),
                           "passed": (F.col("_weighted") >= threshold) if names else F.lit(False)})

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymill.functions.basic import zero
 from tallymill.functions.money import ratio
 from tallymill.functions.text import short_hash
 from tallymill.functions.vectors import cosine
 from tallymill.plans.ordered import OrderedRows, first_rows
 from tallymill.plans.skew import lookup_join
 
-ZERO = F.lit(0.0)
-
-
 def sample_size(rows: int, *, share: float | None = None, count: int | None = None) -> int:
     if (share is None) == (count is None):
         raise ValueError("give either share or count")
@@ -80,17 +78,17 @@ def sampling_report(traces: DataFrame, spending: DataFrame, by: list[str]) -> Da
     good = (F.col("success") == 1) & (F.col("iterations") > 0)
     seen = traces.groupBy(*by).agg(
         F.count("*").alias("sample_count"), F.count_if(F.col("success") == 1).alias("success_count"),
-        F.coalesce(F.avg(F.when(good, F.col("last_score"))), ZERO).alias("mean_score"),
-        F.coalesce(F.avg(F.when(good, F.col("iterations"))), ZERO).alias("mean_retries"))
+        F.coalesce(F.avg(F.when(good, F.col("last_score"))), zero()).alias("mean_score"),
+        F.coalesce(F.avg(F.when(good, F.col("iterations"))), zero()).alias("mean_retries"))
     return (seen.join(spending.select(*by, "total_count", "sampling_cost"), by, "left")
             .withColumns({"total_count": F.coalesce("total_count", F.lit(0)).cast("bigint"),
-                          "sampling_cost": F.coalesce(F.col("sampling_cost").cast("double"), ZERO)})
-            .withColumn("success_rate", ratio(F.col("success_count").cast("double"), F.col("sample_count"), ZERO))
-            .withColumn("cost_per_sample", ratio(F.col("sampling_cost"), F.col("sample_count"), ZERO))
+                          "sampling_cost": F.coalesce(F.col("sampling_cost").cast("double"), zero())})
+            .withColumn("success_rate", ratio(F.col("success_count").cast("double"), F.col("sample_count"), zero()))
+            .withColumn("cost_per_sample", ratio(F.col("sampling_cost"), F.col("sample_count"), zero()))
             .withColumn("estimated_cost", F.when(F.col("total_count") > 0, F.col("cost_per_sample") * F.col("total_count"))
-                        .otherwise(ZERO))
+                        .otherwise(zero()))
             .withColumn("estimated_success", (F.col("total_count") * F.col("success_rate")).cast("bigint"))
-            .withColumn("cost_per_success", ratio(F.col("estimated_cost"), F.col("estimated_success"), ZERO)))
+            .withColumn("cost_per_success", ratio(F.col("estimated_cost"), F.col("estimated_success"), zero())))
 
 
 def sampling_previews(traces: DataFrame, by: list[str], order: str, n: int = 3) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymill.functions.basic import no_scores, zero
 from tallymill.functions import jsons
-from tallymill.functions.scoring import ZERO, clamp, weighted_score
+from tallymill.functions.scoring import clamp, weighted_score
 
 MAX_PATTERN = 500
 PROGRAMMATIC = ("regex", "json", "expression")
@@ -70,7 +71,7 @@ def apply_rules(df: DataFrame, rules: list[Rule], output: str = "output") -> Dat
     checks = {f"_r{i}": rule_passed(spark, rule, output) for i, rule in enumerate(rules)}
     if not checks:
         return df.withColumns({"rules_passed": F.lit(True),
-                               "rule_scores": F.create_map().cast("map<string,double>")})
+                               "rule_scores": no_scores()})
     keyed = {rule.key: F.col(c).cast("double") for rule, c in zip(rules, checks)}
     passed = F.lit(True)
     for c in checks:
@@ -117,19 +118,19 @@ def parse_reports(df: DataFrame, report: str = "report", prompt_tokens: str = "p
         return F.try_variant_get("_v", path, kind)
 
     given = read("$.score", "variant")
-    number = F.when(given.isNull(), ZERO).otherwise(read("$.score", "double"))
+    number = F.when(given.isNull(), zero()).otherwise(read("$.score", "double"))
     is_map = read("$.scores", "map<string,variant>").isNotNull()
     marks = F.when(is_map, read("$.scores", "map<string,double>")).otherwise(
-        F.create_map().cast("map<string,double>"))
+        no_scores())
     readable = F.col("_ok") & F.col("_v").isNotNull() & F.col("_score").isNotNull() & F.col("_scores").isNotNull()
     no_text = F.array().cast("array<string>")
     return (parsed.withColumns({"_score": number, "_scores": marks}).withColumn("_ok", readable)
             .select(*df.columns,
                     F.when(F.col("_ok"), F.coalesce(read("$.passed", "boolean"), F.lit(False)))
                     .otherwise(F.lit(False)).alias("passed"),
-                    F.when(F.col("_ok"), clamp(F.col("_score"))).otherwise(ZERO).alias("score"),
+                    F.when(F.col("_ok"), clamp(F.col("_score"))).otherwise(zero()).alias("score"),
                     F.when(F.col("_ok"), F.transform_values("_scores", lambda k, v: clamp(v)))
-                    .otherwise(F.create_map().cast("map<string,double>")).alias("scores"),
+                    .otherwise(no_scores()).alias("scores"),
                     F.when(F.col("_ok"), F.nullif(read("$.critique", "string"), F.lit("")))
                     .otherwise(F.lit(BAD_REPORT)).alias("critique"),
                     F.when(F.col("_ok"), F.coalesce(read("$.suggestions", "array<string>"), no_text))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallymill.functions import scoring as sc
+from tallymill.functions.basic import no_scores
 from tallymill.operators import evaluators as ev
 from tallymill.operators import rules as ru
 from tallymill.operators.rules import Rule
@@ -70,7 +71,7 @@ def weighted_scores(spark, d):
 
 def min_score_gate(spark, d):
     rows = views.attempts(spark, d)
-    m = F.when(F.col("ord") % 10 == 0, F.create_map().cast("map<string,double>")).otherwise(
+    m = F.when(F.col("ord") % 10 == 0, no_scores()).otherwise(
         F.create_map(F.lit("score"), F.col("score")))
     gated = ru.min_score_gate(rows.withColumn("scores", m), F.col("scores"), 0.7)
     return gated.select("ord", "passed", "weighted")

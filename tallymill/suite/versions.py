@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tallymill.functions.basic import no_scores
 from tallymill.operators import distill, versions as ve
 from tallymill.operators.evaluators import Dimension, judge
 from tallymill.functions import scoring as sc
@@ -10,14 +11,12 @@ from tallymill.suite import views
 from tallymill.suite.scoring import COMPLETE
 from tallymill.suite.views import ATTEMPTS, TRACES
 
-NO_STATS = F.create_map().cast("map<string,double>")
-
 
 def version_log(spark, d):
     """Region by region, every nation name is one more version of the region's prompt."""
     changes = load(spark, d, "nation").select(
         F.col("n_regionkey").alias("node_id"), F.col("n_nationkey").alias("at"), F.col("n_name").alias("template"),
-        F.concat(F.lit("add "), "n_name").alias("change_log"), NO_STATS.alias("stats"))
+        F.concat(F.lit("add "), "n_name").alias("change_log"), no_scores().alias("stats"))
     return ve.append_versions(None, changes, "at")
 
 
@@ -26,7 +25,7 @@ def append_versions(spark, d):
     segments = load(spark, d, "customer").join(F.broadcast(load(spark, d, "nation")), F.expr("c_nationkey = n_nationkey"))
     changes = (segments.groupBy(F.col("n_regionkey").alias("node_id"), F.col("c_mktsegment").alias("template"))
                .agg(F.min("c_custkey").alias("at"))
-               .withColumns({"change_log": F.lit("segment"), "stats": NO_STATS}))
+               .withColumns({"change_log": F.lit("segment"), "stats": no_scores()}))
     log = version_log(spark, d)
     return log.unionByName(ve.append_versions(log, changes, "at")).drop("stats")
 
