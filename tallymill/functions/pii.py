@@ -39,14 +39,36 @@ def resolve_labels(labels: Iterable[str] | None) -> list[str]:
     return [label for label in _TRY_ORDER if label in wanted]
 
 
+# An address can only start where its run of allowed characters starts, or where the match before
+# ended: from any later character the earlier start would have matched too. Saying so keeps the
+# search linear on long runs without an "@".
+_STARTS = {"EMAIL": r"(?:\G|(?<![a-zA-Z0-9_.+\-]))"}
+
+# What every match of a label contains, as a cheap test: a literal, or a short pattern.
+_NEEDS = {"EMAIL": "@", "API_KEY": "sk-"}
+_NEEDS_DIGITS = {"ID_CARD": r"\d{11}", "PHONE": r"\d{11}", "IP_ADDR": r"\d\.\d"}
+
+
 def pattern(labels: Iterable[str] | None = None) -> str:
     """One alternation over the chosen labels; ``(?U)`` makes digits and word edges Unicode-aware."""
-    return "(?U)" + "|".join(PATTERNS[label] for label in resolve_labels(labels))
+    return "(?U)" + "|".join(_STARTS.get(label, "") + PATTERNS[label] for label in resolve_labels(labels))
+
+
+def may_hold(text: Column, labels: Iterable[str] | None = None) -> Column:
+    """False only for texts that certainly hold no match; most texts need no more than this."""
+    wanted = resolve_labels(labels)
+    test = F.lit(False)
+    for label in wanted:
+        if label in _NEEDS:
+            test = test | F.contains(text, F.lit(_NEEDS[label]))
+    digits = sorted({_NEEDS_DIGITS[label] for label in wanted if label in _NEEDS_DIGITS})
+    return test | F.rlike(text, F.lit("(?U)" + "|".join(digits))) if digits else test
 
 
 def matches(text: Column, labels: Iterable[str] | None = None) -> Column:
     """All non-overlapping values, left to right."""
-    return F.regexp_extract_all(text, F.lit(pattern(labels)), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(pattern(labels)), F.lit(0))
+    return F.when(may_hold(text, labels), found).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def pieces(text: Column, labels: Iterable[str] | None = None) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymill.functions.basic import zero
-from tallymill.functions.text import lines, strip
+from tallymill.functions.text import folded, let, lines, may_contain, strip
 
 # Patterns and penalties of the safety check, matched without regard to case.
 INJECTION = (r"<script[^>]*>", r"__import__\s*\(", r"eval\s*\(", r"exec\s*\(", r"subprocess\.", r"os\.system\s*\(")
@@ -19,6 +19,13 @@ LEAKAGE = (r"\b\d{3}-\d{2}-\d{4}\b", r"\b\d{16}\b", r"password\s*[:=]\s*\S+")
 HARMFUL = (r"\b(hack|exploit|bypass)\s+(auth|security|login)\b", r"\b(drop\s+table|delete\s+from|truncate)\b")
 SAFETY_PENALTIES = ((INJECTION, 0.3), (LEAKAGE, 0.2), (HARMFUL, 0.2))
 
+# Words of which a text must hold one for the pattern to match at all.
+_NEEDED = {
+    INJECTION[0]: ("<script",), INJECTION[1]: ("__import__",), INJECTION[2]: ("eval",), INJECTION[3]: ("exec",),
+    INJECTION[4]: ("subprocess.",), INJECTION[5]: ("os.system",), LEAKAGE[2]: ("password",),
+    HARMFUL[0]: ("hack", "exploit", "bypass"), HARMFUL[1]: ("drop", "delete", "truncate"),
+}
+
 # Patterns and penalties of the code check.
 CODE_SMELLS = ((r"except\s*:", 0.15), (r"import\s+\*", 0.1), (r"global\s+", 0.1))
 
@@ -38,11 +45,11 @@ def clamp(score: Column) -> Column:
     return F.greatest(zero(), F.least(F.lit(1.0), score))
 
 
-def penalised(penalties: list[tuple[Column, float]]) -> Column:
+def penalised(penalties: list[tuple[Column, float | Column]]) -> Column:
     """1 minus every penalty whose condition holds, kept within [0, 1]."""
     score = F.lit(1.0)
     for condition, penalty in penalties:
-        score = score - F.when(condition, F.lit(penalty)).otherwise(zero())
+        score = score - F.when(condition, penalty).otherwise(0.0)
     return clamp(score)
 
 
@@ -78,8 +85,15 @@ def bar(score: Column, width: int = 20) -> Column:
 
 def safety(_input: Column, output: Column) -> Column:
     """Injection, leaked secrets and harmful phrases."""
-    return penalised([(F.rlike(output, F.lit("(?iU)" + p)), penalty)
-                      for group, penalty in SAFETY_PENALTIES for p in group])
+    def penalties(fold: Column) -> list[tuple[Column, float]]:
+        checks = []
+        for group, penalty in SAFETY_PENALTIES:
+            for p in group:
+                match = F.rlike(output, F.lit("(?iU)" + p))
+                checks.append((may_contain(fold, _NEEDED[p]) & match if p in _NEEDED else match, penalty))
+        return checks
+
+    return let(folded(output), lambda fold: penalised(penalties(fold)))
 
 
 def _compiles(source: str | None) -> bool:
@@ -144,28 +158,37 @@ def completeness(input: Column, output: Column) -> Column:
             .otherwise(F.lit(0.6) * covered + F.lit(0.4) * length_score))
 
 
-def said_in_order(text: Column, words: list[str]) -> Column:
+def said_in_order(text: Column, fold: Column, words: list[str]) -> Column:
     """Whether the words occur one after the other. Looks behind the first occurrence of each word
     in turn, so the text is read once however often the words occur."""
     rest = text
     for word in words[:-1]:
         rest = F.get(F.split(rest, rf"(?iU)\b{word}\b", 2), F.lit(1))
-    return F.coalesce(F.rlike(rest, F.lit(rf"(?iU)\b{words[-1]}\b")), F.lit(False))
+    ordered = F.coalesce(F.rlike(rest, F.lit(rf"(?iU)\b{words[-1]}\b")), F.lit(False))
+    for word in dict.fromkeys(words):
+        ordered = may_contain(fold, (word,)) & ordered
+    return ordered
 
 
 def coherence(_input: Column, output: Column) -> Column:
     """Repeated lines, lines too short or too long, and contradicting connectives."""
+    def over(seen: Column) -> Column:
+        kept, fold = seen["kept"], seen["fold"]
+        count = F.size(kept)
+        repetition = F.lit(1.0) - F.size(F.array_distinct(kept)) / count
+        long_lines = F.filter(kept, lambda line: F.length(line) > 5)
+        # Lines are stripped and not blank, so joined by a break they split into just their words.
+        mean_words = let(long_lines, lambda ls: F.when(
+            F.size(ls) > 0, F.size(F.split(F.array_join(ls, "\n"), r"(?U)\s+")) / F.size(ls)))
+        lengths = let(mean_words, lambda m: F.when(m < 3, 0.2).when(m > 50, 0.1).otherwise(0.0))
+        score = penalised([
+            ((count > 5) & (repetition > 0.3), 0.3), (F.lit(True), lengths),
+            (said_in_order(output, fold, ["however", "therefore"]), 0.1),
+            (said_in_order(output, fold, ["but", "also", "but"]), 0.1)])
+        return F.when(count == 0, zero()).when(F.length(strip(output)) < 20, 0.2).otherwise(score)
+
     kept = F.filter(F.transform(lines(output), strip), lambda line: line != "")
-    count = F.size(kept)
-    repetition = F.lit(1.0) - F.size(F.array_distinct(kept)) / count
-    long_lines = F.filter(kept, lambda line: F.length(line) > 5)
-    words = F.aggregate(long_lines, F.lit(0), lambda acc, line: acc + F.size(F.split(line, r"(?U)\s+")))
-    mean_words = F.when(F.size(long_lines) > 0, words / F.size(long_lines))
-    score = penalised([
-        ((count > 5) & (repetition > 0.3), 0.3), (mean_words < 3, 0.2), (mean_words > 50, 0.1),
-        (said_in_order(output, ["however", "therefore"]), 0.1),
-        (said_in_order(output, ["but", "also", "but"]), 0.1)])
-    return F.when(count == 0, zero()).when(F.length(strip(output)) < 20, 0.2).otherwise(score)
+    return let(F.struct(kept.alias("kept"), folded(output).alias("fold")), over)
 
 
 def substance(_input: Column, output: Column) -> Column:

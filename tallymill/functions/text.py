@@ -2,15 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
+# The characters that count as white space.
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+               "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def strip(text: Column) -> Column:
     """Without leading and trailing white space of any kind (``trim`` only knows the blank)."""
-    return F.regexp_replace(text, _EDGE_SPACE, "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+# Characters beyond ASCII that equal an ASCII letter when case is ignored: long s, dotless i,
+# dotted capital i, Kelvin sign.
+_FOLDING = ("\u017f", "\u0131", "\u0130", "\u212a")
+
+
+def folded(text: Column) -> Column:
+    """What ``may_contain`` asks about a text: its lower-case form, and whether that form might hide
+    a letter."""
+    odd = F.lit(False)
+    for letter in _FOLDING:
+        odd = odd | F.contains(text, F.lit(letter))
+    return F.struct(F.lower(text).alias("lower"), odd.alias("odd"))
+
+
+def may_contain(fold: Column, words: tuple[str, ...]) -> Column:
+    """False only if a text certainly holds none of the lower-case words in any case. A plain search
+    that saves the regular expression on most rows."""
+    hit = fold["odd"]
+    for word in words:
+        hit = hit | F.contains(fold["lower"], F.lit(word))
+    return hit
 
 
 def short_hash(text: Column, length: int = 16) -> Column:

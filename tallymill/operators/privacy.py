@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallymill.functions import pii, text as tx
 from tallymill.plans.ordered import global_number
 from tallymill.plans.skew import lookup_join
+from tallymill.session import checkpointed
 
 Labels = Iterable[str] | None
 
@@ -63,11 +64,11 @@ def vault_rows(masked: DataFrame, scope: str) -> DataFrame:
                     "original_value"))
 
 
-def corpus_vault(df: DataFrame, key: str, order: str, text: str = "text", labels: Labels = None,
-                 prefix: str = pii.DEFAULT_PREFIX, start: int = 0) -> DataFrame:
-    """One vault for all rows: distinct values numbered in the order a row-by-row run meets them
-    (rows by ``order``, inside a row from the last value backwards), continuing after ``start``."""
-    found = df.select(order, F.posexplode(pii.matches(F.col(text), labels)).alias("pos", "value"))
+def _positions(df: DataFrame, columns: list[str], text: str, labels: Labels) -> DataFrame:
+    return df.select(*columns, F.posexplode(pii.matches(F.col(text), labels)).alias("pos", "value"))
+
+
+def _numbered_vault(found: DataFrame, order: str, prefix: str, start: int) -> DataFrame:
     first = (found.groupBy("value")
              .agg(F.min(F.struct(F.col(order).alias("at"), (-F.col("pos")).alias("back"))).alias("first"))
              .select("value", "first.at", "first.back"))
@@ -78,13 +79,16 @@ def corpus_vault(df: DataFrame, key: str, order: str, text: str = "text", labels
         label.alias("label"), F.col("value").alias("original_value"))
 
 
-def mask_with_vault(df: DataFrame, vault: DataFrame, key: str, text: str = "text", labels: Labels = None,
-                    into: str = "masked") -> DataFrame:
-    """Mask with a given vault. ``key`` must identify a row."""
-    found = df.select(key, F.posexplode(pii.matches(F.col(text), labels)).alias("pos", "value"))
+def corpus_vault(df: DataFrame, order: str, text: str = "text", labels: Labels = None,
+                 prefix: str = pii.DEFAULT_PREFIX, start: int = 0) -> DataFrame:
+    """One vault for all rows: distinct values numbered in the order a row-by-row run meets them
+    (rows by ``order``, inside a row from the last value backwards), continuing after ``start``."""
+    return _numbered_vault(_positions(df, [order], text, labels), order, prefix, start)
+
+
+def _fill(df: DataFrame, found: DataFrame, vault: DataFrame, key: str, text: str, labels: Labels, into: str) -> DataFrame:
     names = vault.select(F.col("original_value").alias("value"), "placeholder")
-    replaced = lookup_join(found, names, ["value"], "inner")
-    fillers = (replaced.groupBy(key)
+    fillers = (lookup_join(found, names, ["value"], "inner").groupBy(key)
                .agg(F.sort_array(F.collect_list(F.struct("pos", "placeholder"))).alias("_fillers")))
     masked = tx.interleave(pii.pieces(F.col(text), labels), F.col("_fillers.placeholder"))
     return (df.join(fillers, key, "left")
@@ -92,11 +96,22 @@ def mask_with_vault(df: DataFrame, vault: DataFrame, key: str, text: str = "text
             .drop("_fillers"))
 
 
+def mask_with_vault(df: DataFrame, vault: DataFrame, key: str, text: str = "text", labels: Labels = None,
+                    into: str = "masked") -> DataFrame:
+    """Mask with a given vault that knows all values. ``key`` must identify a row."""
+    return _fill(df, _positions(df, [key], text, labels), vault, key, text, labels, into)
+
+
 def mask_corpus(df: DataFrame, key: str, order: str, text: str = "text", labels: Labels = None,
                 prefix: str = pii.DEFAULT_PREFIX) -> tuple[DataFrame, DataFrame]:
-    """Reversible mask with one vault for the whole corpus. Returns (masked rows, vault)."""
-    vault = corpus_vault(df, key, order, text, labels, prefix)
-    return mask_with_vault(df, vault, key, text, labels), vault
+    """Reversible mask with one vault for the whole corpus. Returns (masked rows, vault).
+
+    The texts are searched once: the values found, a small table next to the texts, are stored and
+    serve both the numbering and the replacement.
+    """
+    found = checkpointed(_positions(df, list(dict.fromkeys([key, order])), text, labels))
+    vault = checkpointed(_numbered_vault(found, order, prefix, 0))
+    return _fill(df, found.select(key, "pos", "value"), vault, key, text, labels, "masked"), vault
 
 
 def unmask_row(df: DataFrame, text: str = "masked", vault: str = "vault", prefix: str = pii.DEFAULT_PREFIX,

@@ -36,6 +36,19 @@ def load(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+SPREAD_FACTOR = 8
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A scan with fewer splits than cores, cut finer by a unique key before heavy work on its texts.
+
+    A table of many files is returned as it is: texts are never shuffled where the scan alone keeps
+    the cores busy.
+    """
+    splits, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    return df if splits >= cores else df.repartition(min(cores, max(1, splits) * SPREAD_FACTOR), key)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from tallymill.operators import privacy
-from tallymill.session import load
+from tallymill.session import checkpointed
+from tallymill.suite import views
 
 ALT = (r"[a-zA-Z0-9_.+\-]+@[a-zA-Z0-9\-]+\.[a-zA-Z0-9.\-]+|\b[0-9]{17}[0-9Xx]\b|sk-[a-zA-Z0-9]{20,}"
        r"|\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b|(?:\+?86)?1[3-9][0-9]{9}")
@@ -41,32 +42,32 @@ FOUND = f"found AS ({found_sql('documents', 'doc_id', 'text')})"
 
 
 def pii_scan(spark, d):
-    return privacy.scan(load(spark, d, "documents"), "doc_id")
+    return privacy.scan(views.documents(spark, d), "doc_id")
 
 
 def pii_scan_pages(spark, d):
-    return privacy.scan(load(spark, d, "pages"), "page_id", "html")
+    return privacy.scan(views.pages(spark, d), "page_id", "html")
 
 
 def pii_census(spark, d):
-    return privacy.census(load(spark, d, "documents"), "doc_id", ["source", "lang"])
+    return privacy.census(views.documents(spark, d, "source", "lang"), "doc_id", ["source", "lang"])
 
 
 def mask_rows(spark, d):
-    return privacy.mask(load(spark, d, "documents").select("doc_id", "text")).select("doc_id", "masked")
+    return privacy.mask(views.documents(spark, d)).select("doc_id", "masked")
 
 
 def mask_corpus(spark, d):
-    masked, _ = privacy.mask_corpus(load(spark, d, "documents").select("doc_id", "text"), "doc_id", "doc_id")
+    masked, _ = privacy.mask_corpus(views.documents(spark, d), "doc_id", "doc_id")
     return masked.select("doc_id", "masked")
 
 
 def corpus_vault(spark, d):
-    return privacy.corpus_vault(load(spark, d, "documents"), "doc_id", "doc_id")
+    return privacy.corpus_vault(views.documents(spark, d), "doc_id")
 
 
 def vault_table(spark, d):
-    return privacy.vault_rows(privacy.mask(load(spark, d, "documents").select("doc_id", "text")), "doc_id")
+    return privacy.vault_rows(privacy.mask(views.documents(spark, d)), "doc_id")
 
 
 def vault_stats(spark, d):
@@ -74,20 +75,20 @@ def vault_stats(spark, d):
 
 
 def unmask_from_vault(spark, d):
-    masked = privacy.mask(load(spark, d, "documents").select("doc_id", "text"))
+    masked = checkpointed(privacy.mask(views.documents(spark, d)))
     vault = privacy.vault_rows(masked, "doc_id").withColumnRenamed("scope_id", "doc_id")
     back = privacy.unmask(masked.select("doc_id", "text", "masked"), vault, "doc_id", ["doc_id"])
     return back.select("doc_id", "restored", (F.col("restored") == F.col("text")).alias("same"))
 
 
 def unmask_rows(spark, d):
-    back = privacy.unmask_row(privacy.mask(load(spark, d, "documents").select("doc_id", "text")))
+    back = privacy.unmask_row(privacy.mask(views.documents(spark, d)))
     return back.select("doc_id", F.sha2("restored", 256).alias("restored_hash"))
 
 
 def leak_audit(spark, d):
     """Leaks per field, over the raw and the masked text; masked texts must have none."""
-    masked = privacy.mask(load(spark, d, "documents").select("doc_id", "text"))
+    masked = privacy.mask(views.documents(spark, d))
     found = privacy.leaks(masked, "doc_id", ["text", "masked"])
     return found.groupBy("field", "label").agg(F.count("*").alias("n_values"),
                                                F.count_distinct("doc_id").alias("n_rows"))
@@ -95,7 +96,7 @@ def leak_audit(spark, d):
 
 def mask_custom_patterns(spark, d):
     rules = {"WORD_PAIR": r"[A-Z][a-z]+ [a-z]+", "CAPITAL": r"[A-Z][a-z]{5,}", "NUMBER": r"[0-9]+"}
-    return (privacy.mask_custom(load(spark, d, "documents").select("doc_id", "text"), rules)
+    return (privacy.mask_custom(views.documents(spark, d), rules)
             .select("doc_id", "masked"))
 
 

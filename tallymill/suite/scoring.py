@@ -50,7 +50,7 @@ def rule_outcome(spark, d):
 
 
 def rule_report(spark, d):
-    docs = load(spark, d, "documents").select("lang", F.col("text").alias("output"))
+    docs = views.documents(spark, d, "lang").withColumnRenamed("text", "output")
     rules = [Rule("regex", "[0-9]", name="digit"), Rule("regex", "^[A-Z]", name="capital"),
              Rule("expression", "length(output) >= 400", name="long_enough")]
     return ru.rule_report(ru.apply_rules(docs, rules), ["lang"])
@@ -107,7 +107,7 @@ def consensus_votes(spark, d):
 
 
 def _documents_scored(spark, d, evaluator, name):
-    docs = load(spark, d, "documents")
+    docs = views.documents(spark, d)
     return docs.select("doc_id", evaluator(F.lit(""), F.col("text")).alias(name))
 
 
@@ -116,8 +116,8 @@ def safety_scores(spark, d):
 
 
 def code_style_scores(spark, d):
-    pages = load(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
-    docs = load(spark, d, "documents").select("doc_id", "text")
+    pages = views.pages(spark, d).toDF("doc_id", "text")
+    docs = views.documents(spark, d)
     both = docs.withColumn("kind", F.lit("document")).unionByName(pages.withColumn("kind", F.lit("page")))
     return both.select("kind", "doc_id", sc.code_style(F.lit(""), F.col("text")).alias("style"))
 
@@ -164,7 +164,7 @@ def score_bars(spark, d):
 
 
 def _judged_documents(spark, d):
-    docs = load(spark, d, "documents").select("lang", "source", F.lit("").alias("input"), F.col("text").alias("output"))
+    docs = views.documents(spark, d, "lang").withColumn("input", F.lit("")).withColumnRenamed("text", "output")
     return ev.judge(docs, [ev.Dimension("safety", 1.0, sc.safety), ev.Dimension("substance", 1.0, sc.substance)])
 
 

@@ -4,7 +4,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.plans.ordered import OrderedRows
-from tallymill.session import load
+from tallymill.session import load, spread
+
+
+def documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Documents, fit for heavy work per text: id, the named columns and the text."""
+    return spread(load(spark, d, "documents").select("doc_id", *columns, "text"), "doc_id")
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    return spread(load(spark, d, "pages").select("page_id", "html"), "page_id")
 
 
 def calls(spark: SparkSession, d: str) -> DataFrame:
