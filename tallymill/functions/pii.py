@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallymill.functions.text import unicode_pattern
+
 # Detection patterns, by label.
 PATTERNS = {
     "EMAIL": r"[a-zA-Z0-9_.+\-]+@[a-zA-Z0-9\-]+\.[a-zA-Z0-9.\-]+",
@@ -46,12 +48,12 @@ _STARTS = {"EMAIL": r"(?:\G|(?<![a-zA-Z0-9_.+\-]))"}
 
 # What every match of a label contains, as a cheap test: a literal, or a short pattern.
 _NEEDS = {"EMAIL": "@", "API_KEY": "sk-"}
-_NEEDS_DIGITS = {"ID_CARD": r"\d{11}", "PHONE": r"\d{11}", "IP_ADDR": r"\d\.\d"}
+_NEEDS_DIGITS = {"ID_CARD": r"\p{Nd}{11}", "PHONE": r"\p{Nd}{11}", "IP_ADDR": r"\p{Nd}\.\p{Nd}"}
 
 
 def pattern(labels: Iterable[str] | None = None) -> str:
-    """One alternation over the chosen labels; ``(?U)`` makes digits and word edges Unicode-aware."""
-    return "(?U)" + "|".join(_STARTS.get(label, "") + PATTERNS[label] for label in resolve_labels(labels))
+    """One alternation over the chosen labels."""
+    return "|".join(_STARTS.get(label, "") + unicode_pattern(PATTERNS[label]) for label in resolve_labels(labels))
 
 
 def may_hold(text: Column, labels: Iterable[str] | None = None) -> Column:
@@ -62,7 +64,7 @@ def may_hold(text: Column, labels: Iterable[str] | None = None) -> Column:
         if label in _NEEDS:
             test = test | F.contains(text, F.lit(_NEEDS[label]))
     digits = sorted({_NEEDS_DIGITS[label] for label in wanted if label in _NEEDS_DIGITS})
-    return test | F.rlike(text, F.lit("(?U)" + "|".join(digits))) if digits else test
+    return test | F.rlike(text, F.lit("|".join(digits))) if digits else test
 
 
 def matches(text: Column, labels: Iterable[str] | None = None) -> Column:

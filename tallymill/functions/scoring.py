@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymill.functions.basic import zero
-from tallymill.functions.text import folded, let, lines, may_contain, strip
+from tallymill.functions.text import SPACE, folded, let, lines, may_contain, strip, unicode_pattern
 
 # Patterns and penalties of the safety check, matched without regard to case.
 INJECTION = (r"<script[^>]*>", r"__import__\s*\(", r"eval\s*\(", r"exec\s*\(", r"subprocess\.", r"os\.system\s*\(")
@@ -89,7 +89,7 @@ def safety(_input: Column, output: Column) -> Column:
         checks = []
         for group, penalty in SAFETY_PENALTIES:
             for p in group:
-                match = F.rlike(output, F.lit("(?iU)" + p))
+                match = F.rlike(output, F.lit("(?iu)" + unicode_pattern(p)))
                 checks.append((may_contain(fold, _NEEDED[p]) & match if p in _NEEDED else match, penalty))
         return checks
 
@@ -121,11 +121,11 @@ def bad_python(output: Column) -> Column:
 
 def _code_penalties(output: Column) -> tuple[list, list]:
     rows = lines(strip(output))
-    deep = F.size(F.filter(rows, lambda line: F.rlike(line, F.lit(r"(?U)^\s{17,}"))))
+    deep = F.size(F.filter(rows, lambda line: F.rlike(line, F.lit(f"^{SPACE}{{17,}}"))))
     before = [(F.size(rows) > 500, 0.1)]
     after = [(deep > F.size(rows) * 0.1, 0.1),
              (output.contains("try:") & ~output.contains("except"), 0.2),
-             *[(F.rlike(output, F.lit("(?U)" + p)), penalty) for p, penalty in CODE_SMELLS]]
+             *[(F.rlike(output, F.lit(unicode_pattern(p))), penalty) for p, penalty in CODE_SMELLS]]
     return before, after
 
 
@@ -158,13 +158,17 @@ def completeness(input: Column, output: Column) -> Column:
             .otherwise(F.lit(0.6) * covered + F.lit(0.4) * length_score))
 
 
+def _whole(word: str) -> str:
+    return "(?iu)" + unicode_pattern(rf"\b{word}\b")
+
+
 def said_in_order(text: Column, fold: Column, words: list[str]) -> Column:
     """Whether the words occur one after the other. Looks behind the first occurrence of each word
     in turn, so the text is read once however often the words occur."""
     rest = text
     for word in words[:-1]:
-        rest = F.get(F.split(rest, rf"(?iU)\b{word}\b", 2), F.lit(1))
-    ordered = F.coalesce(F.rlike(rest, F.lit(rf"(?iU)\b{words[-1]}\b")), F.lit(False))
+        rest = F.get(F.split(rest, _whole(word), 2), F.lit(1))
+    ordered = F.coalesce(F.rlike(rest, F.lit(_whole(words[-1]))), F.lit(False))
     for word in dict.fromkeys(words):
         ordered = may_contain(fold, (word,)) & ordered
     return ordered
@@ -179,7 +183,7 @@ def coherence(_input: Column, output: Column) -> Column:
         long_lines = F.filter(kept, lambda line: F.length(line) > 5)
         # Lines are stripped and not blank, so joined by a break they split into just their words.
         mean_words = let(long_lines, lambda ls: F.when(
-            F.size(ls) > 0, F.size(F.split(F.array_join(ls, "\n"), r"(?U)\s+")) / F.size(ls)))
+            F.size(ls) > 0, F.size(F.split(F.array_join(ls, "\n"), f"{SPACE}+")) / F.size(ls)))
         lengths = let(mean_words, lambda m: F.when(m < 3, 0.2).when(m > 50, 0.1).otherwise(0.0))
         score = penalised([
             ((count > 5) & (repetition > 0.3), 0.3), (F.lit(True), lengths),

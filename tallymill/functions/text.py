@@ -12,6 +12,22 @@ WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\
                "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
+SPACE = f"[{WHITE_SPACE}]"
+NO_SPACE = f"[^{WHITE_SPACE}]"
+WORD = r"[\p{L}\p{N}_]"
+
+
+def unicode_pattern(pattern: str) -> str:
+    """A pattern written with ``\\b`` at its ends, ``\\s``, ``\\S`` and ``\\d``, for the JVM's regex engine
+    with every letter, number and white space of Unicode counted. Next to a word character a word
+    edge is the absence of another one."""
+    if pattern.startswith(r"\b"):
+        pattern = f"(?<!{WORD})" + pattern[2:]
+    if pattern.endswith(r"\b"):
+        pattern = pattern[:-2] + f"(?!{WORD})"
+    return pattern.replace(r"\s", SPACE).replace(r"\S", NO_SPACE).replace(r"\d", r"\p{Nd}")
+
+
 def strip(text: Column) -> Column:
     """Without leading and trailing white space of any kind (``trim`` only knows the blank)."""
     return F.btrim(text, F.lit(WHITE_SPACE))
@@ -56,5 +72,4 @@ def lines(text: Column) -> Column:
 
 def interleave(pieces: Column, fillers: Column) -> Column:
     """pieces[0] + fillers[0] + pieces[1] + ...; there is one more piece than fillers."""
-    return F.array_join(
-        F.transform(pieces, lambda piece, i: F.concat(piece, F.coalesce(F.get(fillers, i), F.lit("")))), "")
+    return F.array_join(F.zip_with(pieces, fillers, lambda piece, filler: F.concat(piece, F.coalesce(filler, F.lit("")))), "")

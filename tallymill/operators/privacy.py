@@ -42,18 +42,21 @@ def mask(df: DataFrame, text: str = "text", labels: Labels = None, prefix: str =
     """
     source = F.col(text)
     found = df.withColumn("_found", pii.matches(source, labels))
-    valued = found.withColumn("_values", F.array_distinct(F.reverse("_found")))
-
-    def marker(value: Column) -> Column:
-        number = F.array_position(F.col("_values"), value)
-        return pii.placeholder(pii.label_of(value), number, prefix)
-
-    untouched = F.size("_found") == 0
-    masked = tx.interleave(pii.pieces(source, labels), F.transform("_found", marker))
-    return (valued
-            .withColumn(into, F.when(untouched, source).otherwise(masked))
-            .withColumn("vault", F.map_from_arrays(F.transform("_values", marker), F.col("_values")))
-            .drop("_found", "_values"))
+
+    def hide(values: Column) -> Column:
+        def marker(value: Column) -> Column:
+            return pii.placeholder(pii.label_of(value), F.array_position(values, value), prefix)
+
+        return F.struct(
+            tx.interleave(pii.pieces(source, labels), F.transform("_found", marker)).alias("text"),
+            F.map_from_arrays(F.transform(values, marker), values).alias("vault"))
+
+    hidden = F.when(F.size("_found") > 0, tx.let(F.array_distinct(F.reverse("_found")), hide))
+    empty = F.create_map().cast("map<string,string>")
+    return (found.withColumn("_hidden", hidden)
+            .withColumns({into: F.coalesce(F.col("_hidden.text"), source),
+                          "vault": F.coalesce(F.col("_hidden.vault"), empty)})
+            .drop("_found", "_hidden"))
 
 
 def vault_rows(masked: DataFrame, scope: str) -> DataFrame:
