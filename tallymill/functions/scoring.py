@@ -42,7 +42,8 @@ LOWEST_BAND = "failing"
 
 
 def clamp(score: Column) -> Column:
-    return F.greatest(zero(), F.least(F.lit(1.0), score))
+    """Within [0, 1]; null stays null."""
+    return F.when(score.isNotNull(), F.greatest(zero(), F.least(F.lit(1.0), score)))
 
 
 def penalised(penalties: list[tuple[Column, float | Column]]) -> Column:

@@ -120,8 +120,9 @@ def parse_reports(df: DataFrame, report: str = "report", prompt_tokens: str = "p
     given = read("$.score", "variant")
     number = F.when(given.isNull(), zero()).otherwise(read("$.score", "double"))
     is_map = read("$.scores", "map<string,variant>").isNotNull()
-    marks = F.when(is_map, read("$.scores", "map<string,double>")).otherwise(
-        no_scores())
+    numbers = read("$.scores", "map<string,double>")
+    numeric = ~F.exists(F.map_values(numbers), lambda v: v.isNull())
+    marks = F.when(~is_map, no_scores()).when(numeric, numbers)
     readable = F.col("_ok") & F.col("_v").isNotNull() & F.col("_score").isNotNull() & F.col("_scores").isNotNull()
     no_text = F.array().cast("array<string>")
     return (parsed.withColumns({"_score": number, "_scores": marks}).withColumn("_ok", readable)
