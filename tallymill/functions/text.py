@@ -73,3 +73,30 @@ def lines(text: Column) -> Column:
 def interleave(pieces: Column, fillers: Column) -> Column:
     """pieces[0] + fillers[0] + pieces[1] + ...; there is one more piece than fillers."""
     return F.array_join(F.zip_with(pieces, fillers, lambda piece, filler: F.concat(piece, F.coalesce(filler, F.lit("")))), "")
+
+
+def numbers_from_last(values: Column) -> Column:
+    """For every value the 1-based number of its first use, reading the array from the end.
+
+    Sorted by value, equal values lie side by side, so each run is found and numbered without
+    comparing every value with every other: a text with very many values stays cheap.
+    """
+    def runs(ordered: Column) -> Column:
+        marked = F.transform(ordered, lambda e, i: F.struct(
+            e["back"].alias("back"), i.alias("at"), ((i == 0) | (F.get(ordered, i - 1)["value"] != e["value"])).alias("head")))
+        return let(F.filter(marked, lambda e: e["head"]), lambda heads: number(ordered, heads))
+
+    def number(ordered: Column, heads: Column) -> Column:
+        by_use = F.array_sort(F.transform(heads, lambda h, run: F.struct(h["back"].alias("back"), run.alias("run"))))
+        by_run = F.array_sort(F.transform(by_use, lambda u, i: F.struct(u["run"].alias("run"), (i + 1).alias("n"))))
+        return let(by_run, lambda numbers: expand(ordered, heads, numbers))
+
+    def expand(ordered: Column, heads: Column, numbers: Column) -> Column:
+        def members(head: Column, run: Column) -> Column:
+            end = F.coalesce(F.get(heads, run + 1)["at"], F.size(ordered))
+            return F.transform(F.slice(ordered, head["at"] + 1, end - head["at"]), lambda e: F.struct(
+                (-e["back"]).alias("pos"), F.get(numbers, run)["n"].alias("n")))
+
+        return F.transform(F.array_sort(F.flatten(F.transform(heads, members))), lambda e: e["n"])
+
+    return let(F.array_sort(F.transform(values, lambda v, i: F.struct(v.alias("value"), (-i).alias("back")))), runs)

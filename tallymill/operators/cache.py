@@ -9,6 +9,7 @@ from tallymill.functions.money import ratio
 from tallymill.functions.text import short_hash
 from tallymill.plans.ordered import OrderedRows, global_number
 from tallymill.plans.pointers import reachable
+from tallymill.session import checkpointed
 
 PREFIX = 50
 ELIGIBLE = 100
@@ -62,7 +63,7 @@ def stores(times: DataFrame, key: str, at: str, ttl: int, fold_limit: int = FOLD
         return times.groupBy(key).agg(F.min(at).alias(at))
     rows = OrderedRows(times, [key], [at], **ordered).previous(_prev=F.col(at))
     starts = F.col("_prev").isNull() | (F.col(at) - F.col("_prev") > ttl)
-    bursts = rows.scan(_burst=("sum", starts.cast("bigint"))).df.select(key, "_burst", at)
+    bursts = checkpointed(rows.scan(_burst=("sum", starts.cast("bigint"))).df.select(key, "_burst", at))
     sizes = bursts.groupBy(key, "_burst").agg(F.count("*").alias("_size"))
     long_bursts = sizes.filter(F.col("_size") > fold_limit).select(key, "_burst")
 

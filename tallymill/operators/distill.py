@@ -84,7 +84,7 @@ def apply_skills(nodes: DataFrame, skills: DataFrame) -> DataFrame:
     """Nodes (node_id, skill_ref, template, rules) with the prompt and rules of their skill where it
     has any; ``skill_missing`` marks a reference that leads nowhere."""
     found = skills.select(F.col("skill_id").alias("skill_ref"), "optimized_prompt", "validation_rules", F.lit(True).alias("_hit"))
-    joined = lookup_join(nodes, found, ["skill_ref"], "left")
+    joined = lookup_join(nodes, found, ["skill_ref"], "left", stored=True)
     has_rules = F.coalesce(F.size("validation_rules"), F.lit(0)) > 0
     return joined.select(
         "node_id", "skill_ref", F.coalesce(F.nullif(F.col("optimized_prompt"), F.lit("")), F.col("template")).alias("template"),

@@ -43,13 +43,14 @@ def mask(df: DataFrame, text: str = "text", labels: Labels = None, prefix: str =
     source = F.col(text)
     found = df.withColumn("_found", pii.matches(source, labels))
 
-    def hide(values: Column) -> Column:
-        def marker(value: Column) -> Column:
-            return pii.placeholder(pii.label_of(value), F.array_position(values, value), prefix)
+    def marker(value: Column, number: Column) -> Column:
+        return pii.placeholder(pii.label_of(value), number, prefix)
 
+    def hide(values: Column) -> Column:
+        fillers = F.zip_with("_found", tx.numbers_from_last(F.col("_found")), marker)
         return F.struct(
-            tx.interleave(pii.pieces(source, labels), F.transform("_found", marker)).alias("text"),
-            F.map_from_arrays(F.transform(values, marker), values).alias("vault"))
+            tx.interleave(pii.pieces(source, labels), fillers).alias("text"),
+            F.map_from_arrays(F.transform(values, lambda v, i: marker(v, i + 1)), values).alias("vault"))
 
     hidden = F.when(F.size("_found") > 0, tx.let(F.array_distinct(F.reverse("_found")), hide))
     empty = F.create_map().cast("map<string,string>")
@@ -91,7 +92,7 @@ def corpus_vault(df: DataFrame, order: str, text: str = "text", labels: Labels =
 
 def _fill(df: DataFrame, found: DataFrame, vault: DataFrame, key: str, text: str, labels: Labels, into: str) -> DataFrame:
     names = vault.select(F.col("original_value").alias("value"), "placeholder")
-    fillers = (lookup_join(found, names, ["value"], "inner").groupBy(key)
+    fillers = (lookup_join(found, names, ["value"], "inner", stored=True).groupBy(key)
                .agg(F.sort_array(F.collect_list(F.struct("pos", "placeholder"))).alias("_fillers")))
     masked = tx.interleave(pii.pieces(F.col(text), labels), F.col("_fillers.placeholder"))
     return (df.join(fillers, key, "left")
@@ -136,7 +137,7 @@ def unmask(df: DataFrame, vault: DataFrame, key: str, scope: list[str], text: st
     found = df.select(*dict.fromkeys([key, *scope]), F.posexplode(
         F.regexp_extract_all(F.col(text), F.lit(token), F.lit(0))).alias("pos", "placeholder"))
     originals = vault.select(*scope, "placeholder", "original_value")
-    restored = lookup_join(found, originals, [*scope, "placeholder"], "left")
+    restored = lookup_join(found, originals, [*scope, "placeholder"], "left", stored=True)
     values = (restored
               .withColumn("value", F.coalesce("original_value", "placeholder"))
               .groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("_values")))

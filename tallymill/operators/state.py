@@ -73,7 +73,7 @@ def completed(state: DataFrame, key: str = "id", among: DataFrame | None = None)
 
 def status_of(ids: DataFrame, state: DataFrame, key: str = "id") -> DataFrame:
     """Status per requested id, null where the id was never seen."""
-    return lookup_join(ids, state.select(key, "status"), [key], "left")
+    return lookup_join(ids, state.select(key, "status"), [key], "left", stored=True)
 
 
 def reset(state: DataFrame, ids: DataFrame, key: str = "id", only_completed: bool = True, now: Column | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymill.session import checkpointed
+
 MAX_BROADCAST_ROWS = 100_000
 HOT_SHARES = 200
 
@@ -15,18 +17,21 @@ def is_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> bool:
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", *,
-                limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                stored: bool = False, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Join many rows with a table that has one row per key.
 
     A small right side is broadcast after its size was checked. Otherwise the keys that each hold
     at least 1/HOT_SHARES of the left rows (so at most HOT_SHARES keys) are joined by broadcasting
-    just their right rows, and all other keys by an ordinary shuffle.
+    just their right rows, and all other keys by an ordinary shuffle. A right side that still has to
+    be computed is computed once, for the check and the join; ``stored`` says that it is a table.
     """
-    if is_small(right, limit):
+    if not stored:
+        right = checkpointed(right)
+    if is_small(right.select(*on), limit):
         return left.join(F.broadcast(right), on, how)
     counts = left.groupBy(*on).count()
     total = counts.agg(F.sum("count")).first()[0] or 0
-    hot_keys = counts.filter(F.col("count") >= max(1, total / HOT_SHARES)).select(*on)
+    hot_keys = checkpointed(counts.filter(F.col("count") >= max(1, total / HOT_SHARES)).select(*on))
     hot = F.broadcast(hot_keys)
     hot_part = (left.join(hot, on, "left_semi")
                 .join(F.broadcast(right.join(hot, on, "left_semi")), on, how))

@@ -65,7 +65,7 @@ def _with_carried(batch: DataFrame, state: DataFrame | None, by: list[str], fiel
     if state is None:
         return batch.withColumns({f"_c_{name}": F.lit(None).cast(kind) for name, kind in fields.items()})
     carried = state.select(*by, *[F.col(name).cast(kind).alias(f"_c_{name}") for name, kind in fields.items()])
-    return lookup_join(batch, carried, by, "left")
+    return lookup_join(batch, carried, by, "left", stored=True)
 
 
 def gate_step(by: list[str], order: list[str], score: str = "score", *, threshold: float, window: int, recovery: int = 0,

@@ -119,3 +119,10 @@ def test_large_text_and_long_run(spark):
     text = "word " * 400_000 + run + " " + EMAIL
     df = spark.createDataFrame([(1,)], "id long").select("id", F.lit(text).alias("text"))
     assert privacy.mask(df).first().masked == text.replace(EMAIL, "[[PII_EMAIL_1]]")
+
+
+def test_text_with_very_many_values(spark):
+    rng = random.Random(2)
+    text = " ".join(f"10.{rng.randrange(200)}.{rng.randrange(200)}.7" for _ in range(20_000))
+    row = privacy.mask(spark.createDataFrame([(1, text)], "id long, text string")).first()
+    assert row.masked == fold(text) and len(row.vault) == len(set(text.split()))
