@@ -18,40 +18,38 @@ def sample_size(rows: int, *, share: float | None = None, count: int | None = No
     return max(1, int(rows * share) if share is not None else int(count))
 
 
-# Up to this many rows a top-k is cheaper than hashing against a cut-off.
-TOP_K = 1_000_000
+# Up to this many rows a sample is taken as a top-k, whose rows meet in one task.
+TOP_K = 10_000
 
 
-def head_sample(items: DataFrame, order: str, *, share: float | None = None, count: int | None = None) -> DataFrame:
-    """The first rows in order: a share of them or a fixed number, at least one.
+def _value_at(df: DataFrame, column: str, k: int):
+    """The ``k``-th smallest value of a unique column."""
+    return OrderedRows(df.select(column), [], [column]).number("_n").df.filter(F.col("_n") == k).first()[column]
 
-    A large sample is not taken as a top-k (whose rows meet in one task): an approximate quantile of
-    the order column bounds it first, and only the rows near the bound are ordered exactly.
+
+def head_sample(items: DataFrame, order: str, *, share: float | None = None, count: int | None = None,
+                top_k: int = TOP_K) -> DataFrame:
+    """The first rows by a unique numeric order column: a share of them or a fixed number, at least one.
+
+    A large sample is a filter at the exact value of its last row. Approximate quantiles bound that
+    value first, so only the order values near it are ranked.
     """
     rows = items.count()
     k = min(sample_size(rows, share=share, count=count), rows)
-    if k <= TOP_K:
+    if k <= top_k:
         return items.orderBy(order).limit(k)
-    return _first_k(items, order, k, rows)
-
-
-def _first_k(items: DataFrame, order: str, k: int, rows: int) -> DataFrame:
-    """Exactly the first ``k`` rows by a unique numeric ``order`` column, without a full sort."""
     error = 0.001
     low, high = items.stat.approxQuantile(order, [max(0.0, k / rows - 2 * error), min(1.0, k / rows + 2 * error)], error)
     position = F.col(order)
-    surely = items.filter(position < low)
-    near = items.filter((position >= low) & (position <= high))
-    missing = k - surely.count()
-    ranked = OrderedRows(near, [], [order]).number("_n").df
-    return surely.unionByName(ranked.filter(F.col("_n") <= missing).drop("_n"))
+    last = _value_at(items.filter((position >= low) & (position <= high)), order, k - items.filter(position < low).count())
+    return items.filter(position <= last)
 
 
-def spot_check(items: DataFrame, key: str, share: float, seed: str = "") -> DataFrame:
+def spot_check(items: DataFrame, key: str, share: float, seed: str = "", top_k: int = TOP_K) -> DataFrame:
     """A random sample without replacement of exact size ``max(1, int(n * share))``, flagged for review.
 
-    The draw orders rows by a hash of key and seed, so it repeats. Hashes are uniform: a cut-off
-    slightly above the share keeps barely more rows than needed, and only those are ranked.
+    The draw orders rows by a hash of their unique key and a seed, so it repeats. Hashes are uniform:
+    a cut-off slightly above the share keeps barely more rows than needed, and only those are ranked.
     """
     rows = items.count()
     k = min(sample_size(rows, share=share), rows)
@@ -59,13 +57,12 @@ def spot_check(items: DataFrame, key: str, share: float, seed: str = "") -> Data
     slack = k + 6 * int(k ** 0.5) + 20
     if slack < rows:
         # The first 13 hex digits of the hash, read as a number, against the same share of their range.
-        cut = format(int(16 ** 13 * slack / rows), "013x")
-        close = drawn.filter(F.col("_draw") < cut)
+        close = drawn.filter(F.col("_draw") < format(int(16 ** 13 * slack / rows), "013x"))
         drawn = close if close.count() >= k else drawn
-    if k <= TOP_K:
+    if k <= top_k:
         sample = drawn.orderBy("_draw").limit(k)
     else:
-        sample = OrderedRows(drawn, [], ["_draw"]).number("_n").df.filter(F.col("_n") <= k).drop("_n")
+        sample = drawn.filter(F.col("_draw") <= _value_at(drawn, "_draw", k))
     return sample.drop("_draw").withColumn("spot_check", F.lit(True))
 
 

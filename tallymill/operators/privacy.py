@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallymill.functions import pii, text as tx
 from tallymill.plans.ordered import global_number
-from tallymill.plans.skew import lookup_join
+from tallymill.plans.skew import is_small, lookup_join
 from tallymill.session import checkpointed
 
 Labels = Iterable[str] | None
@@ -90,20 +90,27 @@ def corpus_vault(df: DataFrame, order: str, text: str = "text", labels: Labels =
     return _numbered_vault(_positions(df, [order], text, labels), order, prefix, start)
 
 
+def _gather(df: DataFrame, replaced: DataFrame, key: str, value: str, text: str, between: Column, into: str,
+            few: bool) -> DataFrame:
+    """Texts with the values of ``replaced`` (key, pos, value) between their pieces. Where the values
+    are few their rows are broadcast and the texts stay where they are."""
+    fillers = replaced.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", value))).alias("_fillers"))
+    whole = tx.interleave(between, F.col(f"_fillers.{value}"))
+    return (df.join(F.broadcast(fillers) if few else fillers, key, "left")
+            .withColumn(into, F.when(F.col("_fillers").isNull(), F.col(text)).otherwise(whole))
+            .drop("_fillers"))
+
+
 def _fill(df: DataFrame, found: DataFrame, vault: DataFrame, key: str, text: str, labels: Labels, into: str) -> DataFrame:
     names = vault.select(F.col("original_value").alias("value"), "placeholder")
-    fillers = (lookup_join(found, names, ["value"], "inner", stored=True).groupBy(key)
-               .agg(F.sort_array(F.collect_list(F.struct("pos", "placeholder"))).alias("_fillers")))
-    masked = tx.interleave(pii.pieces(F.col(text), labels), F.col("_fillers.placeholder"))
-    return (df.join(fillers, key, "left")
-            .withColumn(into, F.when(F.col("_fillers").isNull(), F.col(text)).otherwise(masked))
-            .drop("_fillers"))
+    replaced = lookup_join(found, names, ["value"], "inner", stored=True)
+    return _gather(df, replaced, key, "placeholder", text, pii.pieces(F.col(text), labels), into, is_small(found))
 
 
 def mask_with_vault(df: DataFrame, vault: DataFrame, key: str, text: str = "text", labels: Labels = None,
                     into: str = "masked") -> DataFrame:
     """Mask with a given vault that knows all values. ``key`` must identify a row."""
-    return _fill(df, _positions(df, [key], text, labels), vault, key, text, labels, into)
+    return _fill(df, checkpointed(_positions(df, [key], text, labels)), vault, key, text, labels, into)
 
 
 def mask_corpus(df: DataFrame, key: str, order: str, text: str = "text", labels: Labels = None,
@@ -134,17 +141,12 @@ def unmask(df: DataFrame, vault: DataFrame, key: str, scope: list[str], text: st
     ``scope`` names the columns of both tables that choose the vault; an empty list means one vault.
     """
     token = pii.placeholder_pattern(prefix)
-    found = df.select(*dict.fromkeys([key, *scope]), F.posexplode(
-        F.regexp_extract_all(F.col(text), F.lit(token), F.lit(0))).alias("pos", "placeholder"))
+    tokens = F.when(F.contains(F.col(text), F.lit(f"[[{prefix}_")), F.regexp_extract_all(F.col(text), F.lit(token), F.lit(0)))
+    found = checkpointed(df.select(*dict.fromkeys([key, *scope]), F.posexplode(tokens).alias("pos", "placeholder")))
     originals = vault.select(*scope, "placeholder", "original_value")
-    restored = lookup_join(found, originals, [*scope, "placeholder"], "left", stored=True)
-    values = (restored
-              .withColumn("value", F.coalesce("original_value", "placeholder"))
-              .groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("_values")))
-    whole = tx.interleave(F.split(F.col(text), token, -1), F.col("_values.value"))
-    return (df.join(values, key, "left")
-            .withColumn(into, F.when(F.col("_values").isNull(), F.col(text)).otherwise(whole))
-            .drop("_values"))
+    restored = (lookup_join(found, originals, [*scope, "placeholder"], "left", stored=True)
+                .withColumn("value", F.coalesce("original_value", "placeholder")))
+    return _gather(df, restored, key, "value", text, F.split(F.col(text), token, -1), into, is_small(found))
 
 
 def write_vault(vault: DataFrame, path: str, mode: str = "append") -> None:

@@ -34,26 +34,23 @@ def deliveries(events: DataFrame, subscriptions: DataFrame, event: str) -> DataF
     """Who receives which event: (event, subscriber).
 
     A subscriber gets the events of their mission, of no mission, or all of them without a mission
-    of their own, up to their level (kept within 1..3). Both kinds of match are equi-joins on
-    (mission, level): a subscription stands for each level it covers.
+    of their own, up to their level (kept within 1..3). One equi-join on (channel, level) finds all
+    pairs: an event goes to the channel of everybody and to its mission's or the general one; a
+    subscription stands for each channel and level it covers.
     """
+    mission = F.concat(F.lit("mission "), F.col("mission_id").cast("string"))
+    everybody, general = F.lit("everybody"), F.lit("general")
     allowed = F.least(F.greatest(F.coalesce("level", F.lit(2)), F.lit(1)), F.lit(3))
-    covered = subscriptions.select("subscriber", "mission_id", F.explode(F.sequence(F.lit(1), allowed)).alias("level"))
-    sent = events.select(event, "mission_id", F.col("level").cast("int").alias("level"))
-
-    def pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-        """Broadcast while the subscribers are few; salted otherwise, as a mission may be hot."""
-        if is_small(right):
-            return left.join(F.broadcast(right), on)
-        return salted_pairs(left, right, on, F.col(event), SALTS)
-
-    own = covered.filter(F.col("mission_id").isNotNull())
-    everything = covered.filter(F.col("mission_id").isNull()).drop("mission_id")
-    to_mission = pairs(sent.filter(F.col("mission_id").isNotNull()), own, ["mission_id", "level"])
-    general = pairs(sent.filter(F.col("mission_id").isNull()).drop("mission_id"), own.drop("mission_id"), ["level"])
-    to_all = pairs(sent.drop("mission_id"), everything, ["level"])
-    columns = [event, "subscriber"]
-    return to_mission.select(*columns).unionByName(general.select(*columns)).unionByName(to_all.select(*columns))
+    covered = (subscriptions
+               .select("subscriber", F.explode(F.when(F.col("mission_id").isNull(), F.array(everybody))
+                                               .otherwise(F.array(general, mission))).alias("channel"), allowed.alias("level"))
+               .withColumn("level", F.explode(F.sequence(F.lit(1), F.col("level")))))
+    sent = events.select(event, F.explode(F.array(everybody, F.coalesce(mission, general))).alias("channel"),
+                         F.col("level").cast("int").alias("level"))
+    on = ["channel", "level"]
+    # Broadcast while the subscribers are few; salted otherwise, as a channel may be hot.
+    pairs = sent.join(F.broadcast(covered), on) if is_small(covered) else salted_pairs(sent, covered, on, F.col(event), SALTS)
+    return pairs.select(event, "subscriber")
 
 
 def phase_changes(updates: DataFrame, by: list[str], order: list[str], phase: str = "phase", status: str = "status",

@@ -15,9 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymill.session import checkpointed
-
-MAX_GROUP_ROWS = 2_000_000
+from tallymill.session import MAX_GROUP_ROWS, checkpointed, limit_of
 
 _BUCKET = "_bucket"
 _ROW = "_is_row"
@@ -40,14 +38,16 @@ class OrderedRows:
 
     by             key columns; an empty list means one global order, which is always bucketed
     order          ascending column names that order a key's rows without ties
-    max_group_rows largest key that may be handled by one task
+    max_group_rows largest key that may be handled by one task (default: the session's limit)
     """
 
     def __init__(self, df: DataFrame, by: list[str], order: list[str], *,
-                 max_group_rows: int = MAX_GROUP_ROWS, buckets: int | None = None):
+                 max_group_rows: int | None = None, buckets: int | None = None):
         self.by, self.order = list(by), list(order)
         self.bucketed = True
         rows = None
+        if max_group_rows is None:
+            max_group_rows = limit_of(df.sparkSession, MAX_GROUP_ROWS)
         if self.by:
             sizes = df.groupBy(*self.by).count()
             largest = sizes.agg(F.max("count").alias("largest"), F.sum("count").alias("rows")).first()

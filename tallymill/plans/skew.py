@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.session import checkpointed
+from tallymill.session import MAX_BROADCAST_ROWS, checkpointed, limit_of
 
-MAX_BROADCAST_ROWS = 100_000
 HOT_SHARES = 200
 
 
-def is_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``limit`` rows; reads no more than ``limit + 1`` of them."""
+def is_small(df: DataFrame, limit: int | None = None) -> bool:
+    """Whether ``df`` has at most ``limit`` rows (default: the session's limit for broadcasts); reads
+    no more than ``limit + 1`` of them."""
+    if limit is None:
+        limit = limit_of(df.sparkSession, MAX_BROADCAST_ROWS)
     return df.limit(limit + 1).count() <= limit
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", *,
-                stored: bool = False, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                stored: bool = False, limit: int | None = None) -> DataFrame:
     """Join many rows with a table that has one row per key.
 
     A small right side is broadcast after its size was checked. Otherwise the keys that each hold

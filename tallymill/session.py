@@ -36,6 +36,16 @@ def load(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+# Limits beyond which an operator changes its plan; a session may set its own.
+MAX_GROUP_ROWS = ("tallymill.maxGroupRows", 2_000_000)
+MAX_BROADCAST_ROWS = ("tallymill.maxBroadcastRows", 100_000)
+
+
+def limit_of(spark: SparkSession, setting: tuple[str, int]) -> int:
+    name, default = setting
+    return int(spark.conf.get(name, str(default)))
+
+
 SPREAD_FACTOR = 8
 
 

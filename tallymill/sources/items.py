@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.plans.ordered import global_number
+from tallymill.plans.skew import lookup_join
 from tallymill.sources import tables
 
 NOT_TEXT = "not_utf8"
@@ -33,7 +34,7 @@ def corpus_items(corpus: DataFrame) -> DataFrame:
     they are until the join."""
     good = corpus.filter(F.col("error").isNull())
     places = global_number(good.select("relative_path"), ["relative_path"], "ord")
-    return good.join(places, "relative_path").select("ord", F.col("relative_path").alias("item_id"), F.col("content").alias("text"))
+    return lookup_join(good, places, ["relative_path"], "inner").select("ord", F.col("relative_path").alias("item_id"), F.col("content").alias("text"))
 
 
 def rows_to_items(df: DataFrame, order: list[str]) -> DataFrame:

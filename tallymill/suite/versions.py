@@ -6,7 +6,7 @@ from tallymill.functions.basic import no_scores
 from tallymill.operators import distill, versions as ve
 from tallymill.operators.evaluators import Dimension, judge
 from tallymill.functions import scoring as sc
-from tallymill.session import fresh_path, load
+from tallymill.session import checkpointed, fresh_path, load
 from tallymill.suite import views
 from tallymill.suite.scoring import COMPLETE
 from tallymill.suite.views import ATTEMPTS, TRACES
@@ -93,9 +93,11 @@ def open_critiques(spark, d):
 
 
 def full_traces(spark, d):
-    texts = views.attempts(spark, d).groupBy("item_id").agg(
-        F.min_by("output", "attempt").alias("input"), F.max_by("output", "attempt").alias("output"))
-    return views.traces(spark, d).join(texts, "item_id")
+    """Traces with their first output as input; stored, as a finished run's traces are."""
+    return checkpointed(views.attempts(spark, d).groupBy("mission_id", "item_id").agg(
+        F.min("ord").alias("ord"), F.count("*").alias("iterations"),
+        F.max(F.col("passed").cast("int")).alias("success"), F.max_by("score", "attempt").alias("last_score"),
+        F.min_by("output", "attempt").alias("input"), F.max_by("output", "attempt").alias("output")))
 
 
 def golden_samples(spark, d):
@@ -111,10 +113,11 @@ def run_stats(spark, d):
 
 
 def packages(spark, d):
-    prompts = (views.traces(spark, d).select("mission_id").distinct()
-               .withColumns({"name": F.concat(F.lit("mission "), F.col("mission_id").cast("string")),
-                             "prompt": F.concat(F.lit("Handle "), F.col("mission_id").cast("string"), F.lit(": {{ data }}"))}))
-    return distill.skill_packages(full_traces(spark, d), prompts, "mission_id", "ord", {"model": "gpt-4o-mini"}, [("regex", "[0-9]")])
+    traces = full_traces(spark, d)
+    prompts = traces.select("mission_id").distinct().withColumns({
+        "name": F.concat(F.lit("mission "), F.col("mission_id").cast("string")),
+        "prompt": F.concat(F.lit("Handle "), F.col("mission_id").cast("string"), F.lit(": {{ data }}"))})
+    return distill.skill_packages(traces, prompts, "mission_id", "ord", {"model": "gpt-4o-mini"}, [("regex", "[0-9]")])
 
 
 def skill_packages(spark, d):

@@ -115,7 +115,9 @@ def test_samples_have_exact_sizes(spark):
     assert monitor.spot_check(spark.range(3), "id", 0.05).count() == 1
     assert [r.id for r in monitor.head_sample(df, "id", share=0.001).orderBy("id").collect()] == list(range(5))
     assert monitor.head_sample(df, "id", count=0).count() == 1
-    assert sorted(r.id for r in monitor._first_k(df.repartition(4), "id", 1234, 5000).collect()) == list(range(1234))
+    assert sorted(r.id for r in monitor.head_sample(df.repartition(4), "id", count=1234, top_k=9).collect()) == list(range(1234))
+    large = {r.id for r in monitor.spot_check(df, "id", 0.05, "a", top_k=9).collect()}
+    assert large == first
 
 
 @pytest.mark.parametrize("options", [{}, BUCKETED])
