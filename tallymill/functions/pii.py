@@ -46,9 +46,9 @@ def resolve_labels(labels: Iterable[str] | None) -> list[str]:
 # search linear on long runs without an "@".
 _STARTS = {"EMAIL": r"(?:\G|(?<![a-zA-Z0-9_.+\-]))"}
 
-# What every match of a label contains, as a cheap test: a literal, or a short pattern.
+# What every match of a label contains, as a cheap test: a literal, or what follows some digit.
 _NEEDS = {"EMAIL": "@", "API_KEY": "sk-"}
-_NEEDS_DIGITS = {"ID_CARD": r"\p{Nd}{11}", "PHONE": r"\p{Nd}{11}", "IP_ADDR": r"\p{Nd}\.\p{Nd}"}
+_NEEDS_DIGITS = {"ID_CARD": r"\p{Nd}{10}", "PHONE": r"\p{Nd}{10}", "IP_ADDR": r"\.\p{Nd}{1,3}\.\p{Nd}"}
 
 
 def pattern(labels: Iterable[str] | None = None) -> str:
@@ -64,7 +64,7 @@ def may_hold(text: Column, labels: Iterable[str] | None = None) -> Column:
         if label in _NEEDS:
             test = test | F.contains(text, F.lit(_NEEDS[label]))
     digits = sorted({_NEEDS_DIGITS[label] for label in wanted if label in _NEEDS_DIGITS})
-    return test | F.rlike(text, F.lit("|".join(digits))) if digits else test
+    return test | F.rlike(text, F.lit(rf"\p{{Nd}}(?:{'|'.join(digits)})")) if digits else test
 
 
 def matches(text: Column, labels: Iterable[str] | None = None) -> Column:

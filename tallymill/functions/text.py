@@ -12,8 +12,9 @@ WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\
                "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
-SPACE = f"[{WHITE_SPACE}]"
-NO_SPACE = f"[^{WHITE_SPACE}]"
+# The same characters as a regular expression.
+SPACE = r"[\t-\r\x1c-\x1f \x85\p{Z}]"
+NO_SPACE = r"[^\t-\r\x1c-\x1f \x85\p{Z}]"
 WORD = r"[\p{L}\p{N}_]"
 
 

@@ -71,11 +71,18 @@ def sliding_counts(events: DataFrame, by: list[str], length: str, slide: str, ts
     return _window_counts(events, by, F.window(ts, length, slide))
 
 
-def session_counts(events: DataFrame, by: list[str], gap: str, ts: str = "ts") -> DataFrame:
-    """Counts per burst of events without a pause of ``gap``."""
-    return _window_counts(events, by, F.session_window(ts, gap), "session_window")
-
-
-def _window_counts(events: DataFrame, by: list[str], span: Column, name: str = "window") -> DataFrame:
+def session_counts(events: DataFrame, by: list[str], gap: str, ts: str = "ts", **ordered) -> DataFrame:
+    """Counts per burst of events without a pause longer than ``gap``; a burst ends ``gap`` after its last
+    event. Bursts are numbered by a running sum, which also spreads a key with very many events."""
+    pause = F.expr(f"INTERVAL {gap}")
+    rows = OrderedRows(events, by, [ts], **ordered).previous(_before=F.col(ts))
+    fresh = F.col("_before").isNull() | (F.col(ts) > F.col("_before") + pause)
+    numbered = rows.scan(_burst=("sum", fresh.cast("bigint"))).df
+    return (numbered.groupBy(*by, "_burst")
+            .agg(F.min(ts).alias("start"), (F.max(ts) + pause).alias("end"), F.count("*").alias("n"), F.sum("value").alias("total"))
+            .drop("_burst"))
+
+
+def _window_counts(events: DataFrame, by: list[str], span: Column) -> DataFrame:
     return (events.groupBy(span, *by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-            .select(*by, F.col(f"{name}.start").alias("start"), F.col(f"{name}.end").alias("end"), "n", "total"))
+            .select(*by, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n", "total"))

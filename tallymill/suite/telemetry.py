@@ -203,7 +203,7 @@ SELECT e.event_id, s.subscriber FROM te e JOIN subs s ON e.level <= s.level
     "tumbling_counts": _counts("event_type", "date_trunc('hour', ts)"),
     "sliding_counts": _counts("event_type", "start", """(SELECT event_type, value, time_bucket(INTERVAL 15 MINUTES, ts) - k * INTERVAL 15 MINUTES AS start
  FROM events, (VALUES (0), (1), (2), (3)) w(k))"""),
-    "session_counts": """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS fresh FROM events),
+    "session_counts": """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 2 HOURS THEN 0 ELSE 1 END AS fresh FROM events),
  s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM g)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, sid""",
     "row_items": "SELECT row_number() OVER (ORDER BY c_custkey) AS ord, CAST(to_json(c) AS VARCHAR) AS text FROM customer c",

@@ -5,7 +5,7 @@ from graphlib import CycleError
 import pytest
 from pyspark.sql import functions as F
 
-from tallymill.operators import attempts as at, distill, prompts as pr, state as st, telemetry as te, versions as ve
+from tallymill.operators import attempts as at, cache, cost, distill, prompts as pr, state as st, telemetry as te, versions as ve
 from tallymill.operators.rules import Rule
 from tallymill.plans.refine import refine
 from tallymill.plans.workflow import Node, run_order, run_workflow
@@ -241,3 +241,41 @@ def test_spread_leaves_wide_scans_alone(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     spark.range(100).coalesce(1).write.parquet(str(tmp_path / "narrow"))
     assert spread(spark.read.parquet(str(tmp_path / "narrow")), "id").rdd.getNumPartitions() == 8
+
+
+@pytest.mark.parametrize("options", [{}, {"max_group_rows": 0, "buckets": 4}])
+def test_sessions_like_the_built_in_window(spark, options):
+    rows = [("hot" if i % 3 else "b", (i * i * 7) % 5000) for i in range(200)]
+    df = (spark.createDataFrame(rows, "k string, s long")
+          .select("k", F.timestamp_seconds("s").alias("ts"), F.col("s").cast("double").alias("value")))
+    want = df.groupBy(F.session_window("ts", "60 seconds"), "k").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(
+        "k", "session_window.start", "session_window.end", "n", "total")
+    got = te.session_counts(df, ["k"], "60 seconds", **options).select("k", "start", "end", "n", "total")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_clusters_keep_equal_prefixes_together(spark):
+    rows = [(i, ("shared prefix " * 5 if i % 3 else f"other {i % 7} ") + str(i)) for i in range(300)]
+    laid = cache.cluster_by_prefix(spark.createDataFrame(rows, "ord long, text string"), "ord").collect()
+    assert [(r.text[:50], r.ord) for r in laid] == sorted((t[:50], i) for i, t in rows)
+
+
+def test_cost_plans(spark):
+    df = spark.createDataFrame([("HIGH", 1000), ("NORMAL", 1000), ("LOW", 1000)], "priority string, tokens long")
+    models = F.array(F.lit("gpt-4o"), F.lit("gpt-4o-mini"))
+    plan = {r.priority: (r.strategy, r.model, float(r.estimated_cost)) for r in cost.plan_execution(df, "priority", "tokens", models).collect()}
+    full = 0.7 * 0.00015 + 0.3 * 0.0006
+    assert plan == {"HIGH": ("sync", "gpt-4o-mini", pytest.approx(full)), "NORMAL": ("queue", "gpt-4o-mini", pytest.approx(full)),
+                    "LOW": ("batch", "gpt-4o-mini", pytest.approx(full / 2))}
+    without = cost.plan_execution(df, "priority", "tokens", models, batch_available=False)
+    assert without.filter("strategy = 'queue'").count() == 2
+    none = spark.range(1).select(cost.cheapest_model(F.array().cast("array<string>"))).first()[0]
+    assert none == "gpt-4o-mini"
+
+
+def test_telemetry_levels(spark):
+    df = spark.createDataFrame([("ERROR", None), ("TRACE_EVENT", None), ("SPOT_CHECK", None), ("ERROR", 3)], "t string, l int")
+    assert [r[0] for r in df.select(te.event_level(F.col("t"), F.col("l"))).collect()] == [1, 3, 2, 3]
+    events = df.select(te.event_level(F.col("t"), F.col("l")).alias("level"), F.repeat(F.lit("x"), F.lit(300)).alias("p"))
+    assert te.emitted(events, 9).count() == 4 and te.emitted(events, 0).count() == 1
+    assert te.emitted(events, 3, "p").filter("length(p) <> 200").isEmpty()
