@@ -64,11 +64,14 @@ def stream_first_seen(spark, d):
 
 
 def stream_window_counts(spark, d):
+    """Watermarks need instants: the events' clock is read as UTC, whatever the session's time zone."""
     def run(stream, path):
-        timed = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+        timed = stream.withColumn("ts", F.timestamp_micros(F.expr(MICROS)))
         jobs.drain(jobs.window_counts(timed, ["event_type"], "1 hour", "2 hours"), path)
 
-    return _named(jobs.output(spark, in_waves(spark, d, run)), "event_type")
+    counts = jobs.output(spark, in_waves(spark, d, run))
+    clock = F.expr("timestampadd(SECOND, unix_seconds(start), TIMESTAMP_NTZ'1970-01-01 00:00:00')")
+    return _named(counts.withColumn("start", clock), "event_type")
 
 
 def stream_progress(spark, d):
