@@ -127,11 +127,25 @@ def mask_corpus(df: DataFrame, key: str, order: str, text: str = "text", labels:
 
 def unmask_row(df: DataFrame, text: str = "masked", vault: str = "vault", prefix: str = pii.DEFAULT_PREFIX,
                into: str = "restored") -> DataFrame:
-    """Restore from the row's own vault map; unknown placeholders stay."""
+    """Restore from the row's own vault map; unknown placeholders stay.
+
+    ``mask`` lists a vault in the order of its numbers, so a placeholder's number says where to look;
+    only a vault of another make is searched.
+    """
     token = pii.placeholder_pattern(prefix)
     found = F.regexp_extract_all(F.col(text), F.lit(token), F.lit(0))
-    values = F.transform(found, lambda t: F.coalesce(F.try_element_at(F.col(vault), t), t))
-    return df.withColumn(into, tx.interleave(F.split(F.col(text), token, -1), values))
+
+    def restore(v: Column) -> Column:
+        def original(t: Column) -> Column:
+            at = F.try_to_number(F.regexp_extract(t, r"_([0-9]{1,9})\]\]$", 1), F.lit("999999999")).cast("int") - 1
+            return F.when(F.get(v["names"], at) == t, F.get(v["values"], at)).otherwise(
+                F.coalesce(F.try_element_at(F.col(vault), t), t))
+
+        return F.transform(found, original)
+
+    entries = F.struct(F.map_keys(vault).alias("names"), F.map_values(vault).alias("values"))
+    whole = tx.interleave(F.split(F.col(text), token, -1), tx.let(entries, restore))
+    return df.withColumn(into, F.when(F.contains(F.col(text), F.lit(f"[[{prefix}_")), whole).otherwise(F.col(text)))
 
 
 def unmask(df: DataFrame, vault: DataFrame, key: str, scope: list[str], text: str = "masked",

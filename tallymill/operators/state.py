@@ -61,6 +61,46 @@ def upsert(snapshots: Snapshots, changes: DataFrame, key: list[str], order: list
     return snapshots.read()
 
 
+class KeyedLog:
+    """The latest row per key, kept as a snapshot and the changes written since.
+
+    Writing costs as much as the change, not as the table. Every ``compact_every``-th version folds
+    the changes into a new snapshot. Versions may be written again: they replace themselves, and a
+    version is read from older ones only.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: list[str], order: list[str], compact_every: int = 20):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.key, self.order, self.compact_every = key, order, compact_every
+        self.base = Snapshots(spark, f"{self.path}/base")
+
+    def _changes(self, after: int | None, before: int | None) -> DataFrame | None:
+        try:
+            rows = self.spark.read.parquet(f"{self.path}/changes")
+        except AnalysisException:
+            return None
+        if after is not None:
+            rows = rows.filter(F.col("version") > after)
+        if before is not None:
+            rows = rows.filter(F.col("version") < before)
+        return rows.drop("version")
+
+    def read(self, before: int | None = None) -> DataFrame | None:
+        """The table as of the last version, or as of the last one before ``before``."""
+        newest = self.base.newest(before)
+        base = None if newest is None else self.spark.read.parquet(f"{self.base.path}/data/version={newest}")
+        changes = self._changes(newest, before)
+        if base is None or changes is None:
+            rows = base if changes is None else changes
+            return None if rows is None else latest(rows, self.key, self.order)
+        return latest(base.unionByName(changes), self.key, self.order)
+
+    def write(self, changes: DataFrame, version: int) -> None:
+        latest(changes, self.key, self.order).write.mode("overwrite").parquet(f"{self.path}/changes/version={version}")
+        if (version + 1) % self.compact_every == 0:
+            self.base.write(self.read(before=version + 1), version)
+
+
 def pending(ids: DataFrame, state: DataFrame, key: str = "id") -> DataFrame:
     """Rows of ``ids`` that are not completed; duplicates stay."""
     return ids.join(completed(state, key), key, "left_anti")

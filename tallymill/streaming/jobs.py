@@ -3,7 +3,8 @@
 Windows, running totals and approximate deduplication use Spark's own state. Steps that depend on
 the exact order of a key's rows run in ``foreachBatch``: the batch is put in order by the same
 running aggregates as a batch job (so a hot key is spread out), starting from one carried row per
-key. Outputs and carried rows are written under the batch id; a repeated batch replaces them.
+key. Outputs and the carried rows of the keys a batch touched are written under the batch id; a
+repeated batch replaces them.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallymill.operators.cache import stores
 from tallymill.operators.monitor import gate_steps
-from tallymill.operators.state import Snapshots, latest, upsert
+from tallymill.operators.state import KeyedLog
 from tallymill.operators.telemetry import TERMINAL
 from tallymill.plans.ordered import OrderedRows
 from tallymill.plans.skew import lookup_join
@@ -45,15 +46,16 @@ def output(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out")
 
 
-def carry(stream: DataFrame, path: str, step: Step) -> None:
-    """Run a stateful step over what is available now: (batch, carried rows) -> (output, carried rows)."""
+def carry(stream: DataFrame, path: str, step: Step, key: list[str], order: list[str], compact_every: int = 20) -> None:
+    """Run a stateful step over what is available now: (batch, carried rows) -> (output, changed
+    carried rows). Carried rows have one row per ``key``, the latest by ``order``."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        snapshots = Snapshots(batch.sparkSession, f"{path}/state")
+        state = KeyedLog(batch.sparkSession, f"{path}/state", key, order, compact_every)
         rows = batch.persist()
         try:
-            out, state = step(rows, snapshots.read(before=batch_id))
+            out, changes = step(rows, state.read(before=batch_id))
             out.write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
-            snapshots.write(state, batch_id)
+            state.write(changes, batch_id)
         finally:
             rows.unpersist()
 
@@ -61,30 +63,32 @@ def carry(stream: DataFrame, path: str, step: Step) -> None:
 
 
 def _with_carried(batch: DataFrame, state: DataFrame | None, by: list[str], fields: dict[str, str]) -> DataFrame:
-    """Batch rows with the carried values of their key, null for a new key."""
+    """Batch rows with the carried values of their key, null for a new key. Only the carried rows of
+    keys in the batch take part."""
     if state is None:
         return batch.withColumns({f"_c_{name}": F.lit(None).cast(kind) for name, kind in fields.items()})
-    carried = state.select(*by, *[F.col(name).cast(kind).alias(f"_c_{name}") for name, kind in fields.items()])
-    return lookup_join(batch, carried, by, "left", stored=True)
+    carried = (state.join(batch.select(*by).distinct(), by, "left_semi")
+               .select(*by, *[F.col(name).cast(kind).alias(f"_c_{name}") for name, kind in fields.items()]))
+    return lookup_join(batch, carried, by, "left")
 
 
 def gate_step(by: list[str], order: list[str], score: str = "score", *, threshold: float, window: int, recovery: int = 0,
               **ordered) -> Step:
-    """The quality gate on a stream: the same states as over all rows at once."""
+    """The quality gate on a stream: the same states as over all rows at once. Carries ``by`` in order of ``n``."""
     fields = {"n": "bigint", "good": "bigint", "low": "bigint", "halt": "bigint", "resume": "bigint"}
 
     def step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         rows = _with_carried(batch.filter(F.col(score).isNotNull()), state, by, fields)
         gated = gate_steps(OrderedRows(rows, by, order, **ordered), score, threshold, window, recovery, carried=True).df
         kept = gated.select(*by, *[F.col(f"_{f}").alias(f) for f in fields])
-        tails = latest(kept, by, ["n"]) if state is None else latest(state.unionByName(kept), by, ["n"])
-        return gated.select(*batch.columns, "halted"), tails
+        return gated.select(*batch.columns, "halted"), kept
 
     return step
 
 
 def phase_step(by: list[str], order: list[str], phase: str = "phase", status: str = "status", **ordered) -> Step:
-    """Phase changes on a stream, up to the first completed or failed update of a key."""
+    """Phase changes on a stream, up to the first completed or failed update of a key. Carries ``by``
+    in order of ``seen``."""
     def step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         rows = _with_carried(batch, state, by, {"phase": "string", "over": "int", "seen": "bigint"})
         over = F.col(status).isin(*TERMINAL).cast("int")
@@ -95,20 +99,20 @@ def phase_step(by: list[str], order: list[str], phase: str = "phase", status: st
         out = marked.filter(~ended & ~F.col(phase).eqNullSafe(before)).select(*batch.columns)
         seen = F.coalesce("_c_seen", F.lit(0)) + F.col("_k")
         now = marked.select(*by, F.col(phase).alias("phase"), F.greatest(over, ended.cast("int")).alias("over"), seen.alias("seen"))
-        return out, latest(now if state is None else state.unionByName(now), by, ["seen"])
+        return out, now
 
     return step
 
 
 def first_seen_step(key: str, at: str, ttl: int, **options) -> Step:
-    """The requests of a stream that a cache with this ttl does not answer."""
+    """The requests of a stream that a cache with this ttl does not answer. Carries ``key`` in order
+    of ``at``."""
     def step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         times = batch.select(key, at).distinct()
         known = None if state is None else state.join(times.select(key).distinct(), key, "left_semi")
         stored = stores(times if known is None else times.unionByName(known).distinct(), key, at, ttl, **options)
         fresh = stored if known is None else stored.join(known, [key, at], "left_anti")
-        tails = stored if state is None else stored.unionByName(state)
-        return fresh, tails.groupBy(key).agg(F.max(at).alias(at))
+        return fresh, fresh
 
     return step
 
@@ -139,9 +143,13 @@ def progress(priced: DataFrame, by: list[str], budget: Column, path: str) -> Non
         f"{path}/out/batch={batch_id}"), mode="update")
 
 
-def upserts(stream: DataFrame, path: str, key: list[str], order: list[str]) -> None:
-    """Keep the latest row of every key in snapshots below ``path``."""
+def upserts(stream: DataFrame, path: str, key: list[str], order: list[str], compact_every: int = 20) -> None:
+    """Keep the latest row of every key; read it with ``upserted``."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        upsert(Snapshots(batch.sparkSession, f"{path}/state"), batch, key, order, batch_id)
+        KeyedLog(batch.sparkSession, f"{path}/state", key, order, compact_every).write(batch, batch_id)
 
     drain_batches(stream, path, handle)
+
+
+def upserted(spark: SparkSession, path: str, key: list[str], order: list[str]) -> DataFrame | None:
+    return KeyedLog(spark, f"{path}/state", key, order).read()

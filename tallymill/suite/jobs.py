@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallymill.functions.money import call_cost
 from tallymill.operators.rules import Rule
-from tallymill.operators.state import Snapshots, latest
+from tallymill.operators.state import latest
 from tallymill.plans.refine import refine
 from tallymill.plans.workflow import Node, node_stats, run_workflow
 from tallymill.session import fresh_path, load
@@ -41,7 +41,7 @@ def _score(events):
 
 def stream_quality_gate(spark, d):
     step = jobs.gate_step(["mission_id"], ["ord"], threshold=0.8, window=3, recovery=4)
-    path = in_waves(spark, d, lambda s, p: jobs.carry(_score(s), p, step))
+    path = in_waves(spark, d, lambda s, p: jobs.carry(_score(s), p, step, ["mission_id"], ["n"]))
     return jobs.output(spark, path).drop("batch")
 
 
@@ -53,13 +53,13 @@ def _phase(events):
 
 def stream_phase_changes(spark, d):
     step = jobs.phase_step(["user_id"], ["ts", "event_id"])
-    path = in_waves(spark, d, lambda s, p: jobs.carry(_phase(s), p, step))
+    path = in_waves(spark, d, lambda s, p: jobs.carry(_phase(s), p, step, ["user_id"], ["seen"]))
     return jobs.output(spark, path).select("user_id", "event_id", "phase")
 
 
 def stream_first_seen(spark, d):
     step = jobs.first_seen_step("user_id", "at", TTL)
-    path = in_waves(spark, d, lambda s, p: jobs.carry(s.select("user_id", F.expr(MICROS).alias("at")), p, step))
+    path = in_waves(spark, d, lambda s, p: jobs.carry(s.select("user_id", F.expr(MICROS).alias("at")), p, step, ["user_id"], ["at"]))
     return jobs.output(spark, path).drop("batch")
 
 
@@ -92,9 +92,9 @@ def stream_upserts(spark, d):
         log = stream.select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("id"),
                             F.when(F.col("value") >= 30.0, "completed").otherwise("pending").alias("status"),
                             F.col("event_id").alias("updated_at"))
-        jobs.upserts(log, path, ["id"], ["updated_at"])
+        jobs.upserts(log, path, ["id"], ["updated_at"], compact_every=2)
 
-    return Snapshots(spark, f"{in_waves(spark, d, run)}/state").read()
+    return jobs.upserted(spark, in_waves(spark, d, run), ["id"], ["updated_at"])
 
 
 def refine_items(spark, d):

@@ -129,7 +129,7 @@ def test_stream_upsert_and_repeats(spark, tmp_path):
         jobs.upserts(jobs.read_folder(spark, str(tmp_path / "in"), schema), str(tmp_path / "job"), ["id"], ["v"])
         jobs.drain(jobs.drop_repeats(jobs.read_folder(spark, str(tmp_path / "in"), schema), ["id"], "ts", "1 hour"), str(tmp_path / "dedup"))
         jobs.drain(jobs.session_counts(jobs.read_folder(spark, str(tmp_path / "in"), schema), ["id"], "1 minute", "1 minute"), str(tmp_path / "sess"))
-    rows = st.Snapshots(spark, str(tmp_path / "job" / "state")).read().collect()
+    rows = jobs.upserted(spark, str(tmp_path / "job"), ["id"], ["v"]).collect()
     assert {(r.id, r.v) for r in rows} == {("a", 5), ("b", 1)}
     assert sorted(r.id for r in jobs.output(spark, str(tmp_path / "dedup")).collect()) == ["a", "b"]
     assert spark.read.schema("id string, n long").parquet(str(tmp_path / "sess" / "out")).count() == 0
@@ -146,7 +146,7 @@ def test_stream_phases_equal_batch_phases(spark, tmp_path, options):
     for low in (0, 3, 4, 7):
         part = [r for r in rows if low <= r[1] < {0: 3, 3: 4, 4: 7, 7: 8}[low]]
         spark.createDataFrame(part, schema).write.mode("append").parquet(str(tmp_path / "in"))
-        jobs.carry(jobs.read_folder(spark, str(tmp_path / "in"), schema), str(tmp_path / "job"), jobs.phase_step(["k"], ["i"], **options))
+        jobs.carry(jobs.read_folder(spark, str(tmp_path / "in"), schema), str(tmp_path / "job"), jobs.phase_step(["k"], ["i"], **options), ["k"], ["seen"], compact_every=2)
     got = jobs.output(spark, str(tmp_path / "job"))
     assert sorted((r.k, r.i) for r in got.collect()) == sorted((r.k, r.i) for r in want.collect())
 
@@ -279,3 +279,16 @@ def test_telemetry_levels(spark):
     events = df.select(te.event_level(F.col("t"), F.col("l")).alias("level"), F.repeat(F.lit("x"), F.lit(300)).alias("p"))
     assert te.emitted(events, 9).count() == 4 and te.emitted(events, 0).count() == 1
     assert te.emitted(events, 3, "p").filter("length(p) <> 200").isEmpty()
+
+
+def test_keyed_log_compacts_and_repeats(spark, tmp_path):
+    log = st.KeyedLog(spark, str(tmp_path / "log"), ["k"], ["v"], compact_every=2)
+    assert log.read() is None
+    waves = [[("a", 1), ("b", 1)], [("a", 3)], [("b", 2), ("a", 2)], [("c", 9)], [("c", 8), ("d", 1)]]
+    for version, wave in enumerate(waves):
+        for _ in range(2):
+            log.write(spark.createDataFrame(wave, "k string, v long"), version)
+    assert {(r.k, r.v) for r in log.read().collect()} == {("a", 3), ("b", 2), ("c", 9), ("d", 1)}
+    assert {(r.k, r.v) for r in log.read(before=2).collect()} == {("a", 3), ("b", 1)}
+    assert {(r.k, r.v) for r in log.read(before=1).collect()} == {("a", 1), ("b", 1)}
+    assert log.base.newest() == 3

@@ -53,7 +53,7 @@ def test_stream_gate_equals_batch_gate(spark, tmp_path, waves, options):
     for w in range(waves):
         part = rows[w * 160 // waves:(w + 1) * 160 // waves]
         spark.createDataFrame(part, schema).write.mode("append").parquet(str(tmp_path / "in"))
-        jobs.carry(jobs.read_folder(spark, str(tmp_path / "in"), schema), str(tmp_path / "job"), step)
+        jobs.carry(jobs.read_folder(spark, str(tmp_path / "in"), schema), str(tmp_path / "job"), step, ["m"], ["n"], compact_every=3)
     got = jobs.output(spark, str(tmp_path / "job"))
     assert {(r.m, r.ord): r.halted for r in got.collect()} == {(r.m, r.ord): r.halted for r in want.collect()}
 
@@ -85,7 +85,7 @@ def test_stream_first_seen_equals_batch(spark, tmp_path):
     requests.sort(key=lambda r: r[1])
     for w in range(3):
         spark.createDataFrame(requests[w * 50:(w + 1) * 50], "k string, at long").write.mode("append").parquet(str(tmp_path / "in"))
-        jobs.carry(jobs.read_folder(spark, str(tmp_path / "in"), "k string, at long"), str(tmp_path / "job"), jobs.first_seen_step("k", "at", 25))
+        jobs.carry(jobs.read_folder(spark, str(tmp_path / "in"), "k string, at long"), str(tmp_path / "job"), jobs.first_seen_step("k", "at", 25), ["k"], ["at"])
     got = sorted((r.k, r.at) for r in jobs.output(spark, str(tmp_path / "job")).collect())
     assert got == sorted((k, t) for k in "ab" for t in stores_fold({t for kk, t in requests if kk == k}, 25))
 

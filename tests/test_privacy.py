@@ -124,5 +124,12 @@ def test_large_text_and_long_run(spark):
 def test_text_with_very_many_values(spark):
     rng = random.Random(2)
     text = " ".join(f"10.{rng.randrange(200)}.{rng.randrange(200)}.7" for _ in range(20_000))
-    row = privacy.mask(spark.createDataFrame([(1, text)], "id long, text string")).first()
-    assert row.masked == fold(text) and len(row.vault) == len(set(text.split()))
+    masked = privacy.mask(spark.createDataFrame([(1, text)], "id long, text string"))
+    row = privacy.unmask_row(masked).first()
+    assert row.restored == text and row.masked == fold(text) and len(row.vault) == len(set(text.split()))
+
+
+def test_row_vault_of_another_make(spark):
+    vault = {"[[PII_EMAIL_7]]": "a@b.c", "[[PII_PHONE_1]]": PHONE}
+    df = spark.createDataFrame([("[[PII_PHONE_1]] [[PII_EMAIL_7]] [[PII_EMAIL_1]] [[PII_X_12345678901]]", vault)], "masked string, vault map<string,string>")
+    assert privacy.unmask_row(df).first().restored == f"{PHONE} a@b.c [[PII_EMAIL_1]] [[PII_X_12345678901]]"
