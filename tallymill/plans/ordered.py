@@ -62,11 +62,12 @@ class OrderedRows:
             # recomputed one could cut elsewhere.
             df = checkpointed(df.repartitionByRange(buckets, *self.by, *self.order)
                               .withColumn(_BUCKET, F.spark_partition_id()))
-        self._df = df
+        self._df, self._scanned = df, False
 
-    def _with(self, df: DataFrame) -> OrderedRows:
+    def _with(self, df: DataFrame, scanned: bool | None = None) -> OrderedRows:
         other = object.__new__(OrderedRows)
         other.by, other.order, other.bucketed, other._df = self.by, self.order, self.bucketed, df
+        other._scanned = self._scanned if scanned is None else scanned
         return other
 
     @property
@@ -91,7 +92,9 @@ class OrderedRows:
                 {name: _running(kind, value, window) for name, (kind, value) in running.items()}))
 
         names = list(running)
-        rows = self._df.withColumns({f"_v_{n}": v for n, (_, v) in running.items()})
+        # Each scan reads its rows twice. Storing the scan before keeps a chain of scans linear.
+        source = checkpointed(self._df) if self._scanned else self._df
+        rows = source.withColumns({f"_v_{n}": v for n, (_, v) in running.items()})
         summary = []
         for n, (kind, _) in running.items():
             value = F.col(f"_v_{n}")
@@ -112,7 +115,7 @@ class OrderedRows:
                    .withColumns({n: _running(running[n][0], F.col(f"_v_{n}"), inside) for n in names})
                    .filter(F.col(_ROW) == 1)
                    .drop(_ROW, *[f"_v_{n}" for n in names]))
-        return self._with(scanned)
+        return self._with(scanned, scanned=True)
 
     def previous(self, **columns: Column) -> OrderedRows:
         """Values of the key's row before this one (null on its first row)."""

@@ -22,7 +22,7 @@ def version_log(spark, d):
 
 def append_versions(spark, d):
     """Customers' market segments append further versions to the log of their region."""
-    segments = load(spark, d, "customer").join(F.broadcast(load(spark, d, "nation")), F.expr("c_nationkey = n_nationkey"))
+    segments = load(spark, d, "customer").join(load(spark, d, "nation"), F.expr("c_nationkey = n_nationkey"))
     changes = (segments.groupBy(F.col("n_regionkey").alias("node_id"), F.col("c_mktsegment").alias("template"))
                .agg(F.min("c_custkey").alias("at"))
                .withColumns({"change_log": F.lit("segment"), "stats": no_scores()}))
