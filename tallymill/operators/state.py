@@ -75,15 +75,21 @@ class KeyedLog:
         self.base = Snapshots(spark, f"{self.path}/base")
 
     def _changes(self, after: int | None, before: int | None) -> DataFrame | None:
+        """Changes of the versions between two others. Between known ones the folders are named, so
+        the cost does not grow with the log's age; gaps in the numbering fall back to a listing."""
+        first = 0 if after is None else after + 1
+        if before is not None and before <= first:
+            return None
+        if before is not None and before - first <= 10 * self.compact_every:
+            try:
+                return self.spark.read.parquet(*[f"{self.path}/changes/version={v}" for v in range(first, before)])
+            except AnalysisException:
+                pass
         try:
-            rows = self.spark.read.parquet(f"{self.path}/changes")
+            rows = self.spark.read.parquet(f"{self.path}/changes").filter(F.col("version") >= first)
         except AnalysisException:
             return None
-        if after is not None:
-            rows = rows.filter(F.col("version") > after)
-        if before is not None:
-            rows = rows.filter(F.col("version") < before)
-        return rows.drop("version")
+        return (rows if before is None else rows.filter(F.col("version") < before)).drop("version")
 
     def read(self, before: int | None = None) -> DataFrame | None:
         """The table as of the last version, or as of the last one before ``before``."""

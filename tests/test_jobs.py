@@ -292,3 +292,5 @@ def test_keyed_log_compacts_and_repeats(spark, tmp_path):
     assert {(r.k, r.v) for r in log.read(before=2).collect()} == {("a", 3), ("b", 1)}
     assert {(r.k, r.v) for r in log.read(before=1).collect()} == {("a", 1), ("b", 1)}
     assert log.base.newest() == 3
+    log.write(spark.createDataFrame([("e", 1)], "k string, v long"), 9)
+    assert log.read(before=10).count() == 5 and log.read(before=9).count() == 4 and log.read(before=0) is None
