@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.llm import langid, line_dedup, packing, quality, simhash
-from tallymill.llm.common import stored
+from tallymill.llm.common import free_name, stored
 
 #: A document whose words speak less than this for its best language is in none that was learnt.
 MIN_LANGUAGE_SCORE = 0.3
@@ -16,14 +16,16 @@ MIN_LANGUAGE_SCORE = 0.3
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those that are in no language learnt."""
     model = langid.learn(docs.filter(~langid.held_out(F.col("doc_id"))).select("doc_id", "lang", "text"))
-    known = (F.col("_lang.lang") != langid.UNKNOWN) & (F.col("_lang.score") >= MIN_LANGUAGE_SCORE)
-    return langid.predictions(docs, model).filter(known).select(*docs.columns)
+    name = free_name(docs, "_lang")
+    known = (F.col(f"{name}.lang") != langid.UNKNOWN) & (F.col(f"{name}.score") >= MIN_LANGUAGE_SCORE)
+    return langid.predictions(docs, model, name=name).filter(known).select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail a rule of the current policy."""
-    kept = quality.verdict(F.col("_ledger.failed"), "base") & quality.verdict(F.col("_ledger.failed"))
-    return quality.ledger(docs).filter(kept).select(*docs.columns)
+    name = free_name(docs, "_ledger")
+    kept = quality.verdict(F.col(f"{name}.failed"), "base") & quality.verdict(F.col(f"{name}.failed"))
+    return quality.ledger(docs, name=name).filter(kept).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +40,9 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows without a doc_id cannot be named and stay; of rows that share the doc_id that stays, all stay.
     """
     groups = simhash.simhash_groups(docs)
-    gone = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(stored(gone, "near-duplicates"), docs["doc_id"] == F.col("_gone"), "left_anti")
+    name = free_name(docs, "_gone")
+    gone = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(stored(gone, "near-duplicates"), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

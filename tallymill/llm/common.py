@@ -55,6 +55,14 @@ def id_key(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("bigint"), F.lit(LAST_ID))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Smallest member of each index's component when ``a[i]`` and ``b[i]`` are linked."""
     label = np.arange(n)

@@ -139,12 +139,12 @@ def learn(labelled: DataFrame) -> Model:
     return Model(languages, word_rows, gram_rows, table)
 
 
-def predictions(texts: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of ``texts`` plus ``_lang``: a struct of lang and score, from the text alone.
+def predictions(texts: DataFrame, model: Model, text: str = "text", name: str = "_lang") -> DataFrame:
+    """All columns of ``texts`` plus ``name``: a struct of lang and score, from the text alone.
 
     A null text, or one without a letter, is ``und`` with score 0, and so is every text when there was nothing
     to learn from. Row-local; equal texts get equal answers, and an equal score goes to the language
-    first in the alphabet. An input column named ``_lang`` is replaced.
+    first in the alphabet. An input column called ``name`` is replaced.
     """
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
@@ -152,7 +152,7 @@ def predictions(texts: DataFrame, model: Model, text: str = "text") -> DataFrame
         found = [shared.value.predict(t) for t in strings(batch)]
         return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang", "score"])
 
-    return texts.withColumn("_lang", text_udf(run, "struct<lang:string,score:double>")(F.col(text)))
+    return texts.withColumn(name, text_udf(run, "struct<lang:string,score:double>")(F.col(text)))
 
 
 def identify(docs: DataFrame) -> DataFrame:

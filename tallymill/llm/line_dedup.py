@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.common import code_points, id_key, shuffle_partitions, stored, text_udf, utf8
+from tallymill.llm.common import code_points, free_name, id_key, shuffle_partitions, stored, text_udf, utf8
 
 MIN_CHARS = 10
 SPACE = b" \t\n\x0b\x0c\r"
@@ -224,14 +224,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     ten code points that two documents hold loses all its lines but those in the smallest doc_id holding
     it; within that document repeats stay. A null or empty text is one empty line. Rows with the same
     doc_id are one document; a null doc_id is greater than all others, and rows without an id are one
-    document. An empty table gives an empty one; other columns pass through untouched.
+    document. An empty table gives an empty one; other columns pass through untouched, but for
+    ones named ``_n_lines`` or ``_n_dropped``, which are replaced.
     """
     narrow = docs.select(id_key().alias("doc"), "text")
     index, shards = line_index(narrow)
-    drops = lines_to_drop(narrow, index, shards).withColumnRenamed("doc", "_doc")
-    keyed = docs.withColumn("_doc", id_key())
-    joined = keyed.join(drops, "_doc", "left")
-    cleaned = joined.withColumn("_c", text_udf(_cleaned, "struct<kept:binary,n_lines:bigint,n_dropped:bigint>")(F.col("text"), F.col("gone")))
-    return cleaned.select(*[F.when(F.col("text").isNotNull(), F.col("_c.kept").cast("string")).alias("text") if c == "text" else F.col(c)
-                            for c in docs.columns],
-                          F.col("_c.n_lines").alias("_n_lines"), F.col("_c.n_dropped").alias("_n_dropped"))
+    key, gone, done = (free_name(docs, n) for n in ("_doc", "_gone", "_cleaned"))
+    drops = lines_to_drop(narrow, index, shards).select(F.col("doc").alias(key), F.col("gone").alias(gone))
+    joined = docs.withColumn(key, id_key()).join(drops, key, "left")
+    cleaned = joined.withColumn(done, text_udf(_cleaned, "struct<kept:binary,n_lines:bigint,n_dropped:bigint>")(F.col("text"), F.col(gone)))
+    return cleaned.select(*[F.when(F.col("text").isNotNull(), F.col(f"{done}.kept").cast("string")).alias("text") if c == "text" else F.col(c)
+                            for c in docs.columns if c not in ("_n_lines", "_n_dropped")],
+                          F.col(f"{done}.n_lines").alias("_n_lines"), F.col(f"{done}.n_dropped").alias("_n_dropped"))

@@ -7,6 +7,7 @@ out never reads a text again.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -94,26 +95,24 @@ def _measured(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(c) for c in columns], list(MEASURES))
 
 
-def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` plus ``_ledger``: a struct of the measurements and ``failed``, the bits of
+def ledger(docs: DataFrame, text: str = "text", name: str = "_ledger") -> DataFrame:
+    """All columns of ``docs`` plus ``name``: a struct of the measurements and ``failed``, the bits of
     the failed rules (one bigint).
 
     One pass in the rows' own tasks; nothing is shuffled. A null text is an empty one: all measurements
     are 0, so it fails ``few_words``. Only the text is read, so repeated rows and ties are rows like any
-    other; an input column named ``_ledger`` is replaced.
+    other; an input column called ``name`` is replaced.
     """
-    measured = docs.withColumn("_ledger", text_udf(_measured, TYPE)(F.col(text)))
+    measured = docs.withColumn(name, text_udf(_measured, TYPE)(F.col(text)))
     bits = F.lit(0).cast("bigint")
     for rule in RULES:
-        fails = F.expr(_qualified(rule.fails))
+        fails = F.expr(_qualified(rule.fails, name))
         bits = bits.bitwiseOR(F.when(fails, F.lit(1 << rule.bit)).otherwise(F.lit(0)).cast("bigint"))
-    return measured.withColumn("_ledger", F.col("_ledger").withField("failed", bits))
+    return measured.withColumn(name, F.col(name).withField("failed", bits))
 
 
-def _qualified(condition: str) -> str:
-    import re
-
-    return re.sub(rf"\b({'|'.join(MEASURES)})\b", r"_ledger.\1", condition)
+def _qualified(condition: str, name: str) -> str:
+    return re.sub(rf"\b({'|'.join(MEASURES)})\b", rf"{name}.\1", condition)
 
 
 def verdict(failed, policy: str = CURRENT):
