@@ -86,8 +86,8 @@ def _pieces(path: str, capacity: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = file_encoder(path, attached=False), np.array([END], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
                 doc, piece, start, length, crc, kept = [], [], [], [], [], []
                 for one, ids in zip(part.column(0).to_pylist(), encoder.encode(strings(part.column(1)))):
                     ids += end
