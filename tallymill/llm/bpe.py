@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.chunks import ChunkEncoder
+from tallymill.llm.chunks import LONGEST, REMEMBERED, ChunkEncoder
 from tallymill.llm.common import strings, text_udf
 
 KNOWN_PAIRS = 1_000_000
@@ -43,11 +43,12 @@ class Vocabulary:
                 self.halves[rank] = (ranks[parts[0]], ranks[parts[1]])
             reachable.append(token)
         self.merge_of = {pair: rank for rank, pair in self.halves.items()}
-        #: Tokens that merging can yield; all their ends, so a search backwards knows when to stop.
-        self.reachable = {token: ranks[token] for token in reachable}
-        self.ends = {token[i:] for token in reachable for i in range(len(token))}
+        #: All ends of the tokens that merging can yield, so that a search backwards knows when to stop: with
+        #: the rank where the end is such a token itself, else -1.
+        self.ends = dict.fromkeys((token[i:] for token in reachable for i in range(len(token))), -1)
+        self.ends.update((token, ranks[token]) for token in reachable)
         self.longest = max(map(len, reachable), default=1)
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self.known_pairs: dict[tuple[int, int], bool] = {}
 
     def _merged(self, data: bytes, below: int) -> list[bytes]:
         """``data`` merged by all ranks less than ``below``, lowest first and leftmost first."""
@@ -67,11 +68,11 @@ class Vocabulary:
         the border could have merged across it, if that merge came before the one undone.
         """
         key = (left, right)
-        answer = self._pairs.get(key)
+        answer = self.known_pairs.get(key)
         if answer is None:
-            if len(self._pairs) >= KNOWN_PAIRS:
-                self._pairs.clear()
-            answer = self._pairs[key] = self._untouched(left, right)
+            if len(self.known_pairs) >= KNOWN_PAIRS:
+                self.known_pairs.clear()
+            answer = self.known_pairs[key] = self._untouched(left, right)
         return answer
 
     def _untouched(self, left: int, right: int) -> bool:
@@ -98,13 +99,21 @@ class PrefixTable:
         self.append(data)
 
     def _last_of(self, end: int) -> int:
-        vocabulary, data, last = self.vocabulary, self.data, self.last
+        """The longest token ending at ``end`` that may stand there; only one may."""
+        ends, data, last, known = self.vocabulary.ends, self.data, self.last, self.vocabulary.known_pairs
+        candidates = []
         for begin in range(end - 1, -1, -1):
-            piece = data[begin:end]
-            if piece not in vocabulary.ends:
+            token = ends.get(data[begin:end])
+            if token is None:
                 break
-            token = vocabulary.reachable.get(piece)
-            if token is not None and (begin == 0 or vocabulary.neighbours(last[begin - 1], token)):
+            if token >= 0:
+                candidates.append((begin, token))
+        for begin, token in reversed(candidates):
+            if begin == 0:
+                return token
+            before = last[begin - 1]
+            fits = known.get((before, token))
+            if fits if fits is not None else self.vocabulary.neighbours(before, token):
                 return token
         raise ValueError(f"no token ends at byte {end}")
 
@@ -114,6 +123,17 @@ class PrefixTable:
         for end in range(begin + 1, len(self.data) + 1):
             self.last.append(self._last_of(end))
 
+    def become(self, data: bytes) -> None:
+        """Hold ``data`` instead, keeping the entries of the prefix both have."""
+        same = 0
+        for old, new in zip(self.data, data):
+            if old != new:
+                break
+            same += 1
+        del self.last[same:]
+        self.data = data[:same]
+        self.append(data[same:])
+
     def edit(self, begin: int, end: int, new: bytes) -> int:
         """Put ``new`` in place of bytes begin..end; returns how many entries were worked out.
 
@@ -155,24 +175,26 @@ class Codec:
         self.chunks = ChunkEncoder(self._chunk_ids, attached=True)
         self.table = [self.vocabulary.bytes_of.get(i) for i in range(max(self.vocabulary.bytes_of) + 1)]
 
-    def encode_piece(self, piece: bytes) -> list[int]:
-        whole = self.vocabulary.ranks.get(piece)
-        return [whole] if whole is not None else PrefixTable(self.vocabulary, piece).tokens()
-
-    def _chunk_ids(self, chunks: list[str]):
-        words = self._words
-        for chunk in chunks:
-            out = []
-            for piece in self.pieces.findall(chunk):
-                ids = words.get(piece)
-                if ids is None:
-                    if len(words) >= 300_000:
-                        words.clear()
-                    ids = np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
-                    if len(piece) <= 64:
-                        words[piece] = ids
-                out.append(ids)
-            yield b"".join(out)
+    def _chunk_ids(self, chunks: list[str], between: str | None) -> list[bytes]:
+        """In sorted order pieces have long prefixes in common, and one table grows from piece to piece."""
+        words, ranks = self._words, self.vocabulary.ranks
+        if len(words) > REMEMBERED:
+            words.clear()
+        pieces = [self.pieces.findall(chunk) for chunk in chunks]
+        new = set().union(*pieces).difference(words)
+        table = PrefixTable(self.vocabulary)
+        for data, piece in sorted((piece.encode(), piece) for piece in new):
+            whole = ranks.get(data)
+            if whole is None:
+                table.become(data)
+                words[piece] = np.array(table.tokens(), "<u4").tobytes()
+            else:
+                words[piece] = whole.to_bytes(4, "little")
+        out = [b"".join(map(words.__getitem__, own)) for own in pieces]
+        for piece in new:
+            if len(piece) > LONGEST:
+                del words[piece]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian uint32 ids of each text."""
@@ -201,10 +223,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
     def run(texts: pa.Array) -> pa.Array:
         own = codec(path, pattern)
-        ids = []
-        whole = strings(texts)
-        for at in range(0, len(whole), 256):
-            ids.extend(own.encode(whole[at:at + 256]))
+        ids = own.encode(strings(texts))
         return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array([own.decode(i) for i in ids], pa.binary())], ["ids", "decoded"])
 
     coded = docs.select("doc_id", text_udf(run, "struct<ids:binary,decoded:binary>")(F.col("text")).alias("_c"))
