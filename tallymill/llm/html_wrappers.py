@@ -67,8 +67,7 @@ def _element(tag: str, raw: str) -> Node:
             elif name in ("class", "id", "role"):
                 words = {w.lower() for w in _WORDS.findall(value)}
                 apart = apart or tag not in ("html", "body") and not words.isdisjoint(APART_WORDS)
-                if name != "id":
-                    sig += "." + " ".join(sorted({re.sub(r"\d+", "0", v) for v in value.split()}))
+                sig += {"class": ".", "id": "#", "role": "@"}[name] + " ".join(sorted({re.sub(r"\d+", "0", v) for v in value.split()}))
     return Node(tag, sig, apart)
 
 
@@ -200,13 +199,17 @@ def expression(wrapper: dict) -> str:
 
 # --- regions ------------------------------------------------------------------------------------
 
+def _tag(signature: str) -> str:
+    return re.split(r"[.#@]", signature, maxsplit=1)[0]
+
+
 def _paths(wrapper: dict, tags: tuple[str, ...], path: list[str]) -> Iterator[list[str]]:
     """Paths to the outermost elements of ``tags`` that are not apart."""
     for kid, _, _ in wrapper.get("k", ()):
         if kid["s"] == "#" or kid["a"]:
             continue
         here = path + [kid["s"]]
-        if kid["s"].split(".")[0] in tags or "main" in tags and ".main" in kid["s"]:
+        if _tag(kid["s"]) in tags or "main" in tags and "@main" in kid["s"]:
             yield here
         else:
             yield from _paths(kid, tags, here)
@@ -224,7 +227,7 @@ def region_of(wrapper: dict) -> dict:
         inside = [(k["c"] - k["l"] - _apart_text(k), k) for k, _, _ in node["k"] if k["s"] != "#" and not k["a"]]
         whole = node["c"] - node["l"] - _apart_text(node)
         best = max(inside, key=lambda x: x[0], default=(0, None))
-        if best[1] is None or best[0] < SHARE * whole or best[1]["s"].split(".")[0] in ("p", "pre", "h1", "h2", "h3", "blockquote", "li"):
+        if best[1] is None or best[0] < SHARE * whole or _tag(best[1]["s"]) in ("p", "pre", "h1", "h2", "h3", "blockquote", "li"):
             break
         node = best[1]
         path.append(node["s"])
