@@ -1,9 +1,11 @@
 """Token files by a static range asymmetric numeral system (rANS).
 
-Ids are counted once over the whole corpus; the counts, scaled to a power of two, are the frequency table
-all blocks share. A block holds whole documents, is coded on its own by interleaved lanes, and carries
-checkpoints (lane states and place in the stream) with a checksum per segment, so segments decode in
-parallel and damage is found. Files are Parquet tables of blocks in ascending doc_id order.
+Texts are range-sorted by doc_id and tokenized in that order. Every GROUP_TOKENS ids or so form a group: its
+counts, scaled to a power of two, are the frequency table that all its blocks share. A block holds whole
+documents, is coded on its own by interleaved lanes, and carries checkpoints (lane states and place in the
+stream) with a checksum per segment, so segments decode in parallel and damage is found. A file is a Parquet
+table with one row per group. No ids are kept anywhere but in these files, and a lost task writes only its own
+range again.
 """
 
 from __future__ import annotations
@@ -18,12 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.llm.chunks import file_encoder
-from tallymill.llm.common import shuffle_partitions, stored, strings
+from tallymill.llm.common import shuffle_partitions, strings
 
 BITS = 20
 LANES = 256
 SEGMENT_STEPS = 256
 BLOCK_TOKENS = 131_072
+GROUP_TOKENS = 16 * BLOCK_TOKENS
 END = 0
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
@@ -34,16 +37,19 @@ _MASK = np.uint64((1 << BITS) - 1)
 class Frequencies:
     """Scaled frequencies of the ids that occur; every one has at least 1, all have 2**BITS together."""
 
-    def __init__(self, counts: dict[int, int]):
-        size = max(counts, default=0) + 1
-        raw = np.zeros(size, np.float64)
-        for token, n in counts.items():
-            raw[token] = n
+    def __init__(self, scaled: np.ndarray):
+        self.frequency = scaled.astype(np.uint64)
+        self.start = (np.cumsum(scaled) - scaled).astype(np.uint64)
+        self.symbol = np.repeat(np.arange(len(scaled), dtype=np.int64), scaled)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Frequencies:
+        raw = np.bincount(ids)
         if np.count_nonzero(raw) > 1 << (BITS - 1):
             raise ValueError(f"{np.count_nonzero(raw)} different ids need more than {BITS} bits")
-        scaled = np.where(raw > 0, np.maximum(1, np.floor(raw * (1 << BITS) / max(raw.sum(), 1))), 0).astype(np.int64)
+        scaled = np.where(raw > 0, np.maximum(1, np.floor(raw * ((1 << BITS) / max(1, raw.sum())))), 0).astype(np.int64)
         excess = int(scaled.sum()) - (1 << BITS)
-        while excess and counts:
+        while excess and len(ids):
             order = np.argsort(-scaled, kind="stable")
             if excess < 0:
                 scaled[order[0]] -= excess
@@ -54,9 +60,19 @@ class Frequencies:
                 excess -= take
                 if not excess:
                     break
-        self.frequency = scaled.astype(np.uint64)
-        self.start = (np.cumsum(scaled) - scaled).astype(np.uint64)
-        self.symbol = np.repeat(np.arange(size, dtype=np.int64), scaled)
+        return cls(scaled)
+
+    def packed(self) -> bytes:
+        seen = np.flatnonzero(self.frequency)
+        return zlib.compress(np.concatenate((np.diff(seen, prepend=0), self.frequency[seen].astype(np.int64))).astype("<u4").tobytes())
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Frequencies:
+        both = np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64).reshape(2, -1)
+        seen = np.cumsum(both[0])
+        scaled = np.zeros(int(seen[-1]) + 1 if len(seen) else 0, np.int64)
+        scaled[seen] = both[1]
+        return cls(scaled)
 
 
 def encode_block(ids: np.ndarray, table: Frequencies) -> dict:
@@ -116,109 +132,85 @@ def decode_block(block: dict, table: Frequencies) -> np.ndarray:
 
 # --- on Spark -----------------------------------------------------------------------------------
 
-BLOCKS = ("part int, block int, part_start bigint, doc_ids array<bigint>, lengths array<int>, n_ids int, payload binary, "
-          "places array<int>, states array<binary>, checksums array<bigint>")
-
-
-def _tokenized(path: str):
+GROUPS = ("part int, start_in_part bigint, n_ids bigint, frequencies binary, blocks array<struct<doc_ids:array<bigint>,lengths:array<int>,"
+          "n_ids:int,payload:binary,places:array<int>,states:array<binary>,checksums:array<bigint>>>")
+_BLOCK = pa.struct([("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("n_ids", pa.int32()), ("payload", pa.binary()),
+                    ("places", pa.list_(pa.int32())), ("states", pa.list_(pa.binary())), ("checksums", pa.list_(pa.int64()))])
+_GROUP = pa.schema([("part", pa.int32()), ("start_in_part", pa.int64()), ("n_ids", pa.int64()), ("frequencies", pa.binary()), ("blocks", pa.list_(_BLOCK))])
+
+
+def _group(part: int, start: int, docs: list, coded: list[bytes]) -> pa.RecordBatch:
+    """One group: its table and its blocks of whole documents."""
+    lengths = np.array([len(i) // 4 for i in coded], np.int64)
+    ids = np.frombuffer(b"".join(coded), "<u4").astype(np.int64)
+    table = Frequencies.of(ids)
+    ends, blocks, first = np.cumsum(lengths), [], 0
+    while first < len(docs):
+        begin = int(ends[first] - lengths[first])
+        last = max(first + 1, int(np.searchsorted(ends, begin + BLOCK_TOKENS, side="right")))
+        own = ids[begin:int(ends[last - 1])]
+        blocks.append({"doc_ids": docs[first:last], "lengths": lengths[first:last].tolist(), **encode_block(own, table)})
+        first = last
+    row = {"part": part, "start_in_part": start, "n_ids": len(ids), "frequencies": table.packed(), "blocks": blocks}
+    return pa.RecordBatch.from_pylist([row], schema=_GROUP)
+
+
+def _written(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = file_encoder(path, attached=True), np.array([END], "<u4").tobytes()
+        part, start, size, docs, coded = TaskContext.get().partitionId(), 0, 0, [], []
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [i + end for i in encoder.encode(strings(part.column("text")))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(zlib.crc32, ids), pa.int64()), pa.array(ids, pa.binary())],
-                                                 ["doc_id", "crc", "ids"])
-    return run
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for ids in batch.column(0).to_pylist():
-            counts = np.bincount(np.frombuffer(ids, "<u4"), minlength=len(total))
-            counts[:len(total)] += total
-            total = counts
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
-
-
-def _coded(counts):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, part = Frequencies(counts.value), TaskContext.get().partitionId()
-        number, begin, docs, lengths, held, size = 0, 0, [], [], [], 0
-
-        def block():
-            ids = np.frombuffer(b"".join(held), "<u4").astype(np.int64)
-            row = {"part": part, "block": number, "part_start": begin, "doc_ids": docs, "lengths": lengths, **encode_block(ids, table)}
-            return pa.RecordBatch.from_pylist([row], schema=_BLOCK_SCHEMA)
-
-        for batch in batches:
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
-                docs.append(doc)
-                lengths.append(len(ids) // 4)
-                held.append(ids)
-                size += lengths[-1]
-                if size >= BLOCK_TOKENS:
-                    yield block()
-                    number, begin, docs, lengths, held, size = number + 1, begin + size, [], [], [], 0
+            for at in range(0, batch.num_rows, 2048):
+                piece = batch.slice(at, 2048)
+                for doc, ids in zip(piece.column("doc_id").to_pylist(), encoder.encode(strings(piece.column("text")))):
+                    docs.append(doc)
+                    coded.append(ids + end)
+                    size += len(ids) // 4 + 1
+                    if size >= GROUP_TOKENS:
+                        yield _group(part, start, docs, coded)
+                        start, size, docs, coded = start + size, 0, [], []
         if docs:
-            yield block()
+            yield _group(part, start, docs, coded)
     return run
 
 
-_BLOCK_SCHEMA = pa.schema([
-    ("part", pa.int32()), ("block", pa.int32()), ("part_start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())),
-    ("n_ids", pa.int32()), ("payload", pa.binary()), ("places", pa.list_(pa.int32())), ("states", pa.list_(pa.binary())),
-    ("checksums", pa.list_(pa.int64()))])
-
-
 def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
     """Write the ids of all texts, each with END behind it, to ``path`` in ascending doc_id order.
 
-    Below ``path`` lie ``blocks`` and ``frequencies``. A null or empty text is END alone. Null ids come
-    first; rows with the same id are ordered by the checksum of their ids and then by the ids. An empty
-    table gives empty files. Other columns are not read. Ids are stored between the two passes, so
-    texts are tokenized once; only the counts, one per id of the vocabulary, come to the driver.
+    A null or empty text is END alone. Null ids come first; rows with the same id are ordered by the
+    checksum of their texts and then by the texts, so that even an id in a third of all rows is spread out. An
+    empty table gives an empty file. Other columns are not read.
     """
-    spark = docs.sparkSession
-    ids = stored(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        _tokenized(tokenizer), "doc_id bigint, crc bigint, ids binary"), "token-ids")
-    counts = ids.select("ids").mapInArrow(_counted, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
-    table = {row["id"]: row["n"] for row in counts.collect()}
-    shared = spark.sparkContext.broadcast(table)
-    ordered = (ids.repartitionByRange(shuffle_partitions(spark), "doc_id", "crc")
-               .sortWithinPartitions("doc_id", "crc", "ids").select("doc_id", "ids"))
-    ordered.mapInArrow(_coded(shared), BLOCKS).write.parquet(f"{path}/blocks")
-    spark.createDataFrame(sorted(table.items()), "id bigint, n bigint").coalesce(1).write.parquet(f"{path}/frequencies")
-
-
-def _decoded(counts):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Frequencies(counts.value)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                block = batch.slice(i, 1).to_pylist()[0]
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.crc32("text").alias("crc"))
+    ordered = (rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id", "crc")
+               .sortWithinPartitions("doc_id", "crc", "text").select("doc_id", "text"))
+    ordered.mapInArrow(_written(tokenizer), GROUPS).write.parquet(path)
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            table, start = Frequencies.unpacked(row["frequencies"]), row["start"]
+            for block in row["blocks"]:
                 ids = decode_block(block, table).astype("<u4")
                 ends = np.cumsum(block["lengths"], dtype=np.int64)
                 begins = ends - np.array(block["lengths"], np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(block["doc_ids"], pa.int64()), pa.array(begins + block["start"]), pa.array(ends - begins),
+                    pa.array(block["doc_ids"], pa.int64()), pa.array(begins + start), pa.array(ends - begins),
                     pa.array([ids[b:e].tobytes() for b, e in zip(begins, ends)], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
-    return run
+                start += block["n_ids"]
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) per document from the files below ``path``; start counts the ids of all
-    documents before it. Blocks decode independently. One total per written part comes to the driver."""
-    table = {row["id"]: row["n"] for row in spark.read.parquet(f"{path}/frequencies").collect()}
-    shared = spark.sparkContext.broadcast(table)
-    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    totals = sorted((r["part"], r["n"]) for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
+    """(doc_id, start, n_tokens, ids) per document from the file at ``path``; start counts the ids of all
+    documents before it. Groups decode independently. One total per written part comes to the driver."""
+    groups = spark.read.schema(GROUPS).parquet(path)
+    totals = sorted((r["part"], r["n"]) for r in groups.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
     before, starts = 0, []
     for part, n in totals:
         starts.append((part, before))
         before += n
     offsets = spark.createDataFrame(starts, "part int, before bigint")
-    placed = blocks.join(F.broadcast(offsets), "part").withColumn("start", F.col("part_start") + F.col("before")).drop("part", "block", "part_start", "before")
-    return placed.mapInArrow(_decoded(shared), "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    placed = groups.join(F.broadcast(offsets), "part").select((F.col("start_in_part") + F.col("before")).alias("start"), "frequencies", "blocks")
+    return placed.mapInArrow(_decoded, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
