@@ -73,12 +73,9 @@ def route_tiers(attempts: DataFrame, tiers: list[ModelTier], available: set[str]
     return attempts.withColumn("model", tier_model(F.col("attempt"), tiers, available))
 
 
-HISTORY_PAGE = 10_000
-
-
-def nest_history(attempts: DataFrame, by: list[str], fields: list[str], page: int = HISTORY_PAGE) -> DataFrame:
-    """Attempts of an item as one ordered array. Attempts beyond ``page`` go to further rows of the
-    item, numbered by ``history_page``, so that no array grows without bound."""
+def nest_history(attempts: DataFrame, by: list[str], fields: list[str], page: int) -> DataFrame:
+    """Attempts of an item as ordered arrays of at most ``page``: one row per item and page, whatever
+    the item's length. ``history_page`` counts from 0; the arrays are bounded by the page."""
     return (attempts.withColumn("history_page", F.floor((F.col("attempt") - 1) / page).cast("int"))
             .groupBy(*by, "history_page")
             .agg(F.sort_array(F.collect_list(F.struct("attempt", *fields))).alias("history")))

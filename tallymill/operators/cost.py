@@ -42,13 +42,12 @@ def budget_fuse(priced: DataFrame, by: list[str], order: list[str], budget: Deci
     """Cumulative cost of every call and whether it came before the fuse, tripped it, or came after.
     All calls stay booked; the fuse trips once."""
     rows = (OrderedRows(priced, by, order, **ordered)
-            .scan(cumulative_cost=("sum", F.col("cost")))
-            .scan(exclusive=True, _before=("sum", F.col("cost"))).df)
+            .scan(cumulative_cost=("sum", F.col("cost")), _calls=("sum", F.lit(1))).df)
     limit = F.lit(Decimal(budget))
     reached = F.col("cumulative_cost") >= limit
-    first = F.col("_before").isNull() | (F.col("_before") < limit)
-    return (rows.withColumn("fuse", F.when(~reached, "before").when(first, "trip").otherwise("after"))
-            .drop("_before"))
+    before = F.col("cumulative_cost") - F.coalesce("cost", F.lit(0))
+    first = (before < limit) | (F.col("_calls") == 1)
+    return rows.withColumn("fuse", F.when(~reached, "before").when(first, "trip").otherwise("after")).drop("_calls")
 
 
 def fuse_trips(fused: DataFrame, by: list[str], call: str) -> DataFrame:

@@ -13,7 +13,6 @@ from tallymill.functions.basic import no_scores, zero
 from tallymill.functions import jsons
 from tallymill.functions.scoring import clamp, weighted_score
 
-MAX_PATTERN = 500
 PROGRAMMATIC = ("regex", "json", "expression")
 
 
@@ -40,9 +39,7 @@ def split_rules(rules: list[Rule]) -> tuple[list[Rule], list[Rule]]:
 
 
 def valid_pattern(spark: SparkSession, pattern: str) -> bool:
-    """Whether the executors' regex engine accepts the pattern; asked once, on the driver."""
-    if len(pattern) > MAX_PATTERN:
-        return False
+    """Whether the executors' regex engine accepts the pattern, of any length; asked once, on the driver."""
     try:
         spark.sql("SELECT '' RLIKE :p", args={"p": pattern}).first()
     except PySparkException:
@@ -66,8 +63,11 @@ def rule_passed(spark: SparkSession, rule: Rule, output: str) -> Column:
 
 def apply_rules(df: DataFrame, rules: list[Rule], output: str = "output") -> DataFrame:
     """Adds ``rules_passed`` and ``rule_scores`` (0 or 1 per key). Rules that share a key all count
-    for the outcome, the last one shows in the scores. No rules: passed, nothing scored."""
+    for the outcome, the last one shows in the scores. No rules: passed, nothing scored. A rule whose
+    pattern is no regular expression fails every row and is named in ``rule_errors``."""
     spark = df.sparkSession
+    broken = [r.key for r in rules if r.kind == "regex" and not valid_pattern(spark, str(r.criteria))]
+    df = df.withColumn("rule_errors", F.array(*map(F.lit, broken)).cast("array<string>"))
     checks = {f"_r{i}": rule_passed(spark, rule, output) for i, rule in enumerate(rules)}
     if not checks:
         return df.withColumns({"rules_passed": F.lit(True),

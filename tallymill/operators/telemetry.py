@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.plans.ordered import OrderedRows
-from tallymill.plans.skew import is_small, salted_pairs
 
 # Event types of level 1 and level 3; all others have level 2.
 SUMMARY_TYPES = ("STATUS_UPDATE", "ERROR", "APPROVAL_REQUIRED")
@@ -27,30 +26,37 @@ def emitted(events: DataFrame, current_level: int, preview: str | None = None) -
     return kept if preview is None else kept.withColumn(preview, F.substring(preview, 1, PREVIEW))
 
 
-SALTS = 32
-
+def _channels(subscriptions: DataFrame) -> DataFrame:
+    """The channels and levels each subscriber covers: of everybody without a mission of their own, else the
+    general one and their mission's, up to their level (kept within 1..3)."""
+    mission = F.concat(F.lit("mission "), F.col("mission_id").cast("string"))
+    allowed = F.least(F.greatest(F.coalesce("level", F.lit(2)), F.lit(1)), F.lit(3))
+    return (subscriptions
+            .select("subscriber", F.explode(F.when(F.col("mission_id").isNull(), F.array(F.lit("everybody")))
+                                            .otherwise(F.array(F.lit("general"), mission))).alias("channel"), allowed.alias("level"))
+            .withColumn("level", F.explode(F.sequence(F.lit(1), F.col("level")))))
 
-def deliveries(events: DataFrame, subscriptions: DataFrame, event: str) -> DataFrame:
-    """Who receives which event: (event, subscriber).
 
-    A subscriber gets the events of their mission, of no mission, or all of them without a mission
-    of their own, up to their level (kept within 1..3). One equi-join on (channel, level) finds all
-    pairs: an event goes to the channel of everybody and to its mission's or the general one; a
-    subscription stands for each channel and level it covers.
-    """
+def _sent(events: DataFrame, *columns: str) -> DataFrame:
+    """Events by channel: everybody's, and their mission's or the general one."""
     mission = F.concat(F.lit("mission "), F.col("mission_id").cast("string"))
-    everybody, general = F.lit("everybody"), F.lit("general")
-    allowed = F.least(F.greatest(F.coalesce("level", F.lit(2)), F.lit(1)), F.lit(3))
-    covered = (subscriptions
-               .select("subscriber", F.explode(F.when(F.col("mission_id").isNull(), F.array(everybody))
-                                               .otherwise(F.array(general, mission))).alias("channel"), allowed.alias("level"))
-               .withColumn("level", F.explode(F.sequence(F.lit(1), F.col("level")))))
-    sent = events.select(event, F.explode(F.array(everybody, F.coalesce(mission, general))).alias("channel"),
+    return events.select(*columns, F.explode(F.array(F.lit("everybody"), F.coalesce(mission, F.lit("general")))).alias("channel"),
                          F.col("level").cast("int").alias("level"))
-    on = ["channel", "level"]
-    # Broadcast while the subscribers are few; salted otherwise, as a channel may be hot.
-    pairs = sent.join(F.broadcast(covered), on) if is_small(covered) else salted_pairs(sent, covered, on, F.col(event), SALTS)
-    return pairs.select(event, "subscriber")
+
+
+def deliveries(events: DataFrame, subscriptions: DataFrame, event: str, subscriber) -> DataFrame:
+    """The events one subscriber receives: (event, subscriber). Their few channels are looked up for each
+    event; the list is at most as long as the events."""
+    covered = _channels(subscriptions.filter(F.col("subscriber") == subscriber)).distinct()
+    return _sent(events, event).join(covered, ["channel", "level"]).select(event, "subscriber").distinct()
+
+
+def delivery_counts(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """How many events each subscriber receives: (subscriber, n), linear in events and subscriptions. Events are
+    counted per channel and level first, so no pair is ever made."""
+    counts = _sent(events).groupBy("channel", "level").agg(F.count("*").alias("n"))
+    return (_channels(subscriptions).join(counts, ["channel", "level"], "left")
+            .groupBy("subscriber").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")))
 
 
 def phase_changes(updates: DataFrame, by: list[str], order: list[str], phase: str = "phase", status: str = "status",

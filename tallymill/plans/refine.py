@@ -34,6 +34,7 @@ def refine(items: DataFrame, call: BatchFunction, rules: list[Rule], path: str,
         for batch in batches:
             yield batch.assign(output=call(batch))
 
+    # The prompt and the last feedback travel with the row, so equal ids stay rows of their own.
     waiting = items.select(item, prompt, F.lit(None).cast("string").alias("feedback"))
     made = []
     for attempt in range(1, max_attempts + 1):
@@ -47,11 +48,10 @@ def refine(items: DataFrame, call: BatchFunction, rules: list[Rule], path: str,
             checked = apply_rules(answered, rules)
             failed = F.map_keys(F.map_filter("rule_scores", lambda k, v: v < 1.0))
             rounds.write(checked.select(
-                item, "attempt", "output", F.col("rules_passed").alias("passed"),
+                item, prompt, "attempt", "output", F.col("rules_passed").alias("passed"),
                 F.when(F.size("rule_scores") > 0, weighted_score(F.col("rule_scores"), rule_weights(rules))).alias("score"),
                 F.when(~F.col("rules_passed"), F.concat(F.lit("failed: "), F.array_join(failed, ", "))).alias("critique")), attempt)
         result = spark.read.parquet(f"{rounds.path}/data/version={attempt}")
-        made.append(result)
-        left = result.filter(~F.col("passed")).select(item, F.col("critique").alias("feedback"))
-        waiting = items.select(item, prompt).join(left, item)
+        made.append(result.drop(prompt))
+        waiting = result.filter(~F.col("passed")).select(item, prompt, F.col("critique").alias("feedback"))
     return union_all(made)

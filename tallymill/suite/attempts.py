@@ -8,6 +8,7 @@ from tallymill.suite import views
 from tallymill.suite.views import ATTEMPTS, TRACES, VERSIONS
 
 BY = ["mission_id", "item_id"]
+PAGE = 4
 TIERS = [at.ModelTier("small", 2), at.ModelTier("medium", 1), at.ModelTier("large", 3)]
 
 
@@ -33,13 +34,13 @@ def tier_routing_unavailable(spark, d):
 
 
 def attempt_history(spark, d):
-    nested = at.nest_history(views.attempts(spark, d), BY, ["score", "passed"])
+    nested = at.nest_history(views.attempts(spark, d), BY, ["score", "passed"], PAGE)
     return nested.select(*BY, "history_page", F.to_json("history.attempt").alias("attempts"),
                          F.size("history").alias("n"), F.element_at("history.score", -1).alias("last_score"))
 
 
 def attempt_history_unnested(spark, d):
-    nested = at.nest_history(views.attempts(spark, d), BY, ["score", "passed"])
+    nested = at.nest_history(views.attempts(spark, d), BY, ["score", "passed"], PAGE)
     return at.unnest_history(nested, BY)
 
 
@@ -126,10 +127,10 @@ SELECT a.item_id, a.attempt, coalesce(min_by(t.model, t.tier_no), 'large') AS mo
 SELECT a.item_id, a.attempt, min_by(t.model, t.tier_no) AS model
  FROM attempts a LEFT JOIN tiers t ON a.attempt <= t.upto GROUP BY a.item_id, a.attempt""",
     "attempt_history": f"""WITH {ATTEMPTS} SELECT mission_id, item_id,
- CAST((attempt - 1) // 10000 AS INTEGER) AS history_page,
+ CAST((attempt - 1) // {PAGE} AS INTEGER) AS history_page,
  '[' || string_agg(CAST(attempt AS VARCHAR), ',' ORDER BY attempt) || ']' AS attempts,
  CAST(count(*) AS INTEGER) AS n, arg_max(score, attempt) AS last_score
- FROM attempts GROUP BY mission_id, item_id, (attempt - 1) // 10000""",
+ FROM attempts GROUP BY mission_id, item_id, (attempt - 1) // {PAGE}""",
     "attempt_history_unnested": f"WITH {ATTEMPTS} SELECT mission_id, item_id, attempt, score, passed FROM attempts",
     "loop_cap": f"WITH {TRACES} {LOOP_CAP}",
     "status_rollup": f"WITH {TRACES} SELECT mission_id, status, count(*) AS n_items FROM ({LOOP_CAP}) "

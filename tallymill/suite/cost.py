@@ -10,7 +10,7 @@ from tallymill.session import load
 from tallymill.suite import views
 from tallymill.suite.views import ATTEMPTS, CALLS, TRACES
 
-BUDGET = Decimal("0.5")
+BUDGET = Decimal("0.12")
 
 
 def priced(spark, d):
@@ -139,7 +139,7 @@ PRICED = f"""{CALLS}, {PRICING}, priced AS (SELECT calls.*,
 
 FUSED = PRICED + """, summed AS (SELECT *, sum(cost) OVER (PARTITION BY mission_id ORDER BY ts, call_id) AS cum FROM priced),
  trips AS (SELECT mission_id, arg_min(call_id, cum) AS trip_call, min(cum) AS cumulative_cost,
-   arg_min(ts, cum) AS trip_ts FROM summed WHERE cum >= 0.5 GROUP BY mission_id)"""
+   arg_min(ts, cum) AS trip_ts FROM summed WHERE cum >= 0.12 GROUP BY mission_id)"""
 
 TASKS = """tasks AS (SELECT o_orderkey, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'HIGH'
   WHEN o_orderpriority = '5-LOW' THEN 'LOW' ELSE 'NORMAL' END AS priority,
@@ -186,7 +186,7 @@ SELECT *, CASE WHEN critic_prompt_tokens + critic_completion_tokens > 0 THEN
  CAST(actor_prompt_tokens + actor_completion_tokens AS DOUBLE) / (critic_prompt_tokens + critic_completion_tokens)
  END AS actor_critic_ratio FROM report""",
     "budget_fuse": f"""WITH {FUSED} SELECT s.mission_id, s.call_id, CAST(cum AS DOUBLE) AS cumulative_cost,
- CASE WHEN t.trip_call IS NULL OR cum < 0.5 THEN 'before' WHEN s.call_id = t.trip_call THEN 'trip' ELSE 'after' END AS fuse
+ CASE WHEN t.trip_call IS NULL OR cum < 0.12 THEN 'before' WHEN s.call_id = t.trip_call THEN 'trip' ELSE 'after' END AS fuse
  FROM summed s LEFT JOIN trips t ON t.mission_id = s.mission_id""",
     "fuse_trips": f"WITH {FUSED} SELECT mission_id, trip_call, CAST(cumulative_cost AS DOUBLE) AS cumulative_cost FROM trips",
     "budget_effects": f"""WITH {FUSED}, {TRACES} SELECT i.mission_id, i.item_id, i.ord, CASE

@@ -16,7 +16,7 @@ from tallymill.plans.workflow import Node, node_stats, run_workflow
 from tallymill.session import fresh_path, load
 from tallymill.streaming import jobs
 from tallymill.suite import monitor, telemetry
-from tallymill.suite.cost import FUSED
+from tallymill.suite.cost import BUDGET, FUSED
 from tallymill.suite.state import MICROS, STATE, TTL, _hits
 from tallymill.suite.telemetry import PHASES, _named
 
@@ -80,7 +80,7 @@ def stream_progress(spark, d):
           WHEN 'signup' THEN 'claude-3-5-sonnet' ELSE 'unlisted-model' END""")
         tokens = F.floor(F.col("value") * 10).cast("bigint"), F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
         priced = stream.select(F.col("user_id").alias("mission_id"), call_cost(model, *tokens).alias("cost"))
-        jobs.progress(priced, ["mission_id"], F.lit(Decimal("0.5")), path)
+        jobs.progress(priced, ["mission_id"], F.lit(BUDGET), path)
 
     rows = jobs.output(spark, in_waves(spark, d, run))
     return latest(rows, ["mission_id"], ["calls"]).select(
@@ -155,7 +155,7 @@ ORACLES = {
  round(sum(value), 4) AS total FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <=
  (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 HOURS FROM events) GROUP BY 1, 2""",
     "stream_progress": f"""WITH {FUSED} SELECT mission_id, count(*) AS calls, CAST(sum(cost) AS DOUBLE) AS total_cost,
- sum(cost) >= 0.5 AS fused FROM priced GROUP BY mission_id""",
+ sum(cost) >= 0.12 AS fused FROM priced GROUP BY mission_id""",
     "stream_upserts": f"WITH {STATE} SELECT id, status, updated_at FROM state",
     "refine_items": """WITH a AS (SELECT doc_id AS item_id, k AS attempt, text || repeat('#', k) AS output, (length(text) + k) % 3 = 0 AS passed,
   (length(text) + 1) % 3 = 0 AS early FROM documents, (VALUES (1), (2)) t(k))

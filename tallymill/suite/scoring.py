@@ -16,10 +16,16 @@ PAIR_RULES = [Rule("regex", "[0-9]"), Rule("regex", "^[A-Z]"), Rule("regex", "(u
               Rule("expression", "length(output) >= 40", name="long_enough")]
 
 
+LONG_PATTERN = "|".join(f"{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "thrx")
+
+
 def regex_rules(spark, d):
-    checked = ru.apply_rules(views.io_pairs(spark, d), PAIR_RULES[:3])
+    """A digit, a capital, a pattern that is none, and an alternation of over 500 characters."""
+    rules = [*PAIR_RULES[:3], Rule("regex", f"({LONG_PATTERN}|no such ending)[a-z]*[.]$", name="long")]
+    checked = ru.apply_rules(views.io_pairs(spark, d), rules)
     return checked.select(*PAIR, "rules_passed", *[
-        F.element_at("rule_scores", r.key).alias(n) for r, n in zip(PAIR_RULES, ("digit", "capital", "invalid"))])
+        F.element_at("rule_scores", r.key).alias(n) for r, n in zip(rules, ("digit", "capital", "invalid", "long"))],
+        F.array_join("rule_errors", ",").alias("errors"))
 
 
 def json_outputs(spark, d):
@@ -256,7 +262,8 @@ def _code_style(text: str) -> str:
 
 ORACLES = {
     "regex_rules": f"""WITH {IO_PAIRS} SELECT conv_id, turn, FALSE AS rules_passed, {_flag("regexp_matches(output, '[0-9]')")} AS digit,
- {_flag("regexp_matches(output, '^[A-Z]')")} AS capital, 0.0::DOUBLE AS invalid FROM io_pairs""",
+ {_flag("regexp_matches(output, '^[A-Z]')")} AS capital, 0.0::DOUBLE AS invalid,
+ {_flag(f"regexp_matches(output, '({LONG_PATTERN}|no such ending)[a-z]*[.]$')")} AS long, 'regex:(unclosed' AS errors FROM io_pairs""",
     "json_rules": """WITH o AS (SELECT event_id, CASE event_type WHEN 'click' THEN props WHEN 'view' THEN props || ' trailing'
   WHEN 'purchase' THEN '{"k": null, "v": ' || event_id || '}' WHEN 'signup' THEN '["k", ' || event_id || ']' ELSE '12' END AS output
   FROM events), r AS (SELECT event_id, json_valid(output) AS ok, CASE WHEN NOT json_valid(output) THEN FALSE

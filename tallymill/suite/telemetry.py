@@ -30,13 +30,20 @@ def emitted_events(spark, d):
     return te.emitted(telemetry_events(spark, d), 2, "props").select("event_id", "level", "props")
 
 
-def deliveries(spark, d):
+def subscriptions(spark, d):
     """Suppliers subscribe: to the mission of their nation key, or to everything from region-less nations."""
-    subs = load(spark, d, "supplier").select(
+    return load(spark, d, "supplier").select(
         F.col("s_suppkey").alias("subscriber"),
         F.when(F.col("s_nationkey") > 0, F.col("s_nationkey").cast("bigint")).alias("mission_id"),
         (F.col("s_acctbal") / 2500).cast("int").alias("level"))
-    return te.deliveries(telemetry_events(spark, d), subs, "event_id")
+
+
+def deliveries(spark, d):
+    return te.deliveries(telemetry_events(spark, d), subscriptions(spark, d), "event_id", 3)
+
+
+def delivery_counts(spark, d):
+    return te.delivery_counts(telemetry_events(spark, d), subscriptions(spark, d))
 
 
 def phase_updates(spark, d):
@@ -169,7 +176,8 @@ def sql_grouping_sets(spark, d):
 
 
 QUERIES = {
-    "event_levels": event_levels, "emitted_events": emitted_events, "deliveries": deliveries, "phase_changes": phase_changes,
+    "event_levels": event_levels, "emitted_events": emitted_events, "deliveries": deliveries, "delivery_counts": delivery_counts,
+    "phase_changes": phase_changes,
     "recent_events": recent_events, "tumbling_counts": tumbling_counts, "sliding_counts": sliding_counts,
     "session_counts": session_counts, "row_items": row_items, "corpus_items": corpus_items, "first_resource": first_resource,
     "all_text_rows": all_text_rows, "vector_documents": vector_documents, "jsonl_roundtrip": jsonl_roundtrip,
@@ -182,6 +190,11 @@ EVENTS = f"""te AS (SELECT event_id, ts, event_type, mission_id, value, props, C
   SELECT event_id, ts, {TYPE} AS event_type, CASE WHEN value >= 5.0 THEN user_id END AS mission_id, value, props FROM events))"""
 
 
+SUBSCRIPTIONS = """subs AS (SELECT s_suppkey AS subscriber, CASE WHEN s_nationkey > 0 THEN s_nationkey END AS mission_id,
+  least(greatest(CAST(trunc(s_acctbal / 2500) AS INTEGER), 1), 3) AS level FROM supplier)"""
+RECEIVED = "e.level <= s.level AND (s.mission_id IS NULL OR e.mission_id IS NULL OR s.mission_id = e.mission_id)"
+
+
 def _counts(by: str, start: str, source: str = "events") -> str:
     return f"SELECT {by}, strftime({start}, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(sum(value), 4) AS total FROM {source} GROUP BY 1, 2"
 
@@ -193,10 +206,9 @@ PHASES = """u AS (SELECT user_id, ts, event_id, value >= 400.0 AS over, CASE WHE
 ORACLES = {
     "event_levels": f"WITH {EVENTS} SELECT event_id, event_type, level FROM te",
     "emitted_events": f"WITH {EVENTS} SELECT event_id, level, substr(props, 1, 200) AS props FROM te WHERE level <= 2",
-    "deliveries": f"""WITH {EVENTS}, subs AS (SELECT s_suppkey AS subscriber, CASE WHEN s_nationkey > 0 THEN s_nationkey END AS mission_id,
-  least(greatest(CAST(trunc(s_acctbal / 2500) AS INTEGER), 1), 3) AS level FROM supplier)
-SELECT e.event_id, s.subscriber FROM te e JOIN subs s ON e.level <= s.level
- AND (s.mission_id IS NULL OR e.mission_id IS NULL OR s.mission_id = e.mission_id)""",
+    "deliveries": f"WITH {EVENTS}, {SUBSCRIPTIONS} SELECT e.event_id, s.subscriber FROM te e JOIN subs s ON {RECEIVED} WHERE s.subscriber = 3",
+    "delivery_counts": f"""WITH {EVENTS}, {SUBSCRIPTIONS} SELECT s.subscriber, count(e.event_id) AS n
+ FROM subs s LEFT JOIN te e ON {RECEIVED} GROUP BY s.subscriber""",
     "phase_changes": f"WITH {PHASES} SELECT user_id, event_id, phase FROM p WHERE NOT done AND phase IS DISTINCT FROM before",
     "recent_events": """SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k
  FROM events) WHERE k <= 100""",
