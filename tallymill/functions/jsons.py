@@ -34,6 +34,22 @@ def is_json_object(text: Column) -> Column:
     return _parses(lambda parsed: isinstance(parsed, dict))(text)
 
 
+def canonical_object(text: Column) -> Column:
+    """A JSON object written anew, a repeated key with its last value; null for anything else."""
+    def one(value: str | None) -> str | None:
+        try:
+            parsed = None if value is None else json.loads(value)
+        except (ValueError, TypeError, RecursionError):
+            return None
+        return json.dumps(parsed) if isinstance(parsed, dict) else None
+
+    @F.pandas_udf("string")
+    def batch(values: pd.Series) -> pd.Series:
+        return values.map(one)
+
+    return batch(text)
+
+
 def has_names(text: Column, required: list[str]) -> Column:
     """Valid JSON in which every required name occurs: as a key of an object, an element of an
     array or a part of a string. A number or a literal holds nothing."""

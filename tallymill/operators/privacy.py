@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -208,26 +209,28 @@ def mask_custom(df: DataFrame, patterns: Mapping[str, str], text: str = "text",
     Arbitrary patterns may overlap in ways one alternation cannot order (earliest start, then
     longest), so an Arrow-batched function resolves each row.
     """
-    compiled = {label: re.compile(p) for label, p in patterns.items()}
+    finders = [(label, re.compile(pattern)) for label, pattern in patterns.items()]
+
+    def spans(at: int, finder: re.Pattern, value: str) -> Iterator[tuple[int, int, int, str]]:
+        return ((m.start(), -m.end(), at, m.group()) for m in finder.finditer(value) if m.group())
 
     def hide(value: str | None) -> str | None:
         if value is None:
             return None
-        spans = sorted(((m.start(), m.end(), label) for label, p in compiled.items()
-                        for m in p.finditer(value)), key=lambda s: (s[0], -s[1]))
-        kept, reached = [], 0
-        for start, end, label in spans:
-            if start >= reached and end > start:
-                kept.append((start, end, label))
-                reached = end
-        numbers: dict[str, str] = {}
-        for start, end, label in kept[::-1]:
-            numbers.setdefault(value[start:end], f"[[{prefix}_{label}_{len(numbers) + 1}]]")
-        parts, at = [], 0
-        for start, end, _ in kept:
-            parts += [value[at:start], numbers[value[start:end]]]
-            at = end
-        return "".join([*parts, value[at:]])
+        # One lazy stream of matches by start and falling length; it never holds all matches of a text.
+        streams = [spans(at, finder, value) for at, (_, finder) in enumerate(finders)]
+        pieces, values, reached = [], [], 0
+        for start, stop, at, found in heapq.merge(*streams):
+            if start >= reached:
+                pieces.append(value[reached:start])
+                values.append((found, finders[at][0]))
+                reached = -stop
+        # Numbers are given from the last new value to the first; a value has the label of its last place.
+        tokens = {}
+        for found, label in reversed(values):
+            if found not in tokens:
+                tokens[found] = f"[[{prefix}_{label}_{len(tokens) + 1}]]"
+        return "".join(x for piece, (found, _) in zip(pieces, values) for x in (piece, tokens[found])) + value[reached:]
 
     @F.pandas_udf("string")
     def hide_batch(values: pd.Series) -> pd.Series:

@@ -71,7 +71,7 @@ EMBEDDING_URL = "/v1/embeddings"
 
 def _request(custom_id: Column, url: str, body: Column) -> Column:
     return F.to_json(F.struct(custom_id.cast("string").alias("custom_id"), F.lit("POST").alias("method"),
-                              F.lit(url).alias("url"), body.alias("body")))
+                              F.lit(url).alias("url"), body.alias("body")), {"ignoreNullFields": "false"})
 
 
 def batch_line(custom_id: Column, model: Column, chat: Column, temperature: float = 0.1,

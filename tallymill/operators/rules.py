@@ -111,8 +111,9 @@ def parse_reports(df: DataFrame, report: str = "report", prompt_tokens: str = "p
     Scores are kept within [0, 1]. A report that is no JSON object, or whose scores are no numbers,
     becomes a failed row with a fixed critique. ``audit_cost`` (tokens) is booked either way.
     """
-    parsed = (df.withColumn("_ok", jsons.is_json_object(F.col(report)))
-              .withColumn("_v", F.when(F.col("_ok"), F.try_parse_json(report))))
+    # Read once by the strict parser, which takes the last of a repeated key, then by Spark's.
+    parsed = (df.withColumn("_json", jsons.canonical_object(F.col(report)))
+              .withColumns({"_ok": F.col("_json").isNotNull(), "_v": F.try_parse_json("_json")}))
 
     def read(path: str, kind: str) -> Column:
         return F.try_variant_get("_v", path, kind)

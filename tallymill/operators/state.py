@@ -137,6 +137,11 @@ def reset(state: DataFrame, ids: DataFrame, key: str = "id", only_completed: boo
     return marked.withColumns(changes)
 
 
+def reset_counts(marked: DataFrame) -> DataFrame:
+    """How many rows a reset changed and left alone, by the status they have now."""
+    return marked.groupBy("reset", "status").agg(F.count("*").alias("n"))
+
+
 def in_update_order(state: DataFrame, order: list[str], place: str = "place") -> DataFrame:
     """All rows with their place in update order. The place, not a sort, carries the order, so the
     table stays spread out; sort by it where the rows leave Spark."""

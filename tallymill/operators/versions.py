@@ -42,6 +42,16 @@ def current_versions(log: DataFrame) -> DataFrame:
     return (log.groupBy("node_id").agg(F.max_by(F.struct(*rest), "seq").alias("v")).select("node_id", "v.*"))
 
 
+def version_history(log: DataFrame) -> DataFrame:
+    """Every version in time order: its place (``seq``), what it changed, whether its text differs from the one
+    before, and whether it is the current one. The place carries the order; sort by it where rows leave Spark."""
+    before = log.select("node_id", (F.col("seq") + 1).alias("seq"), F.col("hash").alias("_before"))
+    newest = current_versions(log).select("node_id", F.col("seq").alias("_newest"))
+    return (log.join(before, ["node_id", "seq"], "left").join(newest, "node_id")
+            .select("node_id", "seq", "version_id", "change_log", (~F.col("hash").eqNullSafe(F.col("_before"))).alias("changed"),
+                    (F.col("seq") == F.col("_newest")).alias("is_current")))
+
+
 def lineage(log: DataFrame) -> DataFrame:
     """The chain from the root to each node's current version, numbered from the root."""
     chain = reachable(log.select("node_id", "version_id", "parent_id"), current_versions(log), ["node_id"],

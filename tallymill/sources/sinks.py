@@ -40,7 +40,7 @@ def vector_documents(df: DataFrame, key: list[str]) -> DataFrame:
     """id, document, metadata: the document is ``output``, else ``content``, else the row as JSON;
     scalar fields become text metadata; the id depends on key and document alone."""
     texts = [F.nullif(F.col(c), F.lit("")) for c in ("output", "content") if c in df.columns]
-    document = F.coalesce(*texts, F.to_json(F.struct(*df.columns)))
+    document = F.coalesce(*texts, F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
     scalars = [f.name for f in df.schema.fields if f.name not in ("output", "content")
                and not isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))]
     pairs = [F.struct(F.lit(c).alias("k"), F.coalesce(F.col(c).cast("string"), F.lit("None")).alias("v")) for c in scalars]

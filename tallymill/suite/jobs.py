@@ -63,6 +63,9 @@ def stream_first_seen(spark, d):
     return jobs.output(spark, path).drop("batch")
 
 
+CLOCK = "timestampadd(SECOND, unix_seconds(start), TIMESTAMP_NTZ'1970-01-01 00:00:00')"
+
+
 def stream_window_counts(spark, d):
     """Watermarks need instants: the events' clock is read as UTC, whatever the session's time zone."""
     def run(stream, path):
@@ -70,8 +73,25 @@ def stream_window_counts(spark, d):
         jobs.drain(jobs.window_counts(timed, ["event_type"], "1 hour", "2 hours"), path)
 
     counts = jobs.output(spark, in_waves(spark, d, run))
-    clock = F.expr("timestampadd(SECOND, unix_seconds(start), TIMESTAMP_NTZ'1970-01-01 00:00:00')")
-    return _named(counts.withColumn("start", clock), "event_type")
+    return _named(counts.withColumn("start", F.expr(CLOCK)), "event_type")
+
+
+def stream_sliding_counts(spark, d):
+    def run(stream, path):
+        timed = stream.withColumn("ts", F.timestamp_micros(F.expr(MICROS)))
+        jobs.drain(jobs.window_counts(timed, ["event_type"], "1 hour", "2 hours", slide="30 minutes"), path)
+
+    counts = jobs.output(spark, in_waves(spark, d, run))
+    return _named(counts.withColumn("start", F.expr(CLOCK)), "event_type")
+
+
+def stream_session_counts(spark, d):
+    def run(stream, path):
+        timed = stream.withColumn("ts", F.timestamp_micros(F.expr(MICROS)))
+        jobs.drain(jobs.session_counts(timed, ["user_id"], "2 hours", "1 hour"), path)
+
+    counts = jobs.output(spark, in_waves(spark, d, run)).withColumn("start", F.expr(CLOCK))
+    return counts.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
 def stream_progress(spark, d):
@@ -138,6 +158,7 @@ def workflow_node_stats(spark, d):
 QUERIES = {
     "stream_quality_gate": stream_quality_gate, "stream_phase_changes": stream_phase_changes,
     "stream_first_seen": stream_first_seen, "stream_window_counts": stream_window_counts,
+    "stream_sliding_counts": stream_sliding_counts, "stream_session_counts": stream_session_counts,
     "stream_progress": stream_progress, "stream_upserts": stream_upserts, "refine_items": refine_items,
     "staged_workflow": staged_workflow, "workflow_node_stats": workflow_node_stats,
 }
@@ -154,6 +175,13 @@ ORACLES = {
     "stream_window_counts": """SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n,
  round(sum(value), 4) AS total FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <=
  (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 HOURS FROM events) GROUP BY 1, 2""",
+    "stream_sliding_counts": """SELECT event_type, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(sum(value), 4) AS total
+ FROM (SELECT event_type, value, time_bucket(INTERVAL 30 MINUTES, ts) - k * INTERVAL 30 MINUTES AS start FROM events, (VALUES (0), (1)) w(k))
+ WHERE start + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 HOURS FROM events) GROUP BY 1, 2""",
+    "stream_session_counts": """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS fresh FROM events),
+ s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, sid
+HAVING max(ts) + INTERVAL 2 HOURS <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)""",
     "stream_progress": f"""WITH {FUSED} SELECT mission_id, count(*) AS calls, CAST(sum(cost) AS DOUBLE) AS total_cost,
  sum(cost) >= 0.12 AS fused FROM priced GROUP BY mission_id""",
     "stream_upserts": f"WITH {STATE} SELECT id, status, updated_at FROM state",

@@ -20,7 +20,7 @@ def spot_check(spark, d):
 
 def sampling_report(spark, d):
     spent = priced(spark, d).groupBy("mission_id").agg(
-        F.sum("cost").alias("sampling_cost"), F.lit(100_000).alias("total_count"))
+        F.sum("cost").alias("sampling_cost"), F.count("*").alias("total_count"))
     return monitor.sampling_report(views.traces(spark, d), spent, ["mission_id"])
 
 
@@ -76,12 +76,24 @@ def check_cadence(spark, d):
     return cadence(spark, d).select("event_id", "item_no", "check_no", "check_due")
 
 
-def drift_actions(spark, d):
+def _drift(spark, d, action):
     """A check alerts when more than a third of its items are errors."""
     items = cadence(spark, d).withColumn("status", F.when(F.col("event_type") == "error", "exhausted").otherwise("success"))
     checks = items.groupBy("mission_id", "check_no").agg(
         (F.avg((F.col("event_type") == "error").cast("double")) > 0.34).alias("alert"))
-    return monitor.drift_action(items, checks, ["mission_id"], "halt").select("event_id", "status")
+    return monitor.drift_action(items, checks, ["mission_id"], action).select("event_id", "status")
+
+
+def drift_actions(spark, d):
+    return _drift(spark, d, "halt")
+
+
+def drift_warnings(spark, d):
+    return _drift(spark, d, "warn")
+
+
+def drift_resamples(spark, d):
+    return _drift(spark, d, "resample")
 
 
 QUERIES = {
@@ -90,6 +102,7 @@ QUERIES = {
     "quality_gate_recovering": quality_gate_recovering, "gate_report": gate_report, "hash_drift": hash_drift,
     "embedding_drift_pairs": embedding_drift_pairs, "embedding_drift": embedding_drift,
     "check_cadence": check_cadence, "drift_actions": drift_actions,
+    "drift_warnings": drift_warnings, "drift_resamples": drift_resamples,
 }
 
 RUNS = ATTEMPTS + """, g AS (SELECT mission_id, ord, score, score >= 0.8 AS good,
@@ -113,10 +126,10 @@ ORACLES = {
     "head_sample": "SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT (SELECT greatest(1, count(*) // 100) FROM documents)",
     "spot_check": """SELECT event_id, event_type, TRUE AS spot_check FROM events ORDER BY sha256(CAST(event_id AS VARCHAR))
  LIMIT (SELECT greatest(1, CAST(trunc(count(*) * 0.05) AS BIGINT)) FROM events)""",
-    "sampling_report": f"""WITH {PRICED}, {TRACES}, spent AS (SELECT mission_id, CAST(sum(cost) AS DOUBLE) AS sampling_cost
+    "sampling_report": f"""WITH {PRICED}, {TRACES}, spent AS (SELECT mission_id, count(*) AS total_count, CAST(sum(cost) AS DOUBLE) AS sampling_cost
   FROM priced GROUP BY mission_id), s AS (SELECT mission_id, count(*) AS sample_count, count(*) FILTER (success = 1) AS success_count,
   coalesce(avg(last_score) FILTER (success = 1), 0.0) AS mean_score, coalesce(avg(iterations) FILTER (success = 1), 0.0) AS mean_retries
-  FROM traces GROUP BY mission_id), t AS (SELECT s.*, CAST(100000 AS BIGINT) AS total_count, sampling_cost,
+  FROM traces GROUP BY mission_id), t AS (SELECT s.*, total_count, sampling_cost,
   CAST(success_count AS DOUBLE) / sample_count AS success_rate, sampling_cost / sample_count AS cost_per_sample FROM s JOIN spent USING (mission_id))
 SELECT *, cost_per_sample * total_count AS estimated_cost, CAST(trunc(total_count * success_rate) AS BIGINT) AS estimated_success,
  CASE WHEN trunc(total_count * success_rate) > 0 THEN cost_per_sample * total_count / trunc(total_count * success_rate) ELSE 0.0 END AS cost_per_success FROM t""",
@@ -136,8 +149,9 @@ SELECT vec_id, golden_id, similarity, similarity >= 0.85 AS passed FROM s""",
 SELECT label, count(*) AS n, avg(similarity) AS mean_similarity, count(*) FILTER (similarity < 0.85) AS n_failed,
  avg(similarity) < 0.85 AS alert FROM s GROUP BY label""",
     "check_cadence": f"WITH {CADENCE} SELECT event_id, item_no, check_no, check_due FROM c",
-    "drift_actions": f"""WITH {CADENCE}, a AS (SELECT user_id, min(check_no) AS first FROM (SELECT user_id, check_no,
+    **{name: f"""WITH {CADENCE}, a AS (SELECT user_id, min(check_no) AS first FROM (SELECT user_id, check_no,
   avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) > 0.34 AS alert FROM c GROUP BY user_id, check_no) WHERE alert GROUP BY user_id)
-SELECT event_id, CASE WHEN c.check_no > a.first THEN 'drift_halted' WHEN event_type = 'error' THEN 'exhausted' ELSE 'success' END AS status
- FROM c LEFT JOIN a ON a.user_id = c.user_id""",
+SELECT event_id, CASE WHEN c.check_no > a.first THEN '{status}' WHEN event_type = 'error' THEN 'exhausted' ELSE 'success' END AS status
+ FROM c LEFT JOIN a ON a.user_id = c.user_id""" for name, status in (
+        ("drift_actions", "drift_halted"), ("drift_warnings", "drift_warning"), ("drift_resamples", "drift_resample"))},
 }

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallymill.operators import privacy
-from tallymill.session import checkpointed
+from tallymill.session import checkpointed, fresh_path
 from tallymill.suite import views
 
 ALT = (r"[a-zA-Z0-9_.+\-]+@[a-zA-Z0-9\-]+\.[a-zA-Z0-9.\-]+|\b[0-9]{17}[0-9Xx]\b|sk-[a-zA-Z0-9]{20,}"
@@ -19,11 +19,11 @@ def found_sql(table: str, key: str, text: str, extra: str = "") -> str:
   SELECT {key}, {extra} regexp_extract_all({text}, '{ALT}') AS m FROM {table}))"""
 
 
-def masked_sql(table: str, key: str, text: str, numbered: str) -> str:
+def masked_sql(table: str, key: str, text: str, numbered: str, pattern: str = ALT) -> str:
     """Pieces and placeholders joined again; ``numbered`` yields key, pos, placeholder."""
     return f"""SELECT p.{key}, string_agg(p.piece || coalesce(n.placeholder, ''), '' ORDER BY p.pos) AS masked
  FROM (SELECT {key}, unnest(range(len(s))) AS pos, unnest(s) AS piece FROM (
-   SELECT {key}, string_split_regex({text}, '{ALT}') AS s FROM {table})) p
+   SELECT {key}, string_split_regex({text}, '{pattern}') AS s FROM {table})) p
  LEFT JOIN ({numbered}) n ON n.{key} = p.{key} AND n.pos = p.pos GROUP BY p.{key}"""
 
 
@@ -74,6 +74,37 @@ def vault_stats(spark, d):
     return privacy.vault_stats(vault_table(spark, d))
 
 
+def _stored_vault(spark, d):
+    path = fresh_path(spark, "vault")
+    privacy.write_vault(vault_table(spark, d), path)
+    return spark.read.schema("placeholder string, label string, original_value string, scope_id bigint").parquet(path)
+
+
+def vault_upsert(spark, d):
+    """A stored vault with every third entry written again under a new value and one new entry per scope."""
+    stored = _stored_vault(spark, d)
+    changed = stored.filter(F.length("original_value") % 3 == 0).withColumn("original_value", F.concat("original_value", F.lit(" again")))
+    added = stored.select("scope_id").distinct().select(
+        F.lit("[[PII_PHONE_900]]").alias("placeholder"), F.lit("PHONE").alias("label"), F.lit("none").alias("original_value"), "scope_id")
+    return privacy.upsert_vault(stored, changed.unionByName(added))
+
+
+def _largest_scope(vault):
+    """The scope with the most entries, the smallest id on ties."""
+    sizes = vault.groupBy("scope_id").agg(F.count("*").alias("n"))
+    return sizes.agg(F.max_by("scope_id", F.struct("n", -F.col("scope_id")))).first()[0]
+
+
+def vault_restored_scope(spark, d):
+    vault = _stored_vault(spark, d)
+    return privacy.restore_scope(vault, _largest_scope(vault))
+
+
+def vault_without_scope(spark, d):
+    vault = _stored_vault(spark, d)
+    return privacy.drop_scope(vault, _largest_scope(vault))
+
+
 def unmask_from_vault(spark, d):
     masked = checkpointed(privacy.mask(views.documents(spark, d)))
     vault = privacy.vault_rows(masked, "doc_id").withColumnRenamed("scope_id", "doc_id")
@@ -109,13 +140,29 @@ QUERIES = {
     "corpus_vault": corpus_vault,
     "vault_table": vault_table,
     "vault_stats": vault_stats,
+    "vault_upsert": vault_upsert,
+    "vault_restored_scope": vault_restored_scope,
+    "vault_without_scope": vault_without_scope,
     "unmask_from_vault": unmask_from_vault,
     "unmask_rows": unmask_rows,
     "leak_audit": leak_audit,
     "mask_custom_patterns": mask_custom_patterns,
 }
 
+VAULT = f"""{FOUND}, vault AS (SELECT DISTINCT doc_id AS scope_id, placeholder, label, value AS original_value FROM ({DOC_NUMBERED})),
+ largest AS (SELECT scope_id FROM vault GROUP BY scope_id ORDER BY count(*) DESC, scope_id LIMIT 1)"""
+CUSTOM = "[A-Z][a-z]+ [a-z]+|[A-Z][a-z]{5,}|[0-9]+"
+CUSTOM_FOUND = f"""found AS (SELECT doc_id, pos, value, CASE WHEN contains(value, ' ') THEN 'WORD_PAIR' WHEN regexp_matches(value, '^[0-9]') THEN 'NUMBER'
+  ELSE 'CAPITAL' END AS label FROM (SELECT doc_id, unnest(range(len(m))) AS pos, unnest(m) AS value FROM (
+   SELECT doc_id, regexp_extract_all(text, '{CUSTOM}') AS m FROM documents)))"""
+
 ORACLES = {
+    "vault_upsert": f"""WITH {VAULT} SELECT scope_id, placeholder, label,
+ CASE WHEN length(original_value) % 3 = 0 THEN original_value || ' again' ELSE original_value END AS original_value FROM vault
+ UNION ALL SELECT DISTINCT scope_id, '[[PII_PHONE_900]]', 'PHONE', 'none' FROM vault""",
+    "vault_restored_scope": f"WITH {VAULT} SELECT * FROM vault WHERE scope_id = (SELECT scope_id FROM largest)",
+    "vault_without_scope": f"WITH {VAULT} SELECT * FROM vault WHERE scope_id <> (SELECT scope_id FROM largest)",
+    "mask_custom_patterns": f"WITH {CUSTOM_FOUND} {masked_sql('documents', 'doc_id', 'text', DOC_NUMBERED, CUSTOM)}",
     "pii_scan": f"WITH {FOUND} SELECT doc_id, CAST(pos AS INTEGER) AS pos, label, value FROM found",
     "pii_scan_pages": f"WITH found AS ({found_sql('pages', 'page_id', 'html')}) "
                       "SELECT page_id, CAST(pos AS INTEGER) AS pos, label, value FROM found",

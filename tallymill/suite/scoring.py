@@ -132,6 +132,18 @@ def code_quality_scores(spark, d):
     return _documents_scored(spark, d, sc.code_quality, "quality")
 
 
+def code_outputs(spark, d):
+    """Python texts made from events: sound ones, ones with a broken line, and plain words."""
+    return load(spark, d, "events").select("event_id", F.expr("""CASE event_id % 3
+        WHEN 0 THEN concat('def score_', event_id, '(x):\n    return x + ', event_id, '\n')
+        WHEN 1 THEN concat('def score_', event_id, '(x)\n    return x + ', event_id, '\n')
+        ELSE concat('the ', event_type, ' number ', event_id) END""").alias("output"))
+
+
+def code_syntax_scores(spark, d):
+    return code_outputs(spark, d).select("event_id", sc.code_quality(F.lit(""), F.col("output")).alias("quality"))
+
+
 def completeness_scores(spark, d):
     return views.io_pairs(spark, d).select(*PAIR, sc.completeness(F.col("input"), F.col("output")).alias("completeness"))
 
@@ -187,7 +199,7 @@ QUERIES = {
     "rule_outcome": rule_outcome, "rule_report": rule_report, "weighted_scores": weighted_scores,
     "min_score_gate": min_score_gate, "critic_reports": critic_reports, "consensus_votes": consensus_votes,
     "safety_scores": safety_scores, "code_style_scores": code_style_scores,
-    "code_quality_scores": code_quality_scores, "completeness_scores": completeness_scores,
+    "code_quality_scores": code_quality_scores, "code_syntax_scores": code_syntax_scores, "completeness_scores": completeness_scores,
     "coherence_scores": coherence_scores, "substance_scores": substance_scores, "judge": judge,
     "score_bands": score_bands, "score_summaries": score_summaries, "score_bars": score_bars,
     "corpus_score_report": corpus_score_report, "validation_report": validation_report,
@@ -284,6 +296,7 @@ SELECT lang, rule, count(*) AS n, avg(score) AS pass_rate FROM f GROUP BY ROLLUP
  (2.0 * quality + safety) / 3.0::DOUBLE AS quality_first, 0.0::DOUBLE AS weightless, 0.0::DOUBLE AS empty FROM scores""",
     "min_score_gate": f"""WITH {ATTEMPTS} SELECT ord, CASE WHEN ord % 10 = 0 THEN NULL ELSE score END AS weighted,
  passed AND (ord % 10 = 0 OR score >= 0.7) AS passed FROM attempts""",
+    "code_syntax_scores": "SELECT event_id, CASE WHEN event_id % 3 = 1 THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END AS quality FROM events",
     "critic_reports": """SELECT event_id, event_id % 5 IN (0, 4) AS passed,
  CASE event_id % 5 WHEN 0 THEN least(1.0::DOUBLE, (event_id % 100) / 50.0::DOUBLE) WHEN 1 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS score,
  CASE WHEN event_id % 5 = 0 THEN 1.0::DOUBLE END AS format, CASE WHEN event_id % 5 = 0 THEN 0.25::DOUBLE END AS tone,

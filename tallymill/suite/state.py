@@ -62,6 +62,10 @@ def reset_single(spark, d):
     return st.reset(state_table(spark, d), _asked(spark, d), only_completed=False).drop("input_hash")
 
 
+def reset_counts(spark, d):
+    return st.reset_counts(reset_many(spark, d))
+
+
 def state_in_update_order(spark, d):
     return st.in_update_order(state_table(spark, d), ["updated_at"]).select("id", "place")
 
@@ -109,6 +113,7 @@ def cache_hits_unlimited(spark, d):
 QUERIES = {
     "state_table": state_table, "state_upsert": state_upsert, "pending_ids": pending_ids, "completed_ids": completed_ids,
     "completed_among": completed_among, "status_of_ids": status_of_ids, "reset_many": reset_many, "reset_single": reset_single,
+    "reset_counts": reset_counts,
     "state_in_update_order": state_in_update_order, "input_units": input_units, "prefix_hashes": prefix_hashes,
     "prefix_clusters": prefix_clusters, "prefix_report": prefix_report, "cache_hits": cache_hits,
     "cache_hits_by_type": cache_hits_by_type, "cache_hits_unlimited": cache_hits_unlimited,
@@ -144,6 +149,7 @@ ORACLES = {
     "status_of_ids": f"WITH {STATE} SELECT a.id, a.ord, s.status FROM asked a LEFT JOIN state s ON s.id = a.id",
     "reset_many": _reset("AND status = 'completed'"),
     "reset_single": _reset(""),
+    "reset_counts": f"SELECT reset, status, count(*) AS n FROM ({_reset("AND status = 'completed'")}) GROUP BY reset, status",
     "state_in_update_order": f"WITH {STATE} SELECT id, row_number() OVER (ORDER BY updated_at) AS place FROM state",
     "input_units": """WITH k AS (SELECT doc_id, lang, 'sum:' || substr(sha256(text), 1, 16) AS unit_id, length(text) AS n FROM documents),
  done AS (SELECT unit_id, 'done ' || any_value(n) AS final_output FROM k WHERE lang IN ('de', 'es') GROUP BY unit_id)

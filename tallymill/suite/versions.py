@@ -34,6 +34,10 @@ def current_versions(spark, d):
     return ve.current_versions(version_log(spark, d)).select("node_id", "version_id", "hash", "template")
 
 
+def version_history(spark, d):
+    return ve.version_history(version_log(spark, d))
+
+
 def lineage(spark, d):
     return ve.lineage(version_log(spark, d))
 
@@ -160,7 +164,7 @@ def distil_worthy(spark, d):
 
 
 QUERIES = {
-    "append_versions": append_versions, "current_versions": current_versions, "lineage": lineage,
+    "append_versions": append_versions, "current_versions": current_versions, "version_history": version_history, "lineage": lineage,
     "version_stats": version_stats, "version_tree_nodes": version_tree_nodes, "version_tree_edges": version_tree_edges,
     "version_compare": version_compare, "critique_patterns": critique_patterns,
     "improvement_requests": improvement_requests, "apply_suggestions": apply_suggestions,
@@ -202,6 +206,8 @@ ORACLES = {
 SELECT node_id, seq, 'v1.' || (seq - 1) AS version_id, substr(sha256(template), 1, 16) AS hash, template,
  CASE WHEN seq > 1 THEN 'v1.' || (seq - 2) END AS parent_id, change_log FROM l""",
     "current_versions": f"WITH {LOG} SELECT node_id, version_id, hash, template FROM versions v WHERE seq = (SELECT max(seq) FROM log l WHERE l.node_id = v.node_id)",
+    "version_history": f"""WITH {LOG} SELECT node_id, seq, version_id, change_log, hash IS DISTINCT FROM lag(hash) OVER w AS changed,
+ seq = max(seq) OVER (PARTITION BY node_id) AS is_current FROM versions WINDOW w AS (PARTITION BY node_id ORDER BY seq)""",
     "lineage": """WITH RECURSIVE """ + LOG + """, chain AS (SELECT node_id, seq, version_id, parent_id, hash FROM versions v
   WHERE seq = (SELECT max(seq) FROM log l WHERE l.node_id = v.node_id) UNION ALL
   SELECT v.node_id, v.seq, v.version_id, v.parent_id, v.hash FROM chain c JOIN versions v ON v.node_id = c.node_id AND v.version_id = c.parent_id)
