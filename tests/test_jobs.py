@@ -171,6 +171,12 @@ def test_refine_goes_on_after_a_stop(spark, tmp_path):
     assert got == {i: next((("success", k) for k in (1, 2, 3) if (i + k) % 4 == 0), ("exhausted", 3)) for i in range(1, 8)}
 
 
+def test_refine_keeps_equal_ids_apart(spark, tmp_path):
+    items = spark.createDataFrame([(1, "a"), (1, "bb"), (2, "a")], "item_id long, prompt string")
+    made = refine(items, lambda batch: batch["prompt"], [Rule("expression", "length(output) > 5", name="long")], str(tmp_path / "r"), max_attempts=3)
+    assert made.count() == 9 and made.filter("attempt = 3").count() == 3
+
+
 def test_workflow(spark):
     def stage(condition, output):
         return lambda df: df.select("ord", F.when(F.expr(condition), "success").otherwise("exhausted").alias("status"), F.expr(output).alias("final_output"))

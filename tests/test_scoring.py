@@ -98,7 +98,9 @@ def test_rules(spark):
     assert outcome(spark, "x", []) == (True, {})
     assert outcome(spark, None, [Rule("regex", "x")])[0] is False
     long_pattern = "x" * 501
-    assert outcome(spark, long_pattern, [Rule("regex", long_pattern)]) == (False, {"regex:" + "x" * 30: 0.0})
+    assert outcome(spark, long_pattern, [Rule("regex", long_pattern)]) == (True, {"regex:" + "x" * 30: 1.0})
+    broken = ru.apply_rules(spark.createDataFrame([("x",)], "output string"), [Rule("regex", "(x"), Rule("regex", "x")]).first()
+    assert (broken.rules_passed, broken.rule_errors) == (False, ["regex:(x"])
     shared = [Rule("regex", "a" * 30 + "b"), Rule("regex", "a" * 30)]
     assert outcome(spark, "a" * 30, shared) == (False, {"regex:" + "a" * 30: 1.0})
     assert ru.split_rules([Rule("regex", "x"), Rule("style", "y")])[1] == [Rule("style", "y")]
@@ -137,6 +139,12 @@ def test_critic_reports(spark, report, want):
     assert (row.passed, row.score, row.scores, row.critique) == want and row.audit_cost == 7
 
 
+def test_reports_take_the_last_of_a_repeated_key(spark):
+    report = '{"passed": false, "passed": true, "score": 0.9, "score": 0.8}'
+    row = ru.parse_reports(spark.createDataFrame([(report, 1, 1)], "report string, prompt_tokens long, completion_tokens long")).first()
+    assert (row.passed, row.score) == (True, 0.8)
+
+
 def test_consensus_leaves_out_failed_judges(spark):
     rows = [(1, 1, True, 0.9, {"a": 0.2}, None), (1, 2, None, 0.0, {}, None), (1, 3, False, 0.1, {"a": 0.7, "b": 0.1}, "bad"),
             (2, 1, False, 0.3, {}, "why")]
