@@ -21,6 +21,12 @@ def latest(log: DataFrame, key: list[str], order: list[str]) -> DataFrame:
             .select(*key, "_last.*").select(*log.columns))
 
 
+def _nothing_yet(error: AnalysisException) -> None:
+    """Passes over a folder that is missing or empty; any other error, such as a wrong schema, is raised."""
+    if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        raise error
+
+
 class Snapshots:
     """Whole-table snapshots below a folder, read by the version a pointer table names.
 
@@ -34,8 +40,8 @@ class Snapshots:
     def versions(self) -> DataFrame | None:
         try:
             return self.spark.read.schema("version bigint").parquet(f"{self.path}/pointer")
-        except AnalysisException:
-            return None
+        except AnalysisException as error:
+            return _nothing_yet(error)
 
     def newest(self, before: int | None = None) -> int | None:
         known = self.versions()
@@ -83,12 +89,12 @@ class KeyedLog:
         if before is not None and before - first <= 10 * self.compact_every:
             try:
                 return self.spark.read.parquet(*[f"{self.path}/changes/version={v}" for v in range(first, before)])
-            except AnalysisException:
-                pass
+            except AnalysisException as error:
+                _nothing_yet(error)
         try:
             rows = self.spark.read.parquet(f"{self.path}/changes").filter(F.col("version") >= first)
-        except AnalysisException:
-            return None
+        except AnalysisException as error:
+            return _nothing_yet(error)
         return (rows if before is None else rows.filter(F.col("version") < before)).drop("version")
 
     def read(self, before: int | None = None) -> DataFrame | None:
@@ -102,9 +108,13 @@ class KeyedLog:
         return latest(base.unionByName(changes), self.key, self.order)
 
     def write(self, changes: DataFrame, version: int) -> None:
-        latest(changes, self.key, self.order).write.mode("overwrite").parquet(f"{self.path}/changes/version={version}")
+        """Store a version's changes. A snapshot is built from older versions and these changes, never from the
+        folder it replaces, so writing a version again is safe at any moment."""
+        folder = f"{self.path}/changes/version={version}"
+        latest(changes, self.key, self.order).write.mode("overwrite").parquet(folder)
         if (version + 1) % self.compact_every == 0:
-            self.base.write(self.read(before=version + 1), version)
+            older, own = self.read(before=version), self.spark.read.parquet(folder)
+            self.base.write(own if older is None else latest(older.unionByName(own), self.key, self.order), version)
 
 
 def pending(ids: DataFrame, state: DataFrame, key: str = "id") -> DataFrame:

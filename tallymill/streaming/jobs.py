@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallymill.operators.cache import stores
 from tallymill.operators.monitor import gate_steps
-from tallymill.operators.state import KeyedLog
+from tallymill.operators.state import KeyedLog, latest
 from tallymill.operators.telemetry import TERMINAL
 from tallymill.plans.ordered import OrderedRows
 from tallymill.plans.skew import lookup_join
@@ -143,13 +143,13 @@ def progress(priced: DataFrame, by: list[str], budget: Column, path: str) -> Non
         f"{path}/out/batch={batch_id}"), mode="update")
 
 
-def upserts(stream: DataFrame, path: str, key: list[str], order: list[str], compact_every: int = 20) -> None:
-    """Keep the latest row of every key; read it with ``upserted``."""
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        KeyedLog(batch.sparkSession, f"{path}/state", key, order, compact_every).write(batch, batch_id)
-
-    drain_batches(stream, path, handle)
+def upserts(stream: DataFrame, path: str, key: list[str], order: list[str]) -> None:
+    """Keep the latest row of every key; read it with ``upserted``. The rows are a streaming aggregate in Spark's own
+    state: a batch costs what the keys it touches cost, and only those are written."""
+    rest = [c for c in stream.columns if c not in key]
+    last = stream.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_last")).select(*key, "_last.*")
+    drain_batches(last, path, lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}"), mode="update")
 
 
-def upserted(spark: SparkSession, path: str, key: list[str], order: list[str]) -> DataFrame | None:
-    return KeyedLog(spark, f"{path}/state", key, order).read()
+def upserted(spark: SparkSession, path: str, key: list[str], order: list[str]) -> DataFrame:
+    return latest(output(spark, path).drop("batch"), key, order)
