@@ -34,6 +34,25 @@ def is_json_object(text: Column) -> Column:
     return _parses(lambda parsed: isinstance(parsed, dict))(text)
 
 
+def rule_checks(text: Column, rules: list[list[str] | None]) -> Column:
+    """One boolean per rule, from one parse: valid JSON, and with names all of them in it. What cannot be JSON by its
+    first character never leaves the JVM."""
+    def checks(value: str | None) -> list[bool]:
+        try:
+            parsed = json.loads(value)
+            return [names is None or all(name in parsed for name in names) for names in rules]
+        except (ValueError, RecursionError):
+            return [False] * len(rules)
+        except TypeError:  # a number or a literal holds no names
+            return [names is None or not names for names in rules]
+
+    @F.pandas_udf("array<boolean>")
+    def batch(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: [False] * len(rules) if v is None else checks(v))
+
+    return batch(F.when(F.rlike(text, F.lit(r"^\s*[\[{\"\-0-9tfnNI]")), text))
+
+
 def canonical_object(text: Column) -> Column:
     """A JSON object written anew, a repeated key with its last value; null for anything else."""
     def one(value: str | None) -> str | None:

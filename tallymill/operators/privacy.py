@@ -196,9 +196,10 @@ def vault_stats(vault: DataFrame) -> DataFrame:
 
 def leaks(df: DataFrame, key: str, texts: list[str], labels: Labels = None) -> DataFrame:
     """Rows whose stored texts still hold personal data: key, field, label, value."""
-    fields = F.explode(F.array(*[F.struct(F.lit(t).alias("field"), F.col(t).alias("text")) for t in texts]))
-    return (df.select(key, fields.alias("f"))
-            .select(key, "f.field", F.explode(pii.matches(F.col("f.text"), labels)).alias("value"))
+    # Each text is searched where it stands; only the values found are taken apart.
+    found = F.array(*[F.struct(F.lit(t).alias("field"), pii.matches(F.col(t), labels).alias("values")) for t in texts])
+    return (df.select(key, F.explode(found).alias("f"))
+            .select(key, "f.field", F.explode("f.values").alias("value"))
             .select(key, "field", pii.label_of(F.col("value")).alias("label"), "value"))
 
 

@@ -68,7 +68,12 @@ def apply_rules(df: DataFrame, rules: list[Rule], output: str = "output") -> Dat
     spark = df.sparkSession
     broken = [r.key for r in rules if r.kind == "regex" and not valid_pattern(spark, str(r.criteria))]
     df = df.withColumn("rule_errors", F.array(*map(F.lit, broken)).cast("array<string>"))
-    checks = {f"_r{i}": rule_passed(spark, rule, output) for i, rule in enumerate(rules)}
+    json_rules = [i for i, rule in enumerate(rules) if rule.kind == "json"]
+    if json_rules:
+        lists = [None if rules[i].criteria is None else list(rules[i].criteria) for i in json_rules]
+        df = df.withColumn("_json", jsons.rule_checks(F.col(output), lists))
+    checks = {f"_r{i}": F.col("_json")[json_rules.index(i)] if i in json_rules else rule_passed(spark, rule, output)
+              for i, rule in enumerate(rules)}
     if not checks:
         return df.withColumns({"rules_passed": F.lit(True),
                                "rule_scores": no_scores()})
@@ -79,7 +84,7 @@ def apply_rules(df: DataFrame, rules: list[Rule], output: str = "output") -> Dat
     return (df.withColumns(checks)
             .withColumn("rules_passed", passed)
             .withColumn("rule_scores", F.create_map(*[c for k, v in keyed.items() for c in (F.lit(k), v)]))
-            .drop(*checks))
+            .drop("_json", *checks))
 
 
 def rule_weights(rules: list[Rule]) -> dict[str, float]:

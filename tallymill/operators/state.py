@@ -127,9 +127,9 @@ def completed(state: DataFrame, key: str = "id", among: DataFrame | None = None)
     return done if among is None else done.join(among.select(key).distinct(), key, "left_semi")
 
 
-def status_of(ids: DataFrame, state: DataFrame, key: str = "id") -> DataFrame:
-    """Status per requested id, null where the id was never seen."""
-    return lookup_join(ids, state.select(key, "status"), [key], "left", stored=True)
+def status_of(ids: DataFrame, state: DataFrame, key: str = "id", stored: bool = False) -> DataFrame:
+    """Status per requested id, null where the id was never seen; ``stored`` says that ``state`` is a table."""
+    return lookup_join(ids, state.select(key, "status"), [key], "left", stored=stored)
 
 
 def reset(state: DataFrame, ids: DataFrame, key: str = "id", only_completed: bool = True, now: Column | None = None) -> DataFrame:

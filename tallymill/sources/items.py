@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.plans.ordered import global_number
-from tallymill.plans.skew import lookup_join
+from tallymill.session import checkpointed
 from tallymill.sources import tables
 
 NOT_TEXT = "not_utf8"
@@ -30,11 +30,11 @@ def read_corpus(spark: SparkSession, root: str, pattern: str = "*.*", limit: int
 
 
 def corpus_items(corpus: DataFrame) -> DataFrame:
-    """Readable files as items in path order. Only the paths are put in order; contents stay where
-    they are until the join."""
+    """Readable files as items in path order. One narrow pass finds the readable paths, which are stored and
+    numbered; contents are read once more, for the join on the path, of which every file has its own."""
     good = corpus.filter(F.col("error").isNull())
-    places = global_number(good.select("relative_path"), ["relative_path"], "ord")
-    return lookup_join(good, places, ["relative_path"], "inner").select("ord", F.col("relative_path").alias("item_id"), F.col("content").alias("text"))
+    places = global_number(checkpointed(good.select("relative_path")), ["relative_path"], "ord")
+    return good.join(places, "relative_path").select("ord", F.col("relative_path").alias("item_id"), F.col("content").alias("text"))
 
 
 def rows_to_items(df: DataFrame, order: list[str]) -> DataFrame:

@@ -106,8 +106,8 @@ def vault_without_scope(spark, d):
 
 
 def unmask_from_vault(spark, d):
-    masked = checkpointed(privacy.mask(views.documents(spark, d)))
-    vault = privacy.vault_rows(masked, "doc_id").withColumnRenamed("scope_id", "doc_id")
+    masked = privacy.mask(views.documents(spark, d))
+    vault = checkpointed(privacy.vault_rows(masked, "doc_id").withColumnRenamed("scope_id", "doc_id"))
     back = privacy.unmask(masked.select("doc_id", "text", "masked"), vault, "doc_id", ["doc_id"])
     return back.select("doc_id", "restored", (F.col("restored") == F.col("text")).alias("same"))
 
