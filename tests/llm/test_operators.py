@@ -484,7 +484,7 @@ def vectors():
     return rows
 
 
-@pytest.mark.parametrize("cell, block", [(2048, 2048), (20, 7)])
+@pytest.mark.parametrize("cell, block", [(8192, 4096), (20, 7)])
 def test_near_vectors_equal_all_pairs(spark, monkeypatch, cell, block):
     monkeypatch.setattr(embeddings, "CELL_ROWS", cell)
     monkeypatch.setattr(embeddings, "HOME_ROWS", block)
