@@ -29,19 +29,19 @@ class ChunkEncoder:
     they are joined, or None. With ``attached`` a space belongs to the
     chunk after it (" word"); without, white space is dropped and every space is a cut."""
 
-    def __init__(self, encode: Callable[[list[str], str | None], Iterable[bytes]], attached: bool):
-        self._encode, self._attached = encode, attached
+    def __init__(self, encode: Callable[[list[str], str | None], Iterable[bytes]], attached: bool, room: int = REMEMBERED):
+        self._encode, self._attached, self._room = encode, attached, room
         self._memory: dict[str, bytes] = {}
         self._heads: dict[str, bytes] = {}
         self._often: set[str] = set()
 
     def _make_room(self) -> None:
         """When memory is full, chunks that were seen twice within a group stay; if those are too many, none."""
-        if len(self._memory) > REMEMBERED:
-            if len(self._often) > REMEMBERED // 2:
+        if len(self._memory) > self._room:
+            if len(self._often) > self._room // 2:
                 self._often = set()
             self._memory = {c: ids for c, ids in self._memory.items() if c in self._often}
-        if len(self._heads) > REMEMBERED // 4:
+        if len(self._heads) > self._room // 4:
             self._heads = {}
         if not self._attached:
             self._memory[""] = b""
@@ -202,5 +202,5 @@ _LOADED: dict[tuple[str, bool], ChunkEncoder] = {}
 def file_encoder(path: str, attached: bool) -> ChunkEncoder:
     """The encoder of a tokenizers file, one per worker process."""
     if (path, attached) not in _LOADED:
-        _LOADED[path, attached] = ChunkEncoder(FileTokenizer(path), attached)
+        _LOADED[path, attached] = ChunkEncoder(FileTokenizer(path), attached, room=3 * REMEMBERED // 2)
     return _LOADED[path, attached]

@@ -23,10 +23,10 @@ from tallymill.llm.chunks import file_encoder
 from tallymill.llm.common import shuffle_partitions, strings
 
 BITS = 20
-LANES = 256
-SEGMENT_STEPS = 256
-BLOCK_TOKENS = 131_072
-GROUP_TOKENS = 16 * BLOCK_TOKENS
+LANES = 2048
+SEGMENT_STEPS = 128
+BLOCK_TOKENS = 524_288
+GROUP_TOKENS = 4 * BLOCK_TOKENS
 END = 0
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
