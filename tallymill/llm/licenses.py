@@ -1,9 +1,10 @@
 """Licence scans: Dice coefficient over word bigrams between texts and licence templates.
 
-The units compared are each line of a document and the document as a whole. A unit is put in lower case,
-everything but letters and digits becomes one space, and its different word bigrams are counted. With a
-threshold t, a template of m bigrams can only match units of t m / (2 - t) to m (2 - t) / t bigrams, so most
-units are settled by their size alone, without a look at any template.
+The units compared are each line of a document, each run of consecutive lines, and the document as a whole. A
+unit is put in lower case, everything but letters and digits becomes one space, and its different word bigrams
+are counted. With a threshold t, a template of m bigrams can only match units of t m / (2 - t) to m (2 - t) / t
+bigrams, so it shares at least t (m + t m / (2 - t)) / 2 with any unit that matches. A document without that many
+of them holds no such unit: one look at its bigrams settles most documents, and only the others are cut into units.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from math import ceil, floor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.common import id_key
+from tallymill.llm.common import id_key, stored
 
 THRESHOLD = "0.8"
 
@@ -96,34 +97,117 @@ def _templates(templates: dict[str, list[str]], threshold: str) -> list[tuple[st
     return [(name, *bounds(len(own), threshold), own) for name, own in rows]
 
 
-def _template_array(rows: list[tuple[str, int, int, list[str]]]) -> Column:
-    return F.array(*[F.struct(F.lit(name).alias("license"), F.lit(low).alias("low"), F.lit(high).alias("high"),
-                              F.array(*map(F.lit, own)).alias("own")) for name, low, high, own in rows])
+def _needed(size: int, low: int, threshold: str) -> int:
+    """Least number of a template's bigrams in any unit that matches it."""
+    return ceil(Fraction(threshold) * (low + size) / 2)
 
 
-def matches(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: str = THRESHOLD) -> DataFrame:
-    """(doc, line_no, license, dice) for each unit and template that match; line 0 is the whole text, left out
-    where the text is a single line. DataFrame functions only, local to the row."""
+def _template_array(rows: list[tuple[str, int, int, list[str]]], threshold: str) -> Column:
+    return F.array(*[F.struct(F.lit(number).alias("number"), F.lit(name).alias("license"), F.lit(low).alias("low"), F.lit(high).alias("high"), F.lit(_needed(len(own), low, threshold)).alias("need"),
+                              F.split(F.lit("\n".join(own)), "\n").alias("own")) for number, (name, low, high, own) in enumerate(rows)])
+
+
+def _words(text: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
+
+
+def _pairs(items: str, join) -> Column:
+    return F.zip_with(F.slice(items, 1, F.size(items) - 1), F.slice(items, 2, F.size(items) - 1), join)
+
+
+def candidates(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: str = THRESHOLD) -> DataFrame:
+    """(doc, text, chosen): the texts with enough of a template's bigrams, wherever they stand, and these templates. Found once and stored."""
     rows = _templates(templates, threshold)
-    least, most = min(r[1] for r in rows), max(r[2] for r in rows)
-    lines = F.split(F.col("text"), "\n")
-    units = docs.select(id_key().alias("doc"), lines.alias("lines"), "text").select(
-        "doc", F.posexplode(F.when(F.size("lines") > 1, F.concat(F.array("text"), F.col("lines"))).otherwise(F.concat(F.array(F.lit("")), F.col("lines")))).alias("line_no", "unit"))
-    words = units.select("doc", "line_no", F.split(F.trim(F.regexp_replace(F.lower("unit"), r"[^\p{L}\p{N}]+", " ")), " ").alias("words"))
-    sized = words.filter(F.size("words") > least)
-    pairs = F.array_distinct(F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1),
-                                        lambda a, b: F.concat(a, F.lit(" "), b)))
-    grams = sized.select("doc", "line_no", pairs.alias("grams")).filter(F.size("grams").between(least, most))
+    known = sorted({gram for *_, own in rows for gram in own})
+    words = docs.select(id_key().alias("doc"), "text", _words(F.col("text")).alias("words"))
+    grams = words.select("doc", "text", F.filter(_pairs("words", lambda a, b: F.concat(a, F.lit(" "), b)), lambda g: g.isin(known)).alias("grams"))
+    shared = grams.filter(F.size("grams") >= min(_needed(len(own), low, threshold) for _, low, _, own in rows)).select("doc", "text", F.array_distinct("grams").alias("shared"))
+    enough = F.filter(_template_array(rows, threshold), lambda t: (F.size("shared") >= t["need"]) & (F.size(F.array_intersect(t["own"], "shared")) >= t["need"]))
+    numbers = shared.select("doc", "text", F.transform(enough, lambda t: t["number"]).alias("numbers")).filter(F.size("numbers") > 0)
+    found = stored(numbers, "licence-candidates")
+    return found.select("doc", "text", F.filter(_template_array(rows, threshold), lambda t: F.array_contains("numbers", t["number"])).alias("chosen"))
+
+
+def _unit_matches(chosen: DataFrame, threshold: str) -> DataFrame:
+    """Matches of single lines and of whole texts (line 0)."""
+    lines = chosen.select("doc", "text", "chosen", F.split("text", "\n").alias("lines"))
+    units = lines.select("doc", "chosen", F.posexplode(F.when(F.size("lines") > 1, F.concat(F.array("text"), F.col("lines"))).otherwise(F.concat(F.array(F.lit("")), F.col("lines")))).alias("line_no", "unit"))
+    words = units.select("doc", "chosen", "line_no", _words(F.col("unit")).alias("words"))
+    grams = words.select("doc", "chosen", "line_no", F.array_distinct(_pairs("words", lambda a, b: F.concat(a, F.lit(" "), b))).alias("grams"))
     found = F.transform(
-        F.filter(_template_array(rows), lambda t: F.size("grams").between(t["low"], t["high"])),
+        F.filter("chosen", lambda t: F.size("grams").between(t["low"], t["high"])),
         lambda t: F.struct(t["license"].alias("license"), (2 * F.size(F.array_intersect("grams", t["own"])) / (F.size("grams") + F.size(t["own"]))).alias("dice")))
     hits = grams.select("doc", "line_no", F.explode(F.filter(found, lambda h: h["dice"] >= float(threshold))).alias("hit"))
     return hits.select("doc", "line_no", "hit.license", "hit.dice")
 
 
+def _rank(places: str, at: Column) -> Column:
+    """How many of the ascending ``places`` are below ``at``: a binary search."""
+    span = F.struct(F.lit(0).alias("low"), F.size(places).alias("high"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        below = F.get(places, middle) < at
+        done = acc["low"] >= acc["high"]
+        return F.struct(F.when(done | ~below, acc["low"]).otherwise(middle + 1).alias("low"), F.when(done | below, acc["high"]).otherwise(middle).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), span, halve, lambda acc: acc["low"])
+
+
+def _run_matches(chosen: DataFrame, threshold: str) -> DataFrame:
+    """Per text and template the best run of each first line that matches; a run begins and ends with a word and has two lines or more.
+
+    Every bigram knows where it stood before, so the different ones of a run are those that stood nowhere before
+    since its first line, and one pass from a first line counts all its runs. Bigrams new to the text bound how
+    far a run can reach, and the template's bigrams up to there whether it can match at all. A run whose first line
+    starts none of these is passed over: without that line it is a better one.
+    """
+    lines = F.transform(F.split("text", "\n"), lambda line, i: F.transform(F.filter(_words(line), lambda w: w != ""), lambda w: F.struct(w.alias("word"), (i + 1).alias("line"))))
+    words = chosen.filter(F.instr("text", "\n") > 0).select("doc", "chosen", F.flatten(lines).alias("words"))
+    pairs = words.select("doc", "chosen", _pairs("words", lambda a, b: F.struct(F.concat(a["word"], F.lit(" "), b["word"]).alias("gram"), a["line"].alias("first"), b["line"].alias("last"))).alias("pairs"))
+    order = pairs.select("doc", "chosen", F.sort_array(F.transform("pairs", lambda x, i: F.struct(x["gram"].alias("gram"), (i + 1).alias("at"), x["first"].alias("first"), x["last"].alias("last")))).alias("order")).filter(F.size("order") > 0)
+    before = F.concat(F.slice("order", 1, 1), F.slice("order", 1, F.size("order") - 1))
+    back = order.select("doc", "chosen", F.sort_array(F.zip_with("order", before, lambda x, y: F.struct(
+        x["at"].alias("at"), x["first"].alias("first"), x["last"].alias("last"), x["gram"].alias("gram"),
+        F.when((x["gram"] == y["gram"]) & (y["at"] < x["at"]), y["at"]).otherwise(0).alias("before")))).alias("back"))
+    after = F.concat(F.slice("back", 2, F.size("back") - 1), F.array(F.lit(None).cast(back.schema["back"].dataType.elementType)))
+    places = back.select("doc", "chosen", F.zip_with("back", after, lambda x, y: F.struct(*[x[c].alias(c) for c in ("at", "first", "last", "gram", "before")], (y["last"].isNull() | (y["last"] > x["last"])).alias("ends"))).alias("places"),
+                         F.transform(F.filter("back", lambda x: x["before"] == 0), lambda x: x["at"]).alias("news"))
+    each = places.select("doc", "places", "news", F.explode("chosen").alias("t"))
+    marked = each.select("doc", "news", "t.license", "t.low", "t.high", "t.need", F.size("t.own").alias("size"),
+                         F.transform("places", lambda x: F.struct(*[x[c].alias(c) for c in ("at", "first", "last", "before", "ends")], F.array_contains("t.own", x["gram"]).alias("mark"))).alias("places"))
+    marks = marked.withColumn("marks", F.transform(F.filter("places", lambda x: x["mark"]), lambda x: x["at"]))
+    lines_at = F.filter("places", lambda x, i: (i == 0) | (F.get("places", i - 1)["first"] < x["first"]))
+    starting = F.array_distinct(F.transform(F.filter("places", lambda x: x["mark"]), lambda x: x["first"]))
+    starts = marks.withColumn("lines_at", lines_at).withColumn("starting", starting).withColumn("starts", F.transform(
+        F.filter("lines_at", lambda x: F.array_contains("starting", x["first"])),
+        lambda x: F.struct(x["at"].alias("at"), x["first"].alias("line"), F.coalesce(F.get("news", _rank("news", x["at"]) + F.col("high")) - 1, F.size("places")).alias("until"))))
+    dense = starts.withColumn("dense", F.filter("starts", lambda s: _rank("marks", s["until"] + 1) - _rank("marks", s["at"]) >= F.col("need")))
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("shared"), F.lit(0.0).alias("dice"))
+
+    def step(acc: Column, x: Column, start: Column) -> Column:
+        new = x["before"] < start["at"]
+        n, shared = acc["n"] + new.cast("int"), acc["shared"] + (new & x["mark"]).cast("int")
+        fits = x["ends"] & (x["last"] > start["line"])
+        return F.struct(n.alias("n"), shared.alias("shared"), F.when(fits, F.greatest(acc["dice"], 2 * shared / (n + F.col("size")))).otherwise(acc["dice"]).alias("dice"))
+
+    best = F.transform("dense", lambda s: F.struct(s["line"].alias("line_no"), F.aggregate(
+        F.slice("places", s["at"], s["until"] - s["at"] + 1), none, lambda acc, x: step(acc, x, s), lambda acc: acc["dice"]).alias("dice")))
+    hits = dense.filter(F.size("dense") > 0).select("doc", "license", F.explode(best).alias("hit")).filter(F.col("hit.dice") >= float(threshold))
+    return hits.select("doc", "hit.line_no", "license", "hit.dice")
+
+
+def matches(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: str = THRESHOLD) -> DataFrame:
+    """(doc, line_no, license, dice) for each line, each whole text and the best runs of lines that match a template;
+    a run has the number of its first line, and line 0 is the whole text, left out where the text is a single line.
+    DataFrame functions only, local to the row; the texts that may hold a template are stored first."""
+    chosen = candidates(docs, templates, threshold)
+    return _unit_matches(chosen, threshold).unionByName(_run_matches(chosen, threshold))
+
+
 def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: str = THRESHOLD) -> DataFrame:
     """(doc_id, license, dice, line_no, n_licenses, licenses) per document: the best match, the line it stands in
-    (0: the whole text), and all licences found.
+    or begins with (0: the whole text), and all licences found.
 
     Ties go to the first line, then to the first licence in the alphabet. No match, and a null, empty or blank
     text, gives nulls, 0 and an empty string. Rows with the same doc_id are one document, and so are all rows
@@ -140,7 +224,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold
 
 
 def scan_sql(templates: dict[str, list[str]] = TEMPLATES, threshold: str = THRESHOLD) -> str:
-    """The same result in DuckDB's SQL, with every unit compared to every template."""
+    """The same result in DuckDB's SQL where no text has a licence in some of its lines only: every line and whole text compared to every template."""
     rows = ",\n".join(f"({_literal(name)}, [{', '.join(map(_literal, own))}])" for name, _, _, own in _templates(templates, threshold))
     return f"""WITH templates(license, own) AS (VALUES {rows}),
 units AS (

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -457,6 +458,33 @@ def test_licences_equal_a_plain_scan(spark, odd):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_licences_over_several_lines_equal_all_runs(spark):
+    mit, notice = licenses.TEMPLATES["MIT"][1], "Licensed under the Apache License, Version 2.0 (the"
+    apache = next(t for t in licenses.TEMPLATES["Apache-2.0"] if t.startswith(notice) and len(t) < 1000)
+    prose = "\n".join(f"line {i} of the code and the words {i * 7 % 11} around it" for i in range(30))
+    commented = "\n".join(f" * {line}" for line in textwrap.wrap(apache, 75))
+    rows = [(1, f"{prose}\n\n{textwrap.fill(mit, 75)}\n\n{prose}"), (2, f"#!/bin/sh\n/*\n{commented}\n */\n{prose}"), (3, prose), (4, mit), (4, f"{prose}\n{mit}"),
+            (5, f"a title\n\nreleased under\n\nthe MIT\nlicense\n{prose}"), (None, f"{textwrap.fill(mit, 40)}\n{prose}\n{textwrap.fill(apache, 60)}"), (6, "\n\nx\n"), (7, None),
+            (8, f"{prose}\n" + textwrap.fill(mit.replace("copy", "duplicate").replace("software", "work"), 50) + f"\n{prose}"),
+            (9, f"{prose}\n" + textwrap.fill("released under " * 9 + "the MIT license and nothing else is said " * 2, 20))]
+    names = {"MIT": [mit, "Released under the MIT License."], "Apache-2.0": [apache]}
+    expected = {}
+    for doc, text in rows:
+        lines = (text or "").split("\n")
+        for i, j in ((i, j) for i in range(len(lines)) for j in range(i + 1, len(lines) + 1)):
+            own = set(licenses.bigrams(" ".join(lines[i:j])))
+            whole, held = (i, j) == (0, len(lines)) and len(lines) > 1, lines[i].strip(" */") and lines[j - 1].strip(" */")
+            for name, texts in names.items():
+                for wanted in map(set, map(licenses.bigrams, texts)):
+                    dice = 2 * len(own & wanted) / (len(own) + len(wanted))
+                    if dice >= 0.8 and (whole or held):
+                        expected.setdefault(doc, []).append((-dice, 0 if whole else i + 1, name))
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), names).collect()
+    wanted = {d: (min(h)[2], -min(h)[0], min(h)[1], ",".join(sorted({x[2] for x in h}))) for d, h in expected.items()}
+    assert {r["doc_id"]: (r["license"], r["dice"], r["line_no"], r["licenses"]) for r in found if r["license"]} == wanted
+    assert wanted[1] == ("MIT", 1.0, 32, "MIT") and wanted[2] == ("Apache-2.0", 1.0, 3, "Apache-2.0") and {4, 5, None} <= wanted.keys() and wanted[None][3] == "Apache-2.0,MIT"
+
+
 def test_size_bounds_never_cut_a_match():
     for size in range(1, 200):
         low, high = licenses.bounds(size)
