@@ -107,6 +107,11 @@ def _template_array(rows: list[tuple[str, int, int, list[str]]], threshold: str)
                               F.split(F.lit("\n".join(own)), "\n").alias("own")) for number, (name, low, high, own) in enumerate(rows)])
 
 
+def _once(column: Column) -> Column:
+    """``column``, computed once per row: no filter above repeats it and no later expression takes it in."""
+    return F.when(F.rand(0) >= 0, column)
+
+
 def _words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
 
@@ -119,25 +124,27 @@ def candidates(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, thr
     """(doc, text, chosen): the texts with enough of a template's bigrams, wherever they stand, and these templates. Found once and stored."""
     rows = _templates(templates, threshold)
     known = sorted({gram for *_, own in rows for gram in own})
-    words = docs.select(id_key().alias("doc"), "text", _words(F.col("text")).alias("words"))
-    grams = words.select("doc", "text", F.filter(_pairs("words", lambda a, b: F.concat(a, F.lit(" "), b)), lambda g: g.isin(known)).alias("grams"))
-    shared = grams.filter(F.size("grams") >= min(_needed(len(own), low, threshold) for _, low, _, own in rows)).select("doc", "text", F.array_distinct("grams").alias("shared"))
+    words = docs.select(id_key().alias("doc"), "text", _once(_words(F.col("text"))).alias("words"))
+    grams = F.filter(_pairs("words", lambda a, b: F.concat(a, F.lit(" "), b)), lambda g: g.isin(known))
+    least = min(_needed(len(own), low, threshold) for _, low, _, own in rows)
+    shared = words.select("doc", "text", _once(F.array_distinct(grams)).alias("shared")).filter(F.size("shared") >= least)
     enough = F.filter(_template_array(rows, threshold), lambda t: (F.size("shared") >= t["need"]) & (F.size(F.array_intersect(t["own"], "shared")) >= t["need"]))
-    numbers = shared.select("doc", "text", F.transform(enough, lambda t: t["number"]).alias("numbers")).filter(F.size("numbers") > 0)
+    numbers = shared.select("doc", "text", _once(F.transform(enough, lambda t: t["number"])).alias("numbers")).filter(F.size("numbers") > 0)
     found = stored(numbers, "licence-candidates")
-    return found.select("doc", "text", F.filter(_template_array(rows, threshold), lambda t: F.array_contains("numbers", t["number"])).alias("chosen"))
+    return found.select("doc", "text", _once(F.filter(_template_array(rows, threshold), lambda t: F.array_contains("numbers", t["number"]))).alias("chosen"))
 
 
 def _unit_matches(chosen: DataFrame, threshold: str) -> DataFrame:
     """Matches of single lines and of whole texts (line 0)."""
     lines = chosen.select("doc", "text", "chosen", F.split("text", "\n").alias("lines"))
     units = lines.select("doc", "chosen", F.posexplode(F.when(F.size("lines") > 1, F.concat(F.array("text"), F.col("lines"))).otherwise(F.concat(F.array(F.lit("")), F.col("lines")))).alias("line_no", "unit"))
-    words = units.select("doc", "chosen", "line_no", _words(F.col("unit")).alias("words"))
-    grams = words.select("doc", "chosen", "line_no", F.array_distinct(_pairs("words", lambda a, b: F.concat(a, F.lit(" "), b))).alias("grams"))
+    words = units.select("doc", "chosen", "line_no", _once(_words(F.col("unit"))).alias("words"))
+    grams = words.select("doc", "chosen", "line_no", _once(F.array_distinct(_pairs("words", lambda a, b: F.concat(a, F.lit(" "), b)))).alias("grams"))
     found = F.transform(
         F.filter("chosen", lambda t: F.size("grams").between(t["low"], t["high"])),
         lambda t: F.struct(t["license"].alias("license"), (2 * F.size(F.array_intersect("grams", t["own"])) / (F.size("grams") + F.size(t["own"]))).alias("dice")))
-    hits = grams.select("doc", "line_no", F.explode(F.filter(found, lambda h: h["dice"] >= float(threshold))).alias("hit"))
+    good = grams.select("doc", "line_no", _once(F.filter(found, lambda h: h["dice"] >= float(threshold))).alias("good"))
+    hits = good.select("doc", "line_no", F.explode("good").alias("hit"))
     return hits.select("doc", "line_no", "hit.license", "hit.dice")
 
 
@@ -163,26 +170,26 @@ def _run_matches(chosen: DataFrame, threshold: str) -> DataFrame:
     starts none of these is passed over: without that line it is a better one.
     """
     lines = F.transform(F.split("text", "\n"), lambda line, i: F.transform(F.filter(_words(line), lambda w: w != ""), lambda w: F.struct(w.alias("word"), (i + 1).alias("line"))))
-    words = chosen.filter(F.instr("text", "\n") > 0).select("doc", "chosen", F.flatten(lines).alias("words"))
+    words = chosen.filter(F.instr("text", "\n") > 0).select("doc", "chosen", _once(F.flatten(lines)).alias("words"))
     pairs = words.select("doc", "chosen", _pairs("words", lambda a, b: F.struct(F.concat(a["word"], F.lit(" "), b["word"]).alias("gram"), a["line"].alias("first"), b["line"].alias("last"))).alias("pairs"))
-    order = pairs.select("doc", "chosen", F.sort_array(F.transform("pairs", lambda x, i: F.struct(x["gram"].alias("gram"), (i + 1).alias("at"), x["first"].alias("first"), x["last"].alias("last")))).alias("order")).filter(F.size("order") > 0)
+    order = pairs.select("doc", "chosen", _once(F.sort_array(F.transform("pairs", lambda x, i: F.struct(x["gram"].alias("gram"), (i + 1).alias("at"), x["first"].alias("first"), x["last"].alias("last"))))).alias("order")).filter(F.size("order") > 0)
     before = F.concat(F.slice("order", 1, 1), F.slice("order", 1, F.size("order") - 1))
-    back = order.select("doc", "chosen", F.sort_array(F.zip_with("order", before, lambda x, y: F.struct(
+    back = order.select("doc", "chosen", _once(F.sort_array(F.zip_with("order", before, lambda x, y: F.struct(
         x["at"].alias("at"), x["first"].alias("first"), x["last"].alias("last"), x["gram"].alias("gram"),
-        F.when((x["gram"] == y["gram"]) & (y["at"] < x["at"]), y["at"]).otherwise(0).alias("before")))).alias("back"))
+        F.when((x["gram"] == y["gram"]) & (y["at"] < x["at"]), y["at"]).otherwise(0).alias("before"))))).alias("back"))
     after = F.concat(F.slice("back", 2, F.size("back") - 1), F.array(F.lit(None).cast(back.schema["back"].dataType.elementType)))
-    places = back.select("doc", "chosen", F.zip_with("back", after, lambda x, y: F.struct(*[x[c].alias(c) for c in ("at", "first", "last", "gram", "before")], (y["last"].isNull() | (y["last"] > x["last"])).alias("ends"))).alias("places"),
-                         F.transform(F.filter("back", lambda x: x["before"] == 0), lambda x: x["at"]).alias("news"))
+    places = back.select("doc", "chosen", _once(F.zip_with("back", after, lambda x, y: F.struct(*[x[c].alias(c) for c in ("at", "first", "last", "gram", "before")], (y["last"].isNull() | (y["last"] > x["last"])).alias("ends")))).alias("places"),
+                         _once(F.transform(F.filter("back", lambda x: x["before"] == 0), lambda x: x["at"])).alias("news"))
     each = places.select("doc", "places", "news", F.explode("chosen").alias("t"))
     marked = each.select("doc", "news", "t.license", "t.low", "t.high", "t.need", F.size("t.own").alias("size"),
-                         F.transform("places", lambda x: F.struct(*[x[c].alias(c) for c in ("at", "first", "last", "before", "ends")], F.array_contains("t.own", x["gram"]).alias("mark"))).alias("places"))
-    marks = marked.withColumn("marks", F.transform(F.filter("places", lambda x: x["mark"]), lambda x: x["at"]))
+                         _once(F.transform("places", lambda x: F.struct(*[x[c].alias(c) for c in ("at", "first", "last", "before", "ends")], F.array_contains("t.own", x["gram"]).alias("mark")))).alias("places"))
+    marks = marked.withColumn("marks", _once(F.transform(F.filter("places", lambda x: x["mark"]), lambda x: x["at"])))
     lines_at = F.filter("places", lambda x, i: (i == 0) | (F.get("places", i - 1)["first"] < x["first"]))
     starting = F.array_distinct(F.transform(F.filter("places", lambda x: x["mark"]), lambda x: x["first"]))
-    starts = marks.withColumn("lines_at", lines_at).withColumn("starting", starting).withColumn("starts", F.transform(
+    starts = marks.withColumn("lines_at", _once(lines_at)).withColumn("starting", _once(starting)).withColumn("starts", _once(F.transform(
         F.filter("lines_at", lambda x: F.array_contains("starting", x["first"])),
-        lambda x: F.struct(x["at"].alias("at"), x["first"].alias("line"), F.coalesce(F.get("news", _rank("news", x["at"]) + F.col("high")) - 1, F.size("places")).alias("until"))))
-    dense = starts.withColumn("dense", F.filter("starts", lambda s: _rank("marks", s["until"] + 1) - _rank("marks", s["at"]) >= F.col("need")))
+        lambda x: F.struct(x["at"].alias("at"), x["first"].alias("line"), F.coalesce(F.get("news", _rank("news", x["at"]) + F.col("high")) - 1, F.size("places")).alias("until")))))
+    dense = starts.withColumn("dense", _once(F.filter("starts", lambda s: _rank("marks", s["until"] + 1) - _rank("marks", s["at"]) >= F.col("need"))))
     none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("shared"), F.lit(0.0).alias("dice"))
 
     def step(acc: Column, x: Column, start: Column) -> Column:
@@ -193,7 +200,8 @@ def _run_matches(chosen: DataFrame, threshold: str) -> DataFrame:
 
     best = F.transform("dense", lambda s: F.struct(s["line"].alias("line_no"), F.aggregate(
         F.slice("places", s["at"], s["until"] - s["at"] + 1), none, lambda acc, x: step(acc, x, s), lambda acc: acc["dice"]).alias("dice")))
-    hits = dense.filter(F.size("dense") > 0).select("doc", "license", F.explode(best).alias("hit")).filter(F.col("hit.dice") >= float(threshold))
+    found = dense.filter(F.size("dense") > 0).select("doc", "license", _once(best).alias("best"))
+    hits = found.select("doc", "license", F.explode("best").alias("hit")).filter(F.col("hit.dice") >= float(threshold))
     return hits.select("doc", "hit.line_no", "license", "hit.dice")
 
 
