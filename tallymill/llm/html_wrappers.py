@@ -72,11 +72,24 @@ def _element(tag: str, raw: str) -> Node:
 
 
 def parse(html: str) -> Node:
-    """The page's block elements as a tree; kids are elements and (text, characters in links)."""
+    """The page's block elements as a tree; kids are elements and (text, characters in links).
+
+    Every open element is on the stack, so end tags close their own. Those deeper than DEEPEST are no nodes of
+    the tree: their texts go to the one above, or nowhere if they are apart.
+    """
     root = Node("", "", False)
     stack, text, link, links = [root], [], 0, 0
+    places: dict[str, list[int]] = {}
     at = 0
 
+    def last(*tags: str) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def close(depth: int) -> None:
+        for node in reversed(stack[depth:]):
+            places[node.tag].pop()
+        del stack[depth:]
+
     def flush() -> None:
         nonlocal links
         joined = " ".join(unescape("".join(text)).split())
@@ -106,10 +119,8 @@ def parse(html: str) -> Node:
             continue
         flush()
         if token[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    del stack[depth:]
-                    break
+            if depth := last(tag):
+                close(depth)
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
@@ -118,17 +129,18 @@ def parse(html: str) -> Node:
         if tag in VOID:
             continue
         if tag in CLOSES_P and stack[-1].tag == "p":
-            stack.pop()
-        for depth in range(len(stack) - 1, 0, -1) if tag in SIBLINGS else ():
-            if stack[depth].tag in SIBLINGS[tag]:
-                break
-            if stack[depth].tag == tag or tag in ("dt", "dd", "td", "th") and stack[depth].tag in ("dt", "dd", "td", "th"):
-                del stack[depth:]
-                break
+            close(len(stack) - 1)
+        if tag in SIBLINGS:
+            depth = last(*(("dt", "dd", "td", "th") if tag in ("dt", "dd", "td", "th") else (tag,)))
+            if depth > last(*SIBLINGS[tag]):
+                close(depth)
+        node = _element(tag, token[3])
         if len(stack) < DEEPEST:
-            node = _element(tag, token[3])
             stack[-1].kids.append(node)
-            stack.append(node)
+        elif not node.apart:
+            node.kids = stack[-1].kids
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(node)
     flush()
     return root
 
@@ -319,7 +331,7 @@ def extract(pages: DataFrame) -> DataFrame:
     Text is decoded, its white space single, one block a line; menus, headers, footers, sidebars, notices,
     adverts, forms, scripts and comments are left out. A null or empty page, and one without an article,
     gives an empty text. Pages whose url is null or has no host share a wrapper. Elements nested deeper
-    than DEEPEST are read as part of the one above. Repeated rows are rows like any other; other
+    than DEEPEST are read as part of the one above, those apart left out. Repeated rows are rows like any other; other
     columns are not read. A host in a third of all pages is one small wrapper per task.
     """
     rows = pages.select("page_id", "url", "html")

@@ -104,6 +104,14 @@ def test_broken_pages_do_not_crash(html):
     assert isinstance(html_wrappers.main_text(html, None), str)
 
 
+@pytest.mark.parametrize("deep", [10, 195, 250, 5000])
+def test_deep_elements_close_their_own(deep):
+    inner = "<nav><ul><li>a menu</ul></nav><p>inside</p><aside>an advert</aside>"
+    html = f"<body><article><h1>Title</h1>{'<div>' * deep}{inner}{'</div>' * deep}<p>after</p></article><div>outside</div></body>"
+    assert html_wrappers.main_text(html, None) == "Title\ninside\nafter"
+    assert html_wrappers.main_text(f"<article><div><div>{'<section>' * deep}text{'</section>' * deep}</div><p>more</p></div><p>end</p></article>", None) == "text\nmore\nend"
+
+
 def test_extract_odd_pages(spark):
     rows = [(1, "https://a.example/x", PAGE), (1, "https://a.example/x", PAGE), (2, None, PAGE), (3, "not a url", None), (None, "http://A.example:80/y", ""), (4, "http://b.example", "x" * 200_000)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({c: F.lit(1) for c in ("host", "region", "text", "wrapper")})
