@@ -30,6 +30,8 @@ def _running(kind: str, value: Column, window) -> Column:
         return F.min(value).over(window)
     if kind == "last":
         return F.last(value, ignorenulls=True).over(window)
+    if kind == "bit_xor":
+        return F.bit_xor(value).over(window)
     raise ValueError(f"unknown running aggregate: {kind}")
 
 
@@ -82,7 +84,7 @@ class OrderedRows:
         """Add ``name=(kind, value)`` columns: the aggregate of the key's rows up to this one.
 
         ``exclusive`` leaves the row itself out (null on a key's first row). Kinds are sum, max,
-        min and last (latest non-null value).
+        min, bit_xor and last (latest non-null value).
         """
         upto = -1 if exclusive else Window.currentRow
         if not self.bucketed:
