@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import bpe, embeddings, html_wrappers, langid, licenses, line_dedup, packing, quality, rans, simhash
+from tallymill.llm import (bpe, conversations, embeddings, html_wrappers, langid, licenses, line_dedup, packing, quality, rans, runs,
+                           simhash)
 from tallymill.session import fresh_path, load
 
 
@@ -58,9 +59,19 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(load(spark, sf_dir, "embeddings"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return runs.digests(runs.find_runs(docs, loops_by=F.col("doc_id").cast("string")))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, lengths = conversations.rebuilt(conversations.turns_of(load(spark, sf_dir, "conversations")))
+    return conversations.prefix_trie(turns, lengths)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_main_text, op2_language_id, op3_line_dedup, op4_best_fit_packing, op5_simhash, op6_rans_tokens, op7_byte_bpe, op8_quality_rules,
-    op9_license_scan, op10_near_vectors)}
+    op9_license_scan, op10_near_vectors, op11_periodic_runs, op13_conversation_trie)}
 
 LINE_DEDUP_SQL = """WITH lines AS (
   SELECT doc_id, unnest(range(1, len(parts) + 1)) AS no, unnest(parts) AS line
