@@ -54,7 +54,8 @@ def turns_of(conversations: DataFrame) -> DataFrame:
 
 def rebuilt(turns: DataFrame, group: int = 100, most: int = 6) -> tuple[DataFrame, DataFrame]:
     """(turns, lengths): conversation c with its first h turns replaced by those of conversation c - c % group;
-    h is the crc32 of the decimal c modulo ``most``. ``lengths`` has (conv_id, n_turns) of every conversation,
+    h is the crc32 of the decimal c modulo ``most``; a
+    negative id has a negative remainder, as in SQL. ``lengths`` has (conv_id, n_turns) of every conversation,
     also of those left without turns."""
     turns = stored(turns, "turns")
     sizes = turns.groupBy("conv_id").agg(F.count("*").alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.llm import (bpe, conversations, embeddings, html_wrappers, langid, licenses, line_dedup, packing, quality, rans, runs,
-                           simhash)
+                           simhash, suffixes)
 from tallymill.session import fresh_path, load
 
 
@@ -64,6 +64,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.find_runs(docs, loops_by=F.col("doc_id").cast("string")))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffixes.remove_repeats(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+    return rows.select("doc_id", size.alias("n_bytes"), (size - F.octet_length("_repeats.kept")).alias("n_removed"),
+                       F.size("_repeats.spans").cast("bigint").alias("n_spans"), F.sha2("_repeats.kept", 256).alias("kept_sha256"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns, lengths = conversations.rebuilt(conversations.turns_of(load(spark, sf_dir, "conversations")))
     return conversations.prefix_trie(turns, lengths)
@@ -71,7 +78,7 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_main_text, op2_language_id, op3_line_dedup, op4_best_fit_packing, op5_simhash, op6_rans_tokens, op7_byte_bpe, op8_quality_rules,
-    op9_license_scan, op10_near_vectors, op11_periodic_runs, op13_conversation_trie)}
+    op9_license_scan, op10_near_vectors, op11_periodic_runs, op12_suffix_dedup, op13_conversation_trie)}
 
 LINE_DEDUP_SQL = """WITH lines AS (
   SELECT doc_id, unnest(range(1, len(parts) + 1)) AS no, unnest(parts) AS line
