@@ -27,10 +27,11 @@ TAIL = ".,;:!?"
 class ChunkEncoder:
     """``encode`` maps chunks to packed little-endian uint32 ids; it is told what may stand between chunks if
     they are joined, or None. With ``attached`` a space belongs to the
-    chunk after it (" word"); without, white space is dropped and every space is a cut."""
+    chunk after it (" word"); without, white space is dropped and every space is a cut. ``specials`` are strings
+    that the encoder finds as they are written, so their case is never changed."""
 
-    def __init__(self, encode: Callable[[list[str], str | None], Iterable[bytes]], attached: bool, room: int = REMEMBERED):
-        self._encode, self._attached, self._room = encode, attached, room
+    def __init__(self, encode: Callable[[list[str], str | None], Iterable[bytes]], attached: bool, room: int = REMEMBERED, specials: tuple[str, ...] = ()):
+        self._encode, self._attached, self._room, self._specials = encode, attached, room, specials
         self._memory: dict[str, bytes] = {}
         self._heads: dict[str, bytes] = {}
         self._often: set[str] = set()
@@ -60,7 +61,7 @@ class ChunkEncoder:
         """The texts are cut and their different chunks found by Arrow; only those are looked up."""
         self._make_room()
         memory, heads = self._memory, self._heads
-        marked = [t.replace("\n", " \n") for t in texts] if self._attached else [_lowered(t).replace("\n", " ") for t in texts]
+        marked = [t.replace("\n", " \n") for t in texts] if self._attached else [self._lowered(t).replace("\n", " ") for t in texts]
         parts = pc.split_pattern(pa.array(marked, pa.large_string()), " ")
         begins = parts.offsets.to_numpy()
         coded = parts.flatten().dictionary_encode()
@@ -92,6 +93,15 @@ class ChunkEncoder:
             del heads[chunk]
         return out
 
+    def _lowered(self, text: str) -> str:
+        """Lower case where that is what the tokenizer will do anyway: Latin-1 letters map one to one."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        lower = text.lower()
+        return text if any(s in lower for s in self._specials) else lower
+
     def _whole(self, text: str) -> bytes:
         """A text with white space beside white space: cut only where both sides are visible."""
         parts = _joined(text.split(" "))
@@ -109,8 +119,8 @@ class ChunkEncoder:
         if not missing:
             return []
         heads, starts = self._heads, [w for w in missing if w[:1] == "\n"]
-        # Punctuation behind a letter or digit is always a token of its own.
-        cores = {w: core for w in missing if (core := w.rstrip(TAIL)) != w and core and core[-1].isalnum() and core[0] != "\n"}
+        # Punctuation behind a letter or digit, in lower case too, is always a token of its own.
+        cores = {w: core for w in missing if (core := w.rstrip(TAIL)) != w and core and core[-1].lower().isalnum() and core[0] != "\n"}
         asked = list(missing.difference(cores, starts).union(cores.values()).difference(memory))
         memory.update(zip(asked, self._encode([" " + w for w in asked], "") if self._attached else self._encode(asked, " ")))
         tails = {w[len(core):] for w, core in cores.items()}.difference(heads)
@@ -123,15 +133,6 @@ class ChunkEncoder:
         return [w for w in missing.union(asked) if len(w) > LONGEST]
 
 
-def _lowered(text: str) -> str:
-    """Lower case where that is what the tokenizer will do anyway: Latin-1 letters map one to one."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return text
-    return text.lower()
-
-
 def _loose(part: str) -> bool:
     """White space at an edge, but for a line end before a visible character; only such parts are not known."""
     visible = part.strip()
@@ -152,21 +153,27 @@ def _joined(parts: list[str]) -> list[str]:
 
 class FileTokenizer:
     """A tokenizers file for chunks: many are encoded as one string, whose ids are dealt out again by the
-    number of bytes each id stands for. Strings of special tokens are ordinary text, none is added."""
+    number of bytes each id stands for. Strings of special tokens give their ids, as in the library's plain call;
+    with ``special_as_text`` they are ordinary text. None is added."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = special_as_text
+        self._normalizer = self._tokenizer.normalizer
         with open(path, encoding="utf-8") as file:
             vocabulary = json.load(file)["model"]["vocab"]
-        self._bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        added = {token.content: number for number, token in self._tokenizer.get_added_tokens_decoder().items()}
+        self.specials = tuple(added) if not special_as_text else ()
+        self._bytes_of = np.zeros(max(*vocabulary.values(), *added.values(), 0) + 1, np.int64)
         for token, number in vocabulary.items():
             self._bytes_of[number] = len(token.removesuffix("</w>"))
+        for token, number in added.items():
+            self._bytes_of[number] = len(token.encode())
 
     def __call__(self, chunks: list[str], between: str | None) -> Iterable[bytes]:
         """Packed ids of each chunk. With ``between`` the chunks, joined by it, have the ids they have alone."""
@@ -180,14 +187,20 @@ class FileTokenizer:
     def _one(self, chunk: str) -> bytes:
         return self._ids(chunk).tobytes()
 
+    def _size(self, chunk: str) -> int:
+        """Bytes of a chunk as the tokenizer sees it; its tokens stand for these, or for fewer where white space goes."""
+        if self._normalizer is not None and not chunk.isascii():
+            chunk = self._normalizer.normalize_str(chunk)
+        return len(chunk.encode())
+
     def _many(self, chunks: list[str], between: str) -> list[bytes]:
         ids = self._ids(between.join(chunks))
-        sizes = np.fromiter(map(len, map(str.encode, chunks)), np.int64, len(chunks))
+        sizes = np.fromiter(map(self._size, chunks), np.int64, len(chunks))
         gap = 1 if between == "\n" else 0  # a line end has an id, a space between words has none
         ends = np.cumsum(sizes + gap) - gap
         reached = np.cumsum(self._bytes_of[ids])
         if not len(ids) or reached[-1] != ends[-1] or not np.array_equal(reached[cuts := np.searchsorted(reached, ends)], ends):
-            # The tokenizer sees other bytes than the chunks have, or a chunk is empty: find out which.
+            # White space inside a chunk is dropped, or a chunk is empty: find out which.
             if len(chunks) == 1:
                 return [self._one(chunks[0])]
             half = len(chunks) // 2
@@ -196,11 +209,13 @@ class FileTokenizer:
         return [data[b:e] for b, e in zip([0, *(s + 4 * gap for s in stops)], stops)]
 
 
-_LOADED: dict[tuple[str, bool], ChunkEncoder] = {}
+_LOADED: dict[tuple[str, bool, bool], ChunkEncoder] = {}
 
 
-def file_encoder(path: str, attached: bool) -> ChunkEncoder:
+def file_encoder(path: str, attached: bool, special_as_text: bool = False) -> ChunkEncoder:
     """The encoder of a tokenizers file, one per worker process."""
-    if (path, attached) not in _LOADED:
-        _LOADED[path, attached] = ChunkEncoder(FileTokenizer(path), attached, room=3 * REMEMBERED // 2)
-    return _LOADED[path, attached]
+    key = path, attached, special_as_text
+    if key not in _LOADED:
+        tokenizer = FileTokenizer(path, special_as_text)
+        _LOADED[key] = ChunkEncoder(tokenizer, attached, 3 * REMEMBERED // 2, tokenizer.specials)
+    return _LOADED[key]

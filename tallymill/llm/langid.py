@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,18 @@ UNSEEN = -7.0
 REMEMBERED = 200_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
+
+
+def _words(text: str) -> Counter:
+    """The words of a text in lower case, with their counts: runs of letters. Signs such as a half or a squared
+    are numbers, not letters, though patterns count them as word characters."""
+    counts = Counter(_WORD.findall(text.lower()))
+    for mixed in [w for w in counts if not w.isalpha()]:
+        n = counts.pop(mixed)
+        for word in _LETTERS.findall(mixed):
+            counts[word] += n
+    return counts
 
 
 @dataclass
@@ -61,7 +74,7 @@ class Model:
 
     def predict(self, text: str) -> tuple[str, float]:
         """Language and a score of 0 to 1: how much of the text's words speak for it."""
-        counts = Counter(_WORD.findall(text.lower()))
+        counts = _words(text)
         if not counts or not self.languages:
             return UNKNOWN, 0.0
         known, weights, others, other_weights = [], [], [], []
@@ -85,7 +98,8 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: Counter = Counter()
         for lang, text in zip(batch.column("lang").to_pylist(), strings(batch.column("text"))):
-            counts.update((lang, w) for w in _WORD.findall(text.lower()))
+            for word, n in _words(text).items():
+                counts[lang, word] += n
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()),
                                           pa.array(list(counts.values()), pa.int64())], ["lang", "token", "n"])
 

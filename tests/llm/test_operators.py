@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallymill.llm import bpe, components, embeddings, html_wrappers, langid, licenses, line_dedup, packing, quality, rans, simhash
+from tallymill.llm import bpe, chunks, components, embeddings, html_wrappers, langid, licenses, line_dedup, packing, quality, rans, simhash
 from tallymill.session import fresh_path
 
 DIRECTORY = "/root/testdata/sf0.001"
@@ -48,6 +48,36 @@ def rows_of(frame, *columns):
     return sorted((tuple(r[c] for c in columns) for r in frame.collect()), key=repr)
 
 
+# --- token ids by chunks ------------------------------------------------------------------------
+
+ODD_PIECES = ["İ", "ẞ", "Ⱥ", "ß", "ﬁ", "Ǆ", "ς", "Σ", "Å", "é", "é", "́", "ͅ", "가", "½", "²", "①", "ª", "µ", "İstanbul", "STRAẞE", "Don't", "'LL", "...",
+              "!?", ".", ",", "\t", "\u3000", "\xa0", "\u200b", "\x1c", "\r\n", "\n", "\n\n", " ", "   ", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|endoftext|",
+              "word", "Hello", "x", "12", "日本", "😀", "_", "ÀÉ", "\x00", "\x85", "Ÿ", "ŉ"]
+
+
+@pytest.mark.parametrize("special_as_text", [False, True])
+@pytest.mark.parametrize("file, attached", [(WORDS, False), (BYTES, True)])
+def test_token_ids_equal_whole_text_encoding(file, attached, special_as_text):
+    """Texts of case-changing, combining and special strings, in batches of any size and order."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    texts = ["STRAẞE", "İstanbul", ""]
+    for _ in range(10_000):
+        between = rng.choice([" ", "", None])
+        texts.append("".join(rng.choice(ODD_PIECES) + (rng.choice(["", " ", "\n"]) if between is None else between) for _ in range(rng.randrange(14))))
+    library = Tokenizer.from_file(file)
+    library.encode_special_tokens = special_as_text
+    expected = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    tokenizer = chunks.FileTokenizer(file, special_as_text)
+    encoder = chunks.ChunkEncoder(tokenizer, attached, 20_000, tokenizer.specials)
+    order, at = rng.sample(range(len(texts)), len(texts)), 0
+    while at < len(order):
+        part = order[at:at + rng.choice([1, 7, 300, 3000])]
+        assert encoder.encode([texts[i] for i in part]) == [expected[i] for i in part]
+        at += len(part)
+
+
 # --- components ---------------------------------------------------------------------------------
 
 def test_components_equal_a_plain_search(spark):
@@ -130,6 +160,17 @@ def test_language_of_held_out_documents(documents):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 for r in rows)
 
 
+def test_texts_without_a_letter_have_no_language(spark):
+    labelled = spark.createDataFrame([(i, "en", "the cat ½ ² ① sat") for i in range(9)] + [(20, "fr", "le chat ½ dort")], "doc_id bigint, lang string, text string")
+    model = langid.learn(labelled)
+    signs = ["½", "² ³", "①②", "12 ½", "Ⅷ", "७", "_", "…", ""]
+    rows = spark.createDataFrame([(s,) for s in [*signs, "x²the½cat", "the cat"]], "text string")
+    found = {r["text"]: tuple(r["_lang"]) for r in langid.predictions(rows, model).collect()}
+    assert all(found[s] == ("und", 0.0) for s in signs)
+    assert found["x²the½cat"][0] == found["the cat"][0] == "en"
+    assert not any(set(w) & set("½²①") for w in model.words) and not any(set(g) & set("½²①") for g in model.grams)
+
+
 def test_language_of_odd_texts(spark, odd):
     found = langid.identify(odd).collect()
     assert len(found) == len(odd_rows())
@@ -211,7 +252,6 @@ def test_packing_of_odd_texts(odd):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     expected = []
     for doc, text in odd_rows():
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
@@ -321,7 +361,6 @@ def test_token_files_round_trip(spark, odd):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(BYTES)
-    tokenizer.encode_special_tokens = True
     path = fresh_path(spark, "rans-test")
     rans.write_tokens(odd, path, BYTES)
     found = sorted(rans.read_tokens(spark, path).collect(), key=lambda r: r["start"])
@@ -501,6 +540,15 @@ def test_size_bounds_never_cut_a_match():
                 assert 2 * min(size, other) / (size + other) < 0.8
 
 
+def test_licence_scan_computes_each_step_once(documents):
+    """The texts are cut into words once per row for the candidates, not once per use of the words."""
+    rows = licenses._templates(licenses.TEMPLATES, licenses.THRESHOLD)
+    marks = [licenses._once(licenses._words(F.col("text"))).alias("words")]
+    plan = documents.select("text", *marks).select("text", F.array_distinct("words").alias("w")).filter(F.size("w") > 3).select(
+        F.exists("w", lambda w: w == "mit"), F.exists("w", lambda w: w == "gpl"))._jdf.queryExecution().optimizedPlan().toString()
+    assert rows and plan.count("regexp_replace(") == 1 and plan.count("monotonically_increasing_id()") == 1
+
+
 def test_licence_scan_stays_in_the_jvm(documents):
     plan = licenses.scan(documents)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
