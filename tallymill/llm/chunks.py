@@ -65,9 +65,10 @@ class ChunkEncoder:
         parts = pc.split_pattern(pa.array(marked, pa.large_string()), " ")
         begins = parts.offsets.to_numpy()
         coded = parts.flatten().dictionary_encode()
-        chunks, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        chunks, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
         missing = set(chunks).difference(memory)
-        loose = set(filter(_loose, missing)) if self._attached else set()
+        # Most chunks are one visible word; only the others are looked at closely.
+        loose = {c for c in missing if (not c or c[0].isspace() or c[-1].isspace()) and _loose(c)} if self._attached else set()
         long = self._learn(memory, missing - loose)
         ids = [memory.get(c, b"") for c in chunks]
         self._often.update(compress(chunks, np.bincount(index, minlength=len(chunks)) > 1))
@@ -194,8 +195,9 @@ class FileTokenizer:
         return len(chunk.encode())
 
     def _many(self, chunks: list[str], between: str) -> list[bytes]:
-        ids = self._ids(between.join(chunks))
-        sizes = np.fromiter(map(self._size, chunks), np.int64, len(chunks))
+        joined = between.join(chunks)
+        ids = self._ids(joined)
+        sizes = np.fromiter(map(len if joined.isascii() else self._size, chunks), np.int64, len(chunks))
         gap = 1 if between == "\n" else 0  # a line end has an id, a space between words has none
         ends = np.cumsum(sizes + gap) - gap
         reached = np.cumsum(self._bytes_of[ids])
