@@ -93,32 +93,25 @@ def sampling_previews(traces: DataFrame, by: list[str], order: str, n: int = 3)
     return first_rows(traces.filter(F.col("success") == 1), by, [F.col(order)], n)
 
 
-def gate_steps(rows: OrderedRows, score: str, threshold: float, window: int, recovery: int,
-               carried: bool = False) -> OrderedRows:
+def gate_steps(rows: OrderedRows, score: str, threshold: float, window: int, recovery: int) -> OrderedRows:
     """Adds ``halted`` to rows in order.
 
     A run of ``window`` low scores halts; while halted, a run of ``recovery`` good scores resumes
     (0: never). A run is long enough at a row when the latest score of the other kind lies that far
     back, and the gate is halted when the latest halt is more recent than the latest resumption.
-    ``carried`` rows also have _c_n, _c_good, _c_low, _c_halt and _c_resume from rows before these.
     """
-    def since(name: str) -> Column:
-        return F.greatest(F.coalesce(f"_{name}", F.lit(0)), F.coalesce(f"_c_{name}", F.lit(0)))
+    def known(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(0))
 
-    if not carried:
-        rows = rows.with_columns({f"_c_{n}": F.lit(0).cast("bigint") for n in ("n", "good", "low", "halt", "resume")})
     good = F.col(score) >= threshold
-    numbered = rows.number("_n").with_columns({"_n": F.col("_n") + F.coalesce("_c_n", F.lit(0))})
-    runs = numbered.scan(_good=("max", F.when(good, F.col("_n"))), _low=("max", F.when(~good, F.col("_n"))))
-    runs = runs.with_columns({"_good": since("good"), "_low": since("low")})
-    resumes = (F.col("_n") - F.col("_low") >= recovery) if recovery > 0 else F.lit(False)
-    state = runs.scan(_halt=("max", F.when(F.col("_n") - F.col("_good") >= window, F.col("_n"))),
+    runs = rows.number("_n").scan(_good=("max", F.when(good, F.col("_n"))), _low=("max", F.when(~good, F.col("_n"))))
+    resumes = (F.col("_n") - known("_low") >= recovery) if recovery > 0 else F.lit(False)
+    state = runs.scan(_halt=("max", F.when(F.col("_n") - known("_good") >= window, F.col("_n"))),
                       _resume=("max", F.when(resumes, F.col("_n"))))
-    state = state.with_columns({"_halt": since("halt"), "_resume": since("resume")})
-    return state.with_columns({"halted": F.col("_halt") > F.col("_resume")})
+    return state.with_columns({"halted": known("_halt") > known("_resume")})
 
 
-_STEPS = ("_n", "_good", "_low", "_halt", "_resume", "_c_n", "_c_good", "_c_low", "_c_halt", "_c_resume")
+_STEPS = ("_n", "_good", "_low", "_halt", "_resume")
 
 
 def quality_gate(scored: DataFrame, by: list[str], order: list[str], score: str = "score", *,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallymill.functions.text import short_hash
 from tallymill.plans.ordered import OrderedRows
 from tallymill.plans.skew import lookup_join
+from tallymill.session import checkpointed
 
 COMPLETED, PENDING = "completed", "pending"
 
@@ -60,61 +61,45 @@ class Snapshots:
         self.spark.range(version, version + 1, 1, 1).toDF("version").write.mode("append").parquet(f"{self.path}/pointer")
 
 
-def upsert(snapshots: Snapshots, changes: DataFrame, key: list[str], order: list[str], version: int) -> DataFrame:
-    """Snapshot ``version``: the newest older snapshot with ``changes`` applied. Repeatable."""
-    old = snapshots.read(before=version)
-    snapshots.write(latest(changes if old is None else old.unionByName(changes), key, order), version)
-    return snapshots.read()
+class KeyedTable:
+    """The latest row of every key as a Parquet table partitioned by a hash of the key.
 
+    An upsert rewrites only the parts that hold a changed key (Spark's dynamic partition overwrite), so it costs
+    what the change touches; files of other parts stay as they are. Applying a change again, or one that
+    stopped half-way, gives the same table, as the latest row by ``order`` wins. ``parts`` belongs to the table:
+    choose it once so that a part fits a task, and use the same number every time. One writer at a time.
+    """
 
-class KeyedLog:
-    """The latest row per key, kept as a snapshot and the changes written since.
+    PART = "part"
 
-    Writing costs as much as the change, not as the table. Every ``compact_every``-th version folds
-    the changes into a new snapshot. Versions may be written again: they replace themselves, and a
-    version is read from older ones only.
-    """
+    def __init__(self, spark: SparkSession, path: str, key: list[str], order: list[str], parts: int = 64):
+        self.spark, self.path, self.key, self.order, self.parts = spark, f"{path.rstrip('/')}/of={parts}", list(key), list(order), parts
 
-    def __init__(self, spark: SparkSession, path: str, key: list[str], order: list[str], compact_every: int = 20):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.key, self.order, self.compact_every = key, order, compact_every
-        self.base = Snapshots(spark, f"{self.path}/base")
-
-    def _changes(self, after: int | None, before: int | None) -> DataFrame | None:
-        """Changes of the versions between two others. Between known ones the folders are named, so
-        the cost does not grow with the log's age; gaps in the numbering fall back to a listing."""
-        first = 0 if after is None else after + 1
-        if before is not None and before <= first:
-            return None
-        if before is not None and before - first <= 10 * self.compact_every:
-            try:
-                return self.spark.read.parquet(*[f"{self.path}/changes/version={v}" for v in range(first, before)])
-            except AnalysisException as error:
-                _nothing_yet(error)
+    def _stored(self) -> DataFrame | None:
         try:
-            rows = self.spark.read.parquet(f"{self.path}/changes").filter(F.col("version") >= first)
+            return self.spark.read.parquet(self.path)
         except AnalysisException as error:
             return _nothing_yet(error)
-        return (rows if before is None else rows.filter(F.col("version") < before)).drop("version")
 
-    def read(self, before: int | None = None) -> DataFrame | None:
-        """The table as of the last version, or as of the last one before ``before``."""
-        newest = self.base.newest(before)
-        base = None if newest is None else self.spark.read.parquet(f"{self.base.path}/data/version={newest}")
-        changes = self._changes(newest, before)
-        if base is None or changes is None:
-            rows = base if changes is None else changes
-            return None if rows is None else latest(rows, self.key, self.order)
-        return latest(base.unionByName(changes), self.key, self.order)
-
-    def write(self, changes: DataFrame, version: int) -> None:
-        """Store a version's changes. A snapshot is built from older versions and these changes, never from the
-        folder it replaces, so writing a version again is safe at any moment."""
-        folder = f"{self.path}/changes/version={version}"
-        latest(changes, self.key, self.order).write.mode("overwrite").parquet(folder)
-        if (version + 1) % self.compact_every == 0:
-            older, own = self.read(before=version), self.spark.read.parquet(folder)
-            self.base.write(own if older is None else latest(older.unionByName(own), self.key, self.order), version)
+    def read(self) -> DataFrame | None:
+        """The table, or None before the first upsert."""
+        stored = self._stored()
+        return None if stored is None else stored.drop(self.PART)
+
+    def upsert(self, changes: DataFrame) -> None:
+        """Apply changes: the latest row of every key stays, whether it is stored or new."""
+        dealt = latest(changes, self.key, self.order).withColumn(self.PART, F.pmod(F.xxhash64(*self.key), F.lit(self.parts)).cast("int"))
+        dealt = checkpointed(dealt)
+        touched = [row[self.PART] for row in dealt.select(self.PART).distinct().collect()]  # at most ``parts``
+        if not touched:
+            return
+        stored = self._stored()
+        if stored is not None:
+            columns = dealt.columns
+            old = stored.filter(F.col(self.PART).isin(touched)).select(*[F.col(c).cast(dealt.schema[c].dataType) for c in columns])
+            dealt = latest(dealt.unionByName(old), [*self.key, self.PART], self.order)
+        (dealt.repartition(min(len(touched), self.parts), self.PART).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy(self.PART).parquet(self.path))
 
 
 def pending(ids: DataFrame, state: DataFrame, key: str = "id") -> DataFrame:

@@ -1,10 +1,6 @@
-"""Streams over event files, and stateful steps that restart where they stopped.
+"""Streams over event files: windows, running totals, deduplication and upserts in Spark's own state.
 
-Windows, running totals and approximate deduplication use Spark's own state. Steps that depend on
-the exact order of a key's rows run in ``foreachBatch``: the batch is put in order by the same
-running aggregates as a batch job (so a hot key is spread out), starting from one carried row per
-key. Outputs and the carried rows of the keys a batch touched are written under the batch id; a
-repeated batch replaces them.
+Steps that remember more than an aggregate are in ``stateful``.
 """
 
 from __future__ import annotations
@@ -14,14 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.operators.cache import stores
-from tallymill.operators.monitor import gate_steps
-from tallymill.operators.state import KeyedLog, latest
-from tallymill.operators.telemetry import TERMINAL
-from tallymill.plans.ordered import OrderedRows
-from tallymill.plans.skew import lookup_join
-
-Step = Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]
+from tallymill.operators.state import KeyedTable
 
 
 def read_folder(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -46,77 +35,6 @@ def output(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out")
 
 
-def carry(stream: DataFrame, path: str, step: Step, key: list[str], order: list[str], compact_every: int = 20) -> None:
-    """Run a stateful step over what is available now: (batch, carried rows) -> (output, changed
-    carried rows). Carried rows have one row per ``key``, the latest by ``order``."""
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        state = KeyedLog(batch.sparkSession, f"{path}/state", key, order, compact_every)
-        rows = batch.persist()
-        try:
-            out, changes = step(rows, state.read(before=batch_id))
-            out.write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
-            state.write(changes, batch_id)
-        finally:
-            rows.unpersist()
-
-    drain_batches(stream, path, handle)
-
-
-def _with_carried(batch: DataFrame, state: DataFrame | None, by: list[str], fields: dict[str, str]) -> DataFrame:
-    """Batch rows with the carried values of their key, null for a new key. Only the carried rows of
-    keys in the batch take part."""
-    if state is None:
-        return batch.withColumns({f"_c_{name}": F.lit(None).cast(kind) for name, kind in fields.items()})
-    carried = (state.join(batch.select(*by).distinct(), by, "left_semi")
-               .select(*by, *[F.col(name).cast(kind).alias(f"_c_{name}") for name, kind in fields.items()]))
-    return lookup_join(batch, carried, by, "left")
-
-
-def gate_step(by: list[str], order: list[str], score: str = "score", *, threshold: float, window: int, recovery: int = 0,
-              **ordered) -> Step:
-    """The quality gate on a stream: the same states as over all rows at once. Carries ``by`` in order of ``n``."""
-    fields = {"n": "bigint", "good": "bigint", "low": "bigint", "halt": "bigint", "resume": "bigint"}
-
-    def step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        rows = _with_carried(batch.filter(F.col(score).isNotNull()), state, by, fields)
-        gated = gate_steps(OrderedRows(rows, by, order, **ordered), score, threshold, window, recovery, carried=True).df
-        kept = gated.select(*by, *[F.col(f"_{f}").alias(f) for f in fields])
-        return gated.select(*batch.columns, "halted"), kept
-
-    return step
-
-
-def phase_step(by: list[str], order: list[str], phase: str = "phase", status: str = "status", **ordered) -> Step:
-    """Phase changes on a stream, up to the first completed or failed update of a key. Carries ``by``
-    in order of ``seen``."""
-    def step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        rows = _with_carried(batch, state, by, {"phase": "string", "over": "int", "seen": "bigint"})
-        over = F.col(status).isin(*TERMINAL).cast("int")
-        marked = (OrderedRows(rows, by, order, **ordered).number("_k").previous(_prev=F.col(phase))
-                  .scan(exclusive=True, _over=("max", over)).df)
-        before = F.when(F.col("_k") == 1, F.col("_c_phase")).otherwise(F.col("_prev"))
-        ended = F.greatest(F.coalesce("_over", F.lit(0)), F.coalesce("_c_over", F.lit(0))) == 1
-        out = marked.filter(~ended & ~F.col(phase).eqNullSafe(before)).select(*batch.columns)
-        seen = F.coalesce("_c_seen", F.lit(0)) + F.col("_k")
-        now = marked.select(*by, F.col(phase).alias("phase"), F.greatest(over, ended.cast("int")).alias("over"), seen.alias("seen"))
-        return out, now
-
-    return step
-
-
-def first_seen_step(key: str, at: str, ttl: int, **options) -> Step:
-    """The requests of a stream that a cache with this ttl does not answer. Carries ``key`` in order
-    of ``at``."""
-    def step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        times = batch.select(key, at).distinct()
-        known = None if state is None else state.join(times.select(key).distinct(), key, "left_semi")
-        stored = stores(times if known is None else times.unionByName(known).distinct(), key, at, ttl, **options)
-        fresh = stored if known is None else stored.join(known, [key, at], "left_anti")
-        return fresh, fresh
-
-    return step
-
-
 def drop_repeats(stream: DataFrame, key: list[str], ts: str, ttl: str) -> DataFrame:
     """Spark's own deduplication: a repeat within ``ttl`` of the first is dropped for sure; one that
     comes later may be dropped too while the watermark has not passed the first."""
@@ -143,13 +61,11 @@ def progress(priced: DataFrame, by: list[str], budget: Column, path: str) -> Non
         f"{path}/out/batch={batch_id}"), mode="update")
 
 
-def upserts(stream: DataFrame, path: str, key: list[str], order: list[str]) -> None:
-    """Keep the latest row of every key; read it with ``upserted``. The rows are a streaming aggregate in Spark's own
-    state: a batch costs what the keys it touches cost, and only those are written."""
-    rest = [c for c in stream.columns if c not in key]
-    last = stream.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_last")).select(*key, "_last.*")
-    drain_batches(last, path, lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}"), mode="update")
+def upserts(stream: DataFrame, path: str, key: list[str], order: list[str], parts: int = 64) -> None:
+    """Keep the latest row of every key in a table below ``path``; read it with ``upserted``. Every batch is one
+    upsert, which rewrites the parts it touches and may be repeated; the stream itself keeps no state."""
+    drain_batches(stream, path, lambda batch, _: KeyedTable(batch.sparkSession, f"{path}/table", key, order, parts).upsert(batch))
 
 
-def upserted(spark: SparkSession, path: str, key: list[str], order: list[str]) -> DataFrame:
-    return latest(output(spark, path).drop("batch"), key, order)
+def upserted(spark: SparkSession, path: str, key: list[str], order: list[str], parts: int = 64) -> DataFrame:
+    return KeyedTable(spark, f"{path}/table", key, order, parts).read()

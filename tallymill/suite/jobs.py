@@ -14,35 +14,53 @@ from tallymill.operators.state import latest
 from tallymill.plans.refine import refine
 from tallymill.plans.workflow import Node, node_stats, run_workflow
 from tallymill.session import fresh_path, load
-from tallymill.streaming import jobs
+from tallymill.streaming import jobs, stateful
 from tallymill.suite import monitor, telemetry
 from tallymill.suite.cost import BUDGET, FUSED
 from tallymill.suite.state import MICROS, STATE, TTL, _hits
 from tallymill.suite.telemetry import PHASES, _named
 
+def _on_time(of: str, end: str) -> str:
+    """Which events of the late delivery still count in a window ending at ``end``: the first two waves came in
+    time, the third is held against the watermark that the second left."""
+    return f"({LATE_WAVE} < 3 OR {end} > (SELECT date_trunc('milliseconds', max(ts)) FROM events WHERE {LATE_WAVE} < 3) - INTERVAL {of})"
+
+
+# Deliveries out of order: some events of the last hour before a wave ends come with the next one, and some of
+# the first ten days come with the last one, long after their windows are closed.
+LATE_WAVE = """(CASE WHEN ts < TIMESTAMP '2024-01-11' AND event_id % 20 = 0 THEN 3
+ WHEN ts < TIMESTAMP '2024-01-11' THEN CASE WHEN event_id % 20 = 1 AND ts >= TIMESTAMP '2024-01-10 23:00:00' THEN 2 ELSE 1 END
+ WHEN ts < TIMESTAMP '2024-01-21' THEN CASE WHEN event_id % 20 = 1 AND ts >= TIMESTAMP '2024-01-20 23:00:00' THEN 3 ELSE 2 END
+ ELSE 3 END)"""
+LATE_WAVES = tuple(f"{LATE_WAVE.replace('TIMESTAMP ', 'TIMESTAMP_NTZ ')} = {n}" for n in (1, 2, 3))
 WAVES = ("ts < TIMESTAMP_NTZ'2024-01-11'", "ts >= TIMESTAMP_NTZ'2024-01-11' AND ts < TIMESTAMP_NTZ'2024-01-21'",
          "ts >= TIMESTAMP_NTZ'2024-01-21'")
 
 
-def in_waves(spark, d, run):
+def in_waves(spark, d, run, waves=WAVES):
     """Events arrive wave by wave; ``run(stream, path)`` drains each. Returns the job's folder."""
     events = load(spark, d, "events")
     inbox, path = fresh_path(spark, "inbox"), fresh_path(spark, "job")
-    for wave in WAVES:
+    for wave in waves:
         events.filter(wave).write.mode("append").parquet(inbox)
         run(jobs.read_folder(spark, inbox, events.schema), path)
     return path
 
 
+CALL_MODEL = """CASE event_type WHEN 'click' THEN 'gpt-4o-mini' WHEN 'view' THEN 'claude-3-haiku' WHEN 'purchase' THEN 'gpt-4o'
+ WHEN 'signup' THEN 'claude-3-5-sonnet' ELSE 'unlisted-model' END"""
+
+
 def _score(events):
     return events.select(F.col("user_id").alias("mission_id"), F.col("event_id").alias("ord"),
                          (F.col("value") / (F.col("value") + F.lit(20.0))).alias("score"))
 
 
 def stream_quality_gate(spark, d):
-    step = jobs.gate_step(["mission_id"], ["ord"], threshold=0.8, window=3, recovery=4)
-    path = in_waves(spark, d, lambda s, p: jobs.carry(_score(s), p, step, ["mission_id"], ["n"]))
-    return jobs.output(spark, path).drop("batch")
+    def run(stream, path):
+        jobs.drain(stateful.quality_gate(_score(stream), ["mission_id"], ["ord"], threshold=0.8, window=3, recovery=4), path)
+
+    return jobs.output(spark, in_waves(spark, d, run))
 
 
 def _phase(events):
@@ -51,53 +69,81 @@ def _phase(events):
         .otherwise("idle").alias("phase"), F.when(F.col("value") >= 400.0, "completed").otherwise("running").alias("status"))
 
 
+def _instants(stream):
+    """Watermarks need instants: the events' clock is read as UTC, whatever the session's time zone."""
+    return stream.withColumn("ts", F.timestamp_micros(F.expr(MICROS)))
+
+
 def stream_phase_changes(spark, d):
-    step = jobs.phase_step(["user_id"], ["ts", "event_id"])
-    path = in_waves(spark, d, lambda s, p: jobs.carry(_phase(s), p, step, ["user_id"], ["seen"]))
-    return jobs.output(spark, path).select("user_id", "event_id", "phase")
+    """Keys are remembered for 60 days after their end, longer than the events go on."""
+    def run(stream, path):
+        updates = _instants(_phase(stream))
+        jobs.drain(stateful.phase_changes(updates, ["user_id"], ["ts", "event_id"], "ts", keep_ms=60 * 86_400_000), path)
+
+    return jobs.output(spark, in_waves(spark, d, run)).select("user_id", "event_id", "phase")
 
 
 def stream_first_seen(spark, d):
-    step = jobs.first_seen_step("user_id", "at", TTL)
-    path = in_waves(spark, d, lambda s, p: jobs.carry(s.select("user_id", F.expr(MICROS).alias("at")), p, step, ["user_id"], ["at"]))
-    return jobs.output(spark, path).drop("batch")
+    def run(stream, path):
+        requests = _instants(stream.select("user_id", F.expr(MICROS).alias("at"), "ts"))
+        jobs.drain(stateful.first_seen(requests, ["user_id"], "ts", TTL), path)
+
+    return jobs.output(spark, in_waves(spark, d, run)).select("user_id", "at")
+
+
+def stream_single_deliveries(spark, d):
+    """Every event is delivered twice, the second time beside it or with the next wave's first hours."""
+    def run(stream, path):
+        twice = _instants(stream.unionByName(stream)).select("event_id", "event_type", "ts")
+        jobs.drain(jobs.drop_repeats(twice, ["event_id"], "ts", "1 hour"), path)
+
+    return jobs.output(spark, in_waves(spark, d, run)).select("event_id", "event_type")
+
+
+def stream_budget_fuse(spark, d):
+    """Calls of the last hour of a wave arrive with the next one; the fuse trips at the very call all the same."""
+    def run(stream, path):
+        model = F.expr(CALL_MODEL)
+        tokens = F.floor(F.col("value") * 10).cast("bigint"), F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
+        calls = _instants(stream).select(F.col("user_id").alias("mission_id"), F.col("event_id").alias("call_id"), "ts", call_cost(model, *tokens).alias("cost"))
+        jobs.drain(stateful.budget_fuse(calls, ["mission_id"], ["ts", "call_id"], "ts", BUDGET, delay="2 hours"), path)
+
+    shuffled = tuple(w.replace("event_id % 20 = 0", "FALSE").replace("event_id % 20 = 1", "event_id % 2 = 1") for w in LATE_WAVES)
+    rows = jobs.output(spark, in_waves(spark, d, run, shuffled))
+    return rows.select("mission_id", "call_id", "fuse", F.col("cumulative_cost").cast("double").alias("cumulative_cost"))
 
 
 CLOCK = "timestampadd(SECOND, unix_seconds(start), TIMESTAMP_NTZ'1970-01-01 00:00:00')"
 
 
 def stream_window_counts(spark, d):
-    """Watermarks need instants: the events' clock is read as UTC, whatever the session's time zone."""
+    """Events come out of order; those whose window the watermark has passed are dropped."""
     def run(stream, path):
-        timed = stream.withColumn("ts", F.timestamp_micros(F.expr(MICROS)))
-        jobs.drain(jobs.window_counts(timed, ["event_type"], "1 hour", "2 hours"), path)
+        jobs.drain(jobs.window_counts(_instants(stream), ["event_type"], "1 hour", "2 hours"), path)
 
-    counts = jobs.output(spark, in_waves(spark, d, run))
+    counts = jobs.output(spark, in_waves(spark, d, run, LATE_WAVES))
     return _named(counts.withColumn("start", F.expr(CLOCK)), "event_type")
 
 
 def stream_sliding_counts(spark, d):
     def run(stream, path):
-        timed = stream.withColumn("ts", F.timestamp_micros(F.expr(MICROS)))
-        jobs.drain(jobs.window_counts(timed, ["event_type"], "1 hour", "2 hours", slide="30 minutes"), path)
+        jobs.drain(jobs.window_counts(_instants(stream), ["event_type"], "1 hour", "2 hours", slide="30 minutes"), path)
 
-    counts = jobs.output(spark, in_waves(spark, d, run))
+    counts = jobs.output(spark, in_waves(spark, d, run, LATE_WAVES))
     return _named(counts.withColumn("start", F.expr(CLOCK)), "event_type")
 
 
 def stream_session_counts(spark, d):
     def run(stream, path):
-        timed = stream.withColumn("ts", F.timestamp_micros(F.expr(MICROS)))
-        jobs.drain(jobs.session_counts(timed, ["user_id"], "2 hours", "1 hour"), path)
+        jobs.drain(jobs.session_counts(_instants(stream), ["user_id"], "2 hours", "1 hour"), path)
 
-    counts = jobs.output(spark, in_waves(spark, d, run)).withColumn("start", F.expr(CLOCK))
+    counts = jobs.output(spark, in_waves(spark, d, run, LATE_WAVES)).withColumn("start", F.expr(CLOCK))
     return counts.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
 def stream_progress(spark, d):
     def run(stream, path):
-        model = F.expr("""CASE event_type WHEN 'click' THEN 'gpt-4o-mini' WHEN 'view' THEN 'claude-3-haiku' WHEN 'purchase' THEN 'gpt-4o'
-          WHEN 'signup' THEN 'claude-3-5-sonnet' ELSE 'unlisted-model' END""")
+        model = F.expr(CALL_MODEL)
         tokens = F.floor(F.col("value") * 10).cast("bigint"), F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
         priced = stream.select(F.col("user_id").alias("mission_id"), call_cost(model, *tokens).alias("cost"))
         jobs.progress(priced, ["mission_id"], F.lit(BUDGET), path)
@@ -159,6 +205,7 @@ QUERIES = {
     "stream_quality_gate": stream_quality_gate, "stream_phase_changes": stream_phase_changes,
     "stream_first_seen": stream_first_seen, "stream_window_counts": stream_window_counts,
     "stream_sliding_counts": stream_sliding_counts, "stream_session_counts": stream_session_counts,
+    "stream_single_deliveries": stream_single_deliveries, "stream_budget_fuse": stream_budget_fuse,
     "stream_progress": stream_progress, "stream_upserts": stream_upserts, "refine_items": refine_items,
     "staged_workflow": staged_workflow, "workflow_node_stats": workflow_node_stats,
 }
@@ -174,14 +221,19 @@ ORACLES = {
     "stream_first_seen": _hits("user_id").split(" m AS (")[0].rstrip().rstrip(",") + ' SELECT user_id, at_us AS "at" FROM a',
     "stream_window_counts": """SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n,
  round(sum(value), 4) AS total FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <=
- (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 HOURS FROM events) GROUP BY 1, 2""",
+ (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 HOURS FROM events) AND """ + _on_time("2 HOURS", "date_trunc('hour', ts) + INTERVAL 1 HOUR") + " GROUP BY 1, 2",
     "stream_sliding_counts": """SELECT event_type, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(sum(value), 4) AS total
- FROM (SELECT event_type, value, time_bucket(INTERVAL 30 MINUTES, ts) - k * INTERVAL 30 MINUTES AS start FROM events, (VALUES (0), (1)) w(k))
- WHERE start + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 HOURS FROM events) GROUP BY 1, 2""",
-    "stream_session_counts": """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS fresh FROM events),
+ FROM (SELECT event_id, ts, event_type, value, time_bucket(INTERVAL 30 MINUTES, ts) - k * INTERVAL 30 MINUTES AS start FROM events, (VALUES (0), (1)) w(k))
+ WHERE start + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 HOURS FROM events) AND """ + _on_time("2 HOURS", "start + INTERVAL 1 HOUR") + " GROUP BY 1, 2",
+    "stream_session_counts": "WITH e AS (SELECT * FROM events WHERE " + _on_time("1 HOUR", "ts + INTERVAL 2 HOURS") + """), g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS fresh FROM e),
  s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM g)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, sid
 HAVING max(ts) + INTERVAL 2 HOURS <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)""",
+    "stream_single_deliveries": "SELECT event_id, event_type FROM events",
+    "stream_budget_fuse": f"""WITH {FUSED} SELECT s.mission_id, s.call_id, CAST(cum AS DOUBLE) AS cumulative_cost,
+ CASE WHEN t.trip_call IS NULL OR cum < 0.12 THEN 'before' WHEN s.call_id = t.trip_call THEN 'trip' ELSE 'after' END AS fuse
+ FROM summed s LEFT JOIN trips t ON t.mission_id = s.mission_id JOIN events e ON e.event_id = s.call_id
+ WHERE date_trunc('milliseconds', e.ts) < (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 2 HOURS""",
     "stream_progress": f"""WITH {FUSED} SELECT mission_id, count(*) AS calls, CAST(sum(cost) AS DOUBLE) AS total_cost,
  sum(cost) >= 0.12 AS fused FROM priced GROUP BY mission_id""",
     "stream_upserts": f"WITH {STATE} SELECT id, status, updated_at FROM state",

@@ -23,14 +23,12 @@ def state_table(spark, d):
 
 
 def state_upsert(spark, d):
-    """Three waves of writes that arrive out of order, each giving a new snapshot."""
-    snapshots = st.Snapshots(spark, fresh_path(spark, "state"))
+    """Three waves of writes that arrive out of order, each upserted into one table."""
+    table = st.KeyedTable(spark, fresh_path(spark, "state"), ["id"], ["updated_at"], parts=8)
     log = state_log(spark, d)
-    waves = [log.filter("status = 'pending'"), log.filter("status = 'completed' AND input_hash < '8'"),
-             log.filter("status = 'completed' AND input_hash >= '8'")]
-    for version, wave in enumerate(waves):
-        result = st.upsert(snapshots, wave, ["id"], ["updated_at"], version)
-    return result
+    for wave in ("status = 'pending'", "status = 'completed' AND input_hash < '8'", "status = 'completed' AND input_hash >= '8'"):
+        table.upsert(log.filter(wave))
+    return table.read()
 
 
 def _asked(spark, d):

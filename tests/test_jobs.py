@@ -11,7 +11,7 @@ from tallymill.plans.refine import refine
 from tallymill.plans.workflow import Node, run_order, run_workflow
 from tallymill.session import checkpointed, shared_folder, spread
 from tallymill.sources import items as it, sinks, tables
-from tallymill.streaming import jobs
+from tallymill.streaming import jobs, stateful
 
 
 def test_corpus(spark, tmp_path):
@@ -104,16 +104,39 @@ def test_snapshots_replace_a_repeated_version(spark, tmp_path):
     snaps = st.Snapshots(spark, str(tmp_path / "s"))
     assert snaps.read() is None
     rows = "id string, v long"
-    st.upsert(snaps, spark.createDataFrame([("a", 1), ("b", 1)], rows), ["id"], ["v"], 0)
+    snaps.write(spark.createDataFrame([("a", 1), ("b", 1)], rows), 0)
     for _ in range(2):
-        out = st.upsert(snaps, spark.createDataFrame([("a", 2), ("a", 3)], rows), ["id"], ["v"], 1)
-    assert {(r.id, r.v) for r in out.collect()} == {("a", 3), ("b", 1)}
+        snaps.write(spark.createDataFrame([("a", 3), ("b", 1)], rows), 1)
+    assert {(r.id, r.v) for r in snaps.read().collect()} == {("a", 3), ("b", 1)}
     assert snaps.newest(before=1) == 0 and snaps.newest() == 1
-    unfinished = spark.createDataFrame([("z", 9)], rows)
-    unfinished.write.parquet(str(tmp_path / "s" / "data" / "version=2"))
+    spark.createDataFrame([("z", 9)], rows).write.parquet(str(tmp_path / "s" / "data" / "version=2"))
     assert snaps.read().count() == 2
 
 
+def test_upsert_rewrites_touched_parts_only(spark, tmp_path):
+    rows = "id string, v long, note string"
+    table = st.KeyedTable(spark, str(tmp_path / "s"), ["id"], ["v"], parts=4)
+
+    def files():
+        return {f: f.stat().st_mtime_ns for f in (tmp_path / "s").rglob("part-*.parquet")}
+
+    assert table.read() is None
+    table.upsert(spark.createDataFrame([], rows))
+    assert table.read() is None
+    table.upsert(spark.createDataFrame([(f"k{i}", 1, None) for i in range(40)] + [(None, 1, "none"), ("k0", 0, "old")], rows))
+    before = files()
+    change = spark.createDataFrame([("k1", 3, "new"), ("k1", 2, "older"), ("k2", 0, "too old")], rows)
+    for _ in range(2):
+        table.upsert(change)
+    assert {(r.id, r.v, r.note) for r in table.read().collect()} == {(f"k{i}", 1, None) for i in range(40) if i != 1} | {(None, 1, "none"), ("k1", 3, "new")}
+    after = files()
+    touched = {r[0] for r in change.select(F.pmod(F.xxhash64("id"), F.lit(4))).collect()}
+    kept = {f for f in before if int(f.parent.name.removeprefix("part=")) not in touched}
+    assert kept and all(after.get(f) == before[f] for f in kept) and not any(f in after for f in before.keys() - kept)
+    table.upsert(spark.createDataFrame([("fresh", 1, None)], rows))
+    assert table.read().count() == 42 and table.read().columns == ["id", "v", "note"]
+
+
 def test_pending_keeps_duplicates(spark):
     ids = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "id string")
     state = spark.createDataFrame([("a", "completed"), ("c", "running")], "id string, status string")
@@ -135,22 +158,48 @@ def test_stream_upsert_and_repeats(spark, tmp_path):
     assert spark.read.schema("id string, n long").parquet(str(tmp_path / "sess" / "out")).count() == 0
 
 
-@pytest.mark.parametrize("options", [{}, {"max_group_rows": 0, "buckets": 5}])
-def test_stream_phases_equal_batch_phases(spark, tmp_path, options):
+def test_stream_phases_equal_batch_phases(spark, tmp_path):
     rows = [(k, i, phase, status) for k in "ab" for i, (phase, status) in enumerate(
         [("x", "run"), ("x", "run"), ("y", "run"), (None, "run"), (None, "run"), ("x", "run"), ("z", "failed" if k == "a" else "run"), ("w", "run")])]
     schema = "k string, i long, phase string, status string"
-    want = te.phase_changes(spark.createDataFrame(rows, schema), ["k"], ["i"], **options)
+    want = te.phase_changes(spark.createDataFrame(rows, schema), ["k"], ["i"])
     assert [(r.k, r.i) for r in want.orderBy("k", "i").collect()] == [
         ("a", 0), ("a", 2), ("a", 3), ("a", 5), ("a", 6), ("b", 0), ("b", 2), ("b", 3), ("b", 5), ("b", 6), ("b", 7)]
     for low in (0, 3, 4, 7):
         part = [r for r in rows if low <= r[1] < {0: 3, 3: 4, 4: 7, 7: 8}[low]]
         spark.createDataFrame(part, schema).write.mode("append").parquet(str(tmp_path / "in"))
-        jobs.carry(jobs.read_folder(spark, str(tmp_path / "in"), schema), str(tmp_path / "job"), jobs.phase_step(["k"], ["i"], **options), ["k"], ["seen"], compact_every=2)
+        stream = jobs.read_folder(spark, str(tmp_path / "in"), schema).withColumn("ts", F.timestamp_seconds(F.col("i") + 1_000_000_000))
+        jobs.drain(stateful.phase_changes(stream, ["k"], ["i"], "ts", delay="1 second"), str(tmp_path / "job"))
     got = jobs.output(spark, str(tmp_path / "job"))
     assert sorted((r.k, r.i) for r in got.collect()) == sorted((r.k, r.i) for r in want.collect())
 
 
+def test_stream_phases_forget_keys_that_ended(spark, tmp_path):
+    schema = "k string, i long, phase string, status string"
+    for wave in ([(f"k{n}", n, "x", "completed" if n % 2 else "failed") for n in range(20)], [("k0", 25, "late", "run"), ("last", 500, "x", "completed")],
+                 [("last", 2000, "y", "run"), ("end", 9000, "x", "failed")], [("end", 20_000, "x", "run")]):
+        spark.createDataFrame(wave, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.read_folder(spark, str(tmp_path / "in"), schema).withColumn("ts", F.timestamp_seconds(F.col("i") + 1_000_000_000))
+        jobs.drain(stateful.phase_changes(stream, ["k"], ["i"], "ts", delay="1 second", keep_ms=60_000), str(tmp_path / "job"))
+    state = spark.read.format("statestore").option("path", f"{tmp_path}/job/checkpoint").option("stateVarName", "phase").load()
+    assert {r.key.k for r in state.collect()} <= {"end"}
+    got = {(r.k, r.i) for r in jobs.output(spark, str(tmp_path / "job")).collect()}
+    assert {(f"k{n}", n) for n in range(20)} <= got and ("k0", 25) not in got and ("last", 500) in got
+
+
+def test_late_rows_are_dropped_by_the_watermark(spark, tmp_path):
+    schema = "k string, at long, value double"
+    waves = [[("a", 0, 1.0), ("a", 10, 1.0), ("a", 10_000, 1.0)], [("a", 20, 99.0), ("a", 9_990, 2.0), ("a", 30_000, 1.0)]]
+    for wave in waves:
+        spark.createDataFrame(wave, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.read_folder(spark, str(tmp_path / "in"), schema).withColumn("ts", F.timestamp_seconds("at"))
+        jobs.drain(jobs.window_counts(stream, ["k"], "1 hour", "1 hour"), str(tmp_path / "windows"))
+        jobs.drain(jobs.session_counts(stream, ["k"], "1 minute", "1 hour"), str(tmp_path / "sessions"))
+    windows = {(r.start.timestamp(), r.n, r.total) for r in jobs.output(spark, str(tmp_path / "windows")).collect()}
+    assert windows == {(0.0, 2, 2.0), (7200.0, 2, 3.0)}
+    assert sorted(r.n for r in jobs.output(spark, str(tmp_path / "sessions")).collect()) == [2, 2]
+
+
 def test_refine_goes_on_after_a_stop(spark, tmp_path):
     items = spark.createDataFrame([(i, "x" * i) for i in range(1, 8)], "item_id long, prompt string")
     rules = [Rule("expression", "length(output) % 4 = 0", name="four")]
@@ -285,18 +334,3 @@ def test_telemetry_levels(spark):
     events = df.select(te.event_level(F.col("t"), F.col("l")).alias("level"), F.repeat(F.lit("x"), F.lit(300)).alias("p"))
     assert te.emitted(events, 9).count() == 4 and te.emitted(events, 0).count() == 1
     assert te.emitted(events, 3, "p").filter("length(p) <> 200").isEmpty()
-
-
-def test_keyed_log_compacts_and_repeats(spark, tmp_path):
-    log = st.KeyedLog(spark, str(tmp_path / "log"), ["k"], ["v"], compact_every=2)
-    assert log.read() is None
-    waves = [[("a", 1), ("b", 1)], [("a", 3)], [("b", 2), ("a", 2)], [("c", 9)], [("c", 8), ("d", 1)]]
-    for version, wave in enumerate(waves):
-        for _ in range(2):
-            log.write(spark.createDataFrame(wave, "k string, v long"), version)
-    assert {(r.k, r.v) for r in log.read().collect()} == {("a", 3), ("b", 2), ("c", 9), ("d", 1)}
-    assert {(r.k, r.v) for r in log.read(before=2).collect()} == {("a", 3), ("b", 1)}
-    assert {(r.k, r.v) for r in log.read(before=1).collect()} == {("a", 1), ("b", 1)}
-    assert log.base.newest() == 3
-    log.write(spark.createDataFrame([("e", 1)], "k string, v long"), 9)
-    assert log.read(before=10).count() == 5 and log.read(before=9).count() == 4 and log.read(before=0) is None

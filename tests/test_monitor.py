@@ -1,11 +1,12 @@
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallymill.functions.vectors import cosine
 from tallymill.operators import cache, cost, monitor
-from tallymill.streaming import jobs
+from tallymill.streaming import jobs, stateful
 
 BUCKETED = {"max_group_rows": 0, "buckets": 6}
 
@@ -42,20 +43,24 @@ def test_gate_ignores_missing_scores(spark):
     assert [r.halted for r in monitor.quality_gate(df, ["m"], ["ord"], window=2).orderBy("ord").collect()] == [False, True]
 
 
-@pytest.mark.parametrize("waves", [1, 4])
-@pytest.mark.parametrize("options", [{}, BUCKETED])
-def test_stream_gate_equals_batch_gate(spark, tmp_path, waves, options):
+@pytest.mark.parametrize("waves", [1, 3])
+def test_stream_gate_equals_batch_gate(spark, tmp_path, waves):
     rng = random.Random(5)
-    rows = [(rng.randrange(3), i, rng.choice([0.2, 0.8])) for i in range(160)]
+    rows = [(rng.randrange(3) or None, i, rng.choice([0.2, 0.8, 0.8, None])) for i in range(160)]
     schema = "m long, ord long, score double"
     want = monitor.quality_gate(spark.createDataFrame(rows, schema), ["m"], ["ord"], threshold=0.5, window=3, recovery=2)
-    step = jobs.gate_step(["m"], ["ord"], threshold=0.5, window=3, recovery=2, **options)
     for w in range(waves):
         part = rows[w * 160 // waves:(w + 1) * 160 // waves]
         spark.createDataFrame(part, schema).write.mode("append").parquet(str(tmp_path / "in"))
-        jobs.carry(jobs.read_folder(spark, str(tmp_path / "in"), schema), str(tmp_path / "job"), step, ["m"], ["n"], compact_every=3)
+        stream = jobs.read_folder(spark, str(tmp_path / "in"), schema)
+        jobs.drain(stateful.quality_gate(stream, ["m"], ["ord"], threshold=0.5, window=3, recovery=2), str(tmp_path / "job"))
     got = jobs.output(spark, str(tmp_path / "job"))
-    assert {(r.m, r.ord): r.halted for r in got.collect()} == {(r.m, r.ord): r.halted for r in want.collect()}
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(got.columns).collect()))
+
+
+def state_rows(spark, path, variable):
+    """Rows of one state variable of a stopped stream."""
+    return (spark.read.format("statestore").option("path", f"{path}/checkpoint").option("stateVarName", variable).load())
 
 
 def stores_fold(times, ttl):
@@ -79,15 +84,44 @@ def test_cache_hits_like_the_plain_fold(spark, ttl, fold_limit, options):
         assert got[key] == (len(times), len(stores_fold(set(times), ttl)))
 
 
-def test_stream_first_seen_equals_batch(spark, tmp_path):
+def test_stream_first_seen_equals_batch_and_forgets(spark, tmp_path):
+    """A new key every second or so besides a busy one: state holds the keys of the last ttl, not all of them."""
     rng = random.Random(3)
-    requests = sorted((rng.choice("ab"), rng.randrange(400)) for _ in range(150))
-    requests.sort(key=lambda r: r[1])
-    for w in range(3):
-        spark.createDataFrame(requests[w * 50:(w + 1) * 50], "k string, at long").write.mode("append").parquet(str(tmp_path / "in"))
-        jobs.carry(jobs.read_folder(spark, str(tmp_path / "in"), "k string, at long"), str(tmp_path / "job"), jobs.first_seen_step("k", "at", 25), ["k"], ["at"])
+    requests = sorted([("busy", rng.randrange(400)) for _ in range(60)] + [(f"once {i}", 4 * i) for i in range(100)], key=lambda r: r[1])
+    requests += requests[-1:]
+    for w in range(4):
+        part = requests[w * len(requests) // 4:(w + 1) * len(requests) // 4]
+        spark.createDataFrame(part, "k string, at long").write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.read_folder(spark, str(tmp_path / "in"), "k string, at long").withColumn("ts", F.timestamp_seconds(F.col("at") + 1_000_000_000))
+        jobs.drain(stateful.first_seen(stream, ["k"], "ts", 25_000_000, delay="5 seconds"), str(tmp_path / "job"))
     got = sorted((r.k, r.at) for r in jobs.output(spark, str(tmp_path / "job")).collect())
-    assert got == sorted((k, t) for k in "ab" for t in stores_fold({t for kk, t in requests if kk == k}, 25))
+    assert got == sorted((k, t) for k in {k for k, _ in requests} for t in stores_fold({t for kk, t in requests if kk == k}, 25))
+    held = {r.key.k for r in state_rows(spark, tmp_path / "job", "stored").collect()}
+    newest = max(t for _, t in requests)
+    assert held and held <= {k for k, t in requests if t >= newest - 25 - 5 - 1}
+
+
+def test_stream_fuse_trips_at_the_very_call(spark, tmp_path):
+    """Calls shuffled by up to half an hour, equal times, free calls; a key that never trips."""
+    rng = random.Random(4)
+    calls = [(rng.choice("aab"), i, 1_700_000_000 + i // 2 * 60, Decimal(rng.randrange(0, 50)) / 1000) for i in range(300)] + [("c", 999, 1_700_000_000, Decimal(0))]
+    schema = "m string, id long, sec long, cost decimal(18,12)"
+
+    def timed(df):
+        return df.withColumn("ts", F.timestamp_seconds("sec"))
+
+    want = cost.budget_fuse(timed(spark.createDataFrame(calls, schema)), ["m"], ["ts", "id"], Decimal("1.5"))
+    arriving = sorted(calls, key=lambda c: c[2] + rng.randrange(0, 1700))
+    for w in range(3):
+        spark.createDataFrame(arriving[w * 101:(w + 1) * 101], schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = timed(jobs.read_folder(spark, str(tmp_path / "in"), schema))
+        jobs.drain(stateful.budget_fuse(stream, ["m"], ["ts", "id"], "ts", Decimal("1.5"), delay="30 minutes"), str(tmp_path / "job"))
+    got = {(r.m, r.id): (r.fuse, r.cumulative_cost) for r in jobs.output(spark, str(tmp_path / "job")).collect()}
+    passed = max(c[2] for c in calls) - 1800
+    assert got == {(r.m, r.id): (r.fuse, r.cumulative_cost) for r in want.collect() if r.sec < passed}
+    assert {f for f, _ in got.values()} == {"before", "trip", "after"} and got["c", 999][0] == "before"
+    waiting = state_rows(spark, tmp_path / "job", "waiting").count()
+    assert waiting <= sum(c[2] >= passed for c in calls)
 
 
 def test_cosine(spark):

@@ -37,7 +37,7 @@ SIZE_DEPENDENT = [
     "mask_corpus", "corpus_vault", "unmask_from_vault", "outcome_until_pass", "attempt_history", "loop_cap", "budget_fuse",
     "budget_effects", "judge", "quality_gate_recovering", "embedding_drift", "check_cadence", "drift_actions", "append_versions",
     "lineage", "open_critiques", "apply_skills", "distil_worthy", "corpus_items", "status_of_ids", "input_units", "cache_hits",
-    "cache_hits_by_type", "phase_changes", "stream_quality_gate", "stream_phase_changes", "stream_first_seen"]
+    "cache_hits_by_type", "phase_changes"]
 
 
 @pytest.mark.parametrize("name", SIZE_DEPENDENT)
