@@ -101,3 +101,27 @@ def numbers_from_last(values: Column) -> Column:
         return F.transform(F.array_sort(F.flatten(F.transform(heads, members))), lambda e: e["n"])
 
     return let(F.array_sort(F.transform(values, lambda v, i: F.struct(v.alias("value"), (-i).alias("back")))), runs)
+
+
+#: Elements that a fold over an array takes together.
+CHUNK = 64
+
+
+def chunked_fold(items: Column, start: Column, step: Callable[[Column, Column], Column], keeps: Callable[[Column, Column], Column],
+                 kind: str) -> Column:
+    """Array of chunks of the elements that ``keeps(state, element)`` says, in order; ``step`` gives the state after
+    a kept element. Elements are appended to small chunks, so long arrays are not copied for every element."""
+    empty = F.array().cast(f"array<{kind}>")
+
+    def element(acc: Column, item: Column) -> Column:
+        kept = keeps(acc["state"], item)
+        return F.struct(F.when(kept, step(acc["state"], item)).otherwise(acc["state"]).alias("state"),
+                        F.when(kept, F.concat(acc["out"], F.array(item))).otherwise(acc["out"]).alias("out"))
+
+    def chunk(acc: Column, number: Column) -> Column:
+        inner = F.aggregate(F.slice(items, number * CHUNK + 1, F.lit(CHUNK)), F.struct(acc["state"].alias("state"), empty.alias("out")), element)
+        return let(inner, lambda x: F.struct(x["state"].alias("state"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    numbers = F.when(F.size(items) > 0, F.sequence(F.lit(0), ((F.size(items) - 1) / CHUNK).cast("int"))).otherwise(F.array().cast("array<int>"))
+    zero = F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.aggregate(numbers, zero, chunk, lambda acc: F.filter(acc["out"], lambda x: F.size(x) > 0))

@@ -114,6 +114,47 @@ def test_custom_patterns_prefer_earliest_then_longest(spark):
     assert out[0].masked == "[[PII_LONG_1]]d [[PII_SHORT_2]] [[PII_LONG_1]]d" and out[1].masked is None
 
 
+def plain_custom(text, patterns):
+    """Earliest start, then longest, then first pattern; numbers from the last new value to the first."""
+    spans = sorted((m.start(), -m.end(), at, m.group()) for at, p in enumerate(patterns.values()) for m in re.finditer(p, text) if m.group())
+    kept, reached = [], 0
+    for start, stop, at, value in spans:
+        if start >= reached:
+            kept.append((start, -stop, list(patterns)[at], value))
+            reached = -stop
+    tokens = {}
+    for _, _, label, value in reversed(kept):
+        tokens.setdefault(value, f"[[PII_{label}_{len(tokens) + 1}]]")
+    out, at = "", 0
+    for start, stop, _, value in kept:
+        out, at = out + text[at:start] + tokens[value], stop
+    return out + text[at:]
+
+
+@pytest.mark.parametrize("patterns", [
+    {"SHORT": "bc", "LONG": "abc", "TAIL": "cd"}, {"A": "a+", "AB": "(ab)+", "X": "x+"}, {"P": r"\w+@", "Q": r"[a-c]{2}", "R": r"@\w"},
+    {"E": "é+", "EMOJI": "😀.", "ANY": "[é😀]{3}"}, {"NONE": "zzz"}, {"SAME": "ab", "AGAIN": "ab", "CTX": "(?<=c)ab"}])
+def test_custom_patterns_that_overlap(spark, patterns):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["a", "b", "c", "d", "x", "@", " ", "é", "😀", "\n"]) for _ in range(rng.randrange(0, 60))) for _ in range(150)]
+    texts += ["", "abc" * 700, "x" * 5, "qaq"]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(-1, None)], "id long, text string").withColumns({"_spans": F.lit(1), "_values": F.lit(2)})
+    masked = privacy.mask_custom(df, patterns)
+    assert masked.columns == [*df.columns, "masked"]
+    got = {r.id: r.masked for r in masked.collect()}
+    assert got.pop(-1) is None and got == {i: plain_custom(t, patterns) for i, t in enumerate(texts)}
+    plan = masked._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_custom_patterns_that_match_nothing_are_refused(spark):
+    df = spark.createDataFrame([("xx",)], "text string")
+    with pytest.raises(ValueError, match="'X' matches an empty text"):
+        privacy.mask_custom(df, {"A": "a", "X": "x*"})
+    assert privacy.mask_custom(df, {}).first().masked == "xx"
+    assert privacy.mask_custom(df.limit(0), {"A": "a"}).count() == 0
+
+
 def test_large_text_and_long_run(spark):
     run = "a" * 300_000
     text = "word " * 400_000 + run + " " + EMAIL
