@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("privacy", "attempts", "cost", "scoring", "monitor", "versions", "prompts", "state", "telemetry", "jobs")
+FAMILIES = ("privacy", "attempts", "cost", "scoring", "monitor", "versions", "prompts", "state", "telemetry", "jobs", "timed")
 
 
 def _collect(attribute: str) -> dict:
