@@ -104,7 +104,9 @@ def first_resource(spark, d):
 
 
 def all_text_rows(spark, d):
-    rows = load(spark, d, "embeddings").select("vec_id", "label", F.size("embedding").alias("n"))
+    """Whole vectors as JSON text, in millionths: programs print fractions in different ways."""
+    millionths = F.transform("embedding", lambda x: F.round(x.cast("double") * 1e6).cast("bigint"))
+    rows = load(spark, d, "embeddings").select("vec_id", "label", millionths.alias("embedding"))
     return sinks.all_text(rows.withColumn("pair", F.array("vec_id", "label")))
 
 
@@ -221,7 +223,8 @@ SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n,
     "row_items": "SELECT row_number() OVER (ORDER BY c_custkey) AS ord, CAST(to_json(c) AS VARCHAR) AS text FROM customer c",
     "corpus_items": "SELECT page_id, url, sha256(html) AS html_hash FROM pages",
     "first_resource": "SELECT row_number() OVER (ORDER BY s_suppkey) AS ord, s_name AS name FROM supplier",
-    "all_text_rows": """SELECT CAST(vec_id AS VARCHAR) AS vec_id, CAST(label AS VARCHAR) AS label, CAST(len(embedding) AS VARCHAR) AS n,
+    "all_text_rows": """SELECT CAST(vec_id AS VARCHAR) AS vec_id, CAST(label AS VARCHAR) AS label, 
+ CAST(to_json(list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT))) AS VARCHAR) AS embedding,
  '[' || vec_id || ',' || label || ']' AS pair FROM embeddings""",
     "vector_documents": f"""WITH {IO_PAIRS} SELECT sha256(conv_id || chr(1) || turn || chr(1) || output) AS id, output AS document,
  '{{"conv_id":"' || conv_id || '","turn":"' || turn || '"}}' AS metadata FROM io_pairs""",
