@@ -29,9 +29,9 @@ from tallymill.plans.skew import lookup_join
 
 WINDOW, GRAM = 400, 128
 #: Bytes of contexts that one shard takes, and of a family that is not cut.
-SHARD_BYTES, FAMILY_BYTES = 2 << 20, 1 << 20
+SHARD_BYTES, FAMILY_BYTES = 1 << 20, 1 << 19
 #: Bytes of text whose grams are hashed together; a longer text is cut with windows overlapping.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 _A, _B, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29)
 _PLACE = np.uint64((1 << 24) - 1)
 ANCHOR = np.dtype([("g", "<i8"), ("at", "<i4"), ("lo", "<i4"), ("hi", "<i4")])
@@ -113,7 +113,7 @@ def anchors(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def _packed_anchors(texts: pa.Array) -> pa.Array:
-    return pa.array([a.tobytes() for a in anchors(utf8(texts))], pa.binary())
+    return pa.array([a.tobytes() for at in range(0, len(texts), 512) for a in anchors(utf8(texts.slice(at, 512)))], pa.binary())
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
