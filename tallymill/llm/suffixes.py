@@ -288,13 +288,18 @@ def _moved(rows: DataFrame, by: list[str], shift: str) -> DataFrame:
     return lists.select(*by, text_udf(_shifted, "binary")(F.col("_all.s"), F.col("_all.windows")).alias("windows"))
 
 
+def _dealt_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join with a stored table of one row per key by shuffling both, hot keys salted: the same plan at every size."""
+    return lookup_join(left, right, on, "inner", stored=True, limit=0)
+
+
 def _repeated(contexts: DataFrame) -> DataFrame:
     """(c1, c2, windows) of stored distinct contexts: every stretch of windows that other places have too."""
     spark = contexts.sparkSession
     whole = contexts.filter("n > 1").select("c1", "c2", _all_windows(F.octet_length("context") - WINDOW).alias("windows"))
     families = stored(contexts.groupBy("family").agg(F.sum(F.octet_length("context")).alias("bytes"), F.count("*").alias("members"),
                                                      F.any_value(F.col("most") - F.col("least")).alias("wide")).filter("members > 1"), "families")
-    rows = lookup_join(contexts, families, ["family"], "inner", stored=True)
+    rows = _dealt_join(contexts, families, ["family"])
     hot = (F.col("bytes") > FAMILY_BYTES) & (F.col("wide") > 0)
     size = families.filter(~hot).agg(F.sum("bytes")).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
@@ -342,13 +347,13 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
                                                     F.any_value("anchors").alias("anchors")), "text-classes")
     spots = classes.select("t1", "t2", "anchors").mapInArrow(_unpacked, "t1 bigint, t2 bigint, g bigint, at bigint, lo bigint, hi bigint")
     again = stored(spots.groupBy("g").count().filter("count > 1").select("g"), "grams")
-    kept = lookup_join(spots, again, ["g"], "inner", stored=True).groupBy("t1", "t2").agg(F.collect_list(F.struct("g", "at", "lo", "hi")).alias("spots"))
+    kept = _dealt_join(spots, again, ["g"]).groupBy("t1", "t2").agg(F.collect_list(F.struct("g", "at", "lo", "hi")).alias("spots"))
     kept = stored(kept.join(classes.select("t1", "t2", "rep"), ["t1", "t2"]), "spots")
-    held = lookup_join(texts, kept, ["t1", "t2"], "inner", stored=True).filter("doc = rep").select("t1", "t2", "text", "spots")
+    held = _dealt_join(texts, kept, ["t1", "t2"]).filter("doc = rep").select("t1", "t2", "text", "spots")
     whole = stored(_named(held.mapInArrow(_contexts, "t1 bigint, t2 bigint, lo bigint, family bigint, near bigint, far bigint, context binary")), "contexts")
     ones = whole.withColumns({"least": F.lit(0).cast("bigint"), "most": F.lit(WINDOW - GRAM).cast("bigint"), "n": F.lit(1).cast("bigint")})
     found = _repeated(stored(_distinct(ones), "distinct-contexts"))
-    places = lookup_join(whole.select("t1", "t2", "lo", "c1", "c2"), found, ["c1", "c2"], "inner", stored=True)
+    places = _dealt_join(whole.select("t1", "t2", "lo", "c1", "c2"), found, ["c1", "c2"])
     lists = places.groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "windows")).alias("_all"))
     parts = lists.select("t1", "t2", text_udf(_byte_spans, _REMOVED)(F.col("_all.lo"), F.col("_all.windows")).alias("spans"))
     copies = classes.filter("copies > 1").select("t1", "t2", F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("size").alias("length"))).alias("spans"))
