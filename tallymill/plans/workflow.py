@@ -16,7 +16,8 @@ from tallymill.session import checkpointed
 
 @dataclass(frozen=True)
 class Node:
-    """``run`` maps items (ord, text) to results (ord, status, final_output)."""
+    """``run`` maps items (ord, text) to results (ord, status, final_output). ``ord`` only names and orders
+    the items: the given number in a node without dependencies, a place (array of numbers) in the others."""
 
     id: str
     run: Callable[[DataFrame], DataFrame]
@@ -35,8 +36,10 @@ def run_order(nodes: list[Node]) -> list[str]:
 def run_workflow(nodes: list[Node], items: DataFrame) -> dict[str, DataFrame]:
     """Results of every node that had input, in run order; the last entry is the workflow's result.
 
-    A node with dependencies works on their successful outputs, in the order they are listed and
-    numbered afresh. Results are checkpointed once, as several nodes may read them.
+    A node with dependencies works on their successful outputs, in the order they are listed. Texts stay
+    where they are: an item's place is the number of its source followed by its place there, and places
+    order as the items do. ``numbered`` gives dense numbers. Results are checkpointed once, as several
+    nodes may read them.
     """
     by_id = {n.id: n for n in nodes}
     results: dict[str, DataFrame] = {}
@@ -44,13 +47,12 @@ def run_workflow(nodes: list[Node], items: DataFrame) -> dict[str, DataFrame]:
     for node_id in run_order(nodes):
         node = by_id[node_id]
         if node.depends_on:
-            feeding = [outputs[d].withColumn("_from", F.lit(i)) for i, d in enumerate(node.depends_on) if d in outputs]
+            feeding = [_placed(outputs[d], i) for i, d in enumerate(node.depends_on) if d in outputs]
             for missing in set(node.depends_on) - outputs.keys():
                 warnings.warn(f"node {node_id}: no output from {missing}", stacklevel=2)
             if not feeding:
                 continue
-            joined = union_all(feeding).withColumnRenamed("ord", "_ord")
-            source = global_number(joined, ["_from", "_ord"], "ord").select("ord", "text")
+            source = union_all(feeding)
         else:
             source = items.select("ord", "text")
         results[node_id] = checkpointed(node.run(source))
@@ -60,6 +62,17 @@ def run_workflow(nodes: list[Node], items: DataFrame) -> dict[str, DataFrame]:
     return results
 
 
+def _placed(outputs: DataFrame, source: int) -> DataFrame:
+    place = F.col("ord") if outputs.schema["ord"].dataType.typeName() == "array" else F.array(F.col("ord").cast("bigint"))
+    return outputs.withColumn("ord", F.concat(F.array(F.lit(source).cast("bigint")), place))
+
+
+def numbered(results: DataFrame) -> DataFrame:
+    """``results`` with dense numbers from 1 as ``ord``, in the order of their places. The other columns move
+    with it, so select narrow ones first."""
+    return global_number(results.withColumnRenamed("ord", "_place"), ["_place"], "ord").select(*results.columns)
+
+
 def node_stats(results: dict[str, DataFrame]) -> DataFrame:
     """Pass rate and volume per node."""
     rows = union_all([df.select(F.lit(n).alias("node_id"), "status") for n, df in results.items()])

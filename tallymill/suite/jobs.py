@@ -12,7 +12,7 @@ from tallymill.functions.money import call_cost
 from tallymill.operators.rules import Rule
 from tallymill.operators.state import latest
 from tallymill.plans.refine import refine
-from tallymill.plans.workflow import Node, node_stats, run_workflow
+from tallymill.plans.workflow import Node, node_stats, numbered, run_workflow
 from tallymill.session import fresh_path, load
 from tallymill.streaming import jobs, stateful
 from tallymill.suite import monitor, telemetry
@@ -194,7 +194,7 @@ def _workflow(spark, d):
 
 
 def staged_workflow(spark, d):
-    return _workflow(spark, d)["merge"].select("ord", "status", F.sha2("final_output", 256).alias("output_hash"))
+    return numbered(_workflow(spark, d)["merge"].select("ord", "status", F.sha2("final_output", 256).alias("output_hash")))
 
 
 def workflow_node_stats(spark, d):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallymill.operators import attempts as at, cache, cost, distill, prompts as pr, state as st, telemetry as te, versions as ve
 from tallymill.operators.rules import Rule
 from tallymill.plans.refine import refine
-from tallymill.plans.workflow import Node, run_order, run_workflow
+from tallymill.plans.workflow import Node, numbered, run_order, run_workflow
 from tallymill.session import checkpointed, shared_folder, spread
 from tallymill.sources import items as it, sinks, tables
 from tallymill.streaming import jobs, stateful
@@ -238,12 +238,26 @@ def test_workflow(spark):
         results = run_workflow(nodes, items)
     assert "dead" not in results
     assert [r.final_output for r in results["c"].orderBy("ord").collect()] == ["bat0", "bat1", "bat2", "at0", "at1", "at2"]
+    dense = numbered(results["c"].select("ord", F.length("final_output").alias("n")))
+    assert dense.columns == ["ord", "n"] and [tuple(r) for r in dense.orderBy("ord").collect()] == [(1, 4), (2, 4), (3, 4), (4, 3), (5, 3), (6, 3)]
     with pytest.raises(CycleError):
         run_order([Node("x", None, ("y",)), Node("y", None, ("x",))])
     with pytest.raises(ValueError):
         run_order([Node("x", None, ("nowhere",))])
 
 
+def test_workflow_moves_no_texts_and_keeps_repeats(spark, monkeypatch):
+    """Null and repeated ords, a source listed after a longer chain, and no items at all."""
+    plans = []
+    monkeypatch.setattr("tallymill.plans.workflow.checkpointed", lambda df: plans.append(df._jdf.queryExecution().toString()) or checkpointed(df))
+    echo = lambda df: df.select("ord", F.lit("success").alias("status"), F.col("text").alias("final_output"))
+    nodes = [Node("a", echo), Node("b", echo, ("a",)), Node("c", echo, ("b", "a"))]
+    items = spark.createDataFrame([(2, "y"), (1, "x"), (1, "x"), (None, None)], "ord long, text string")
+    found = [r.final_output for r in run_workflow(nodes, items)["c"].orderBy("ord").collect()]
+    assert found == [None, "x", "x", "y"] * 2 and len(plans) == 3 and not any("Exchange" in p for p in plans)
+    assert list(run_workflow(nodes, items.limit(0))) == ["a"]
+
+
 def test_tiers(spark):
     tiers = [at.ModelTier("s", 1), at.ModelTier("m", 2), at.ModelTier("l", 1)]
     df = spark.range(1, 7).withColumnRenamed("id", "attempt")

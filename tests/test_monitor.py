@@ -84,6 +84,14 @@ def test_cache_hits_like_the_plain_fold(spark, ttl, fold_limit, options):
         assert got[key] == (len(times), len(stores_fold(set(times), ttl)))
 
 
+def test_cache_hits_need_no_join(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), (None, 20), ("a", 1), ("a", 1)], "k string, at long")
+    report = cache.hit_report(df, "k", "at", 5)
+    assert "Join" not in report._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.k: (r.requests, r.misses) for r in report.collect()} == {None: (3, 2), "a": (2, 1)}
+    assert cache.hit_report(df.limit(0), "k", "at", 5).count() == 0
+
+
 def test_stream_first_seen_equals_batch_and_forgets(spark, tmp_path):
     """A new key every second or so besides a busy one: state holds the keys of the last ttl, not all of them."""
     rng = random.Random(3)
