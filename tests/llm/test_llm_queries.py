@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -42,6 +43,46 @@ def test_main_text(spark):
     assert all(r["n_chars"] == len(r["text"]) > 0 and "<" not in r["text"].replace("<<", "") or r["text"].count("<") for r in rows)
 
 
+class Article(HTMLParser):
+    """The blocks of a page's article as the standard parser's events give them."""
+
+    BLOCKS = {"article", "h1", "h2", "h3", "p", "ul", "ol", "li", "div", "blockquote", "pre", "table", "tr", "td", "th", "section", "figure"}
+    APART = {"aside", "script", "style", "form", "nav", "footer", "header"}
+
+    def __init__(self, html):
+        super().__init__()
+        self.inside, self.apart, self.blocks, self.words = 0, 0, [], ""
+        self.feed(html)
+        self.flush()
+
+    def flush(self):
+        if joined := " ".join(self.words.split()):
+            self.blocks.append(joined)
+        self.words = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCKS | self.APART:
+            self.flush()
+        self.inside += tag == "article"
+        self.apart += tag in self.APART
+        self.words += " " * (tag == "br")
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS | self.APART:
+            self.flush()
+        self.inside -= tag == "article"
+        self.apart -= tag in self.APART
+
+    def handle_data(self, data):
+        self.words += data if self.inside and not self.apart else ""
+
+
+def test_main_text_equals_the_article_by_another_parser(spark):
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{DIRECTORY}/pages.parquet").collect()}
+    found = {r["page_id"]: r["text"] for r in QUERIES["op1_main_text"](spark, DIRECTORY).collect()}
+    assert found == {i: "\n".join(Article(html).blocks) for i, html in pages.items()}
+
+
 def test_simhash(spark, texts):
     prints = [(d, plain_fingerprint(t)) for d, t in texts]
     groups = plain_groups(prints, lambda a, b: (a ^ b).bit_count() <= 3)

@@ -1,7 +1,9 @@
 """Operators next to brute force on small tables, and the cases their docstrings define."""
 
 import base64
+import functools
 import hashlib
+import json
 import random
 import textwrap
 import zlib
@@ -129,6 +131,80 @@ def test_host_statistics_find_the_article_without_an_article_element():
     assert "text 3" in text and "more 3" in text and "Home" not in text and "rights" not in text
 
 
+def host_wrapper(pages):
+    """The wrapper of some pages as tasks and branches would make it, three pages a task."""
+    own = [html_wrappers.wrapper_of(html_wrappers.parse(p)) for p in pages]
+    tasks = [functools.reduce(html_wrappers.aligned, own[i:i + 3]) for i in range(0, len(own), 3)]
+    return json.loads(json.dumps(functools.reduce(html_wrappers.aligned, tasks)))
+
+
+@pytest.mark.parametrize("opening", ['<div class="content has-sidebar">', '<div class="layout no-banner">', '<main class="with-widgets widget-free">', '<div class="sidebar">'])
+def test_one_word_does_not_set_the_article_apart(opening):
+    """The last one is hinted to be apart, yet it holds the article element."""
+    html = f"<body>{opening}<article><h1>T</h1><p>text</p></article></div></main></body>"
+    assert html_wrappers.main_text(html, None) == "T\ntext"
+    assert html_wrappers.main_text(html, html_wrappers.region_of(host_wrapper([html] * 5))) == "T\ntext"
+
+
+def test_anchors_with_such_words_stay_and_parts_beside_go():
+    html = ("<article><h1>T</h1><h2 id=related-work>Related work</h2><p>a</p><section id=social-effects><p>b</p></section><h2 id=search>Search</h2>"
+            "<section id=notice-of-meeting>c</section><div class='social-share'>Share</div><div class=relatedPosts>More</div><ol id=user-comments><li>I say</ol></article>"
+            "<section class=comments><article>You say</article></section>")
+    assert html_wrappers.main_text(html, None) == "T\nRelated work\na\nb\nSearch\nc"
+
+
+@pytest.mark.parametrize("pages", [2, 3, 6, 40])
+def test_constants_go_at_their_own_place_whatever_the_number_of_pages(pages):
+    """Long notices go, equal headings and quotations and what stands between the texts stay."""
+    notice, words = "All rights are reserved and more. " * 20, "alpha beta gamma delta epsilon zeta eta theta".split()
+
+    def page(i):
+        body = " ".join(words[(i + k * k) % 8] for k in range(60))
+        return (f"<body><div id=content><div class=hello>Please log in first</div><div class=t><h2>Summary</h2><p>{body} {i}</p><blockquote>Shared words</blockquote>"
+                f"<p>Please log in first</p><p>{i} {body}</p></div><div class=legal>{notice}</div></div></body>"), f"Summary\n{body} {i}\nShared words\nPlease log in first\n{i} {body}"
+
+    region = html_wrappers.region_of(host_wrapper([page(i)[0] for i in range(pages)]))
+    assert all(html_wrappers.main_text(page(i)[0], region) == page(i)[1] for i in range(pages))
+
+
+def slugged_page(i):
+    """A page whose ids and classes are words of its own, and the text that it should give."""
+    rng = random.Random(i)
+
+    def word():
+        return "".join(rng.choice("abcdefghij") for _ in range(7))
+
+    blocks, text = [], []
+    for _ in range(rng.randrange(3, 12)):
+        kind = rng.choice(("h2", "p", "ul", "blockquote", "div"))
+        own = f"{word()} {word()} {rng.randrange(99)}"
+        blocks.append({"h2": f'<h2 id="how-to-{word()}">{own}</h2>', "p": f"<p>{own}</p>", "ul": f'<ul class="{word()}"><li>{own}<li>x</ul>',
+                       "blockquote": f"<blockquote>{own}</blockquote>", "div": f'<div id="{word()}" class="{word()} {word()}"><p>{own}</p></div>'}[kind])
+        text.extend([own, "x"] if kind == "ul" else [own])
+    lead = f"{word()} " * 60
+    return (f'<body class="{word()}"><div id="top"><a href=/>Home</a> Our site</div><div id="{word()}-title" class="story {word()}"><p>{lead}</p>{"".join(blocks)}</div>'
+            f'<div class="side-{word()} sidebar">Short notes {word()}</div></body>'), "\n".join([lead.strip(), *text])
+
+
+def test_wrappers_of_slugged_pages_do_not_grow_with_the_pages():
+    sizes = {n: len(json.dumps(host_wrapper([slugged_page(i)[0] for i in range(n)]))) for n in (50, 200, 800)}
+    assert sizes[800] < 1.5 * sizes[50] and sizes[800] < 40_000
+
+
+@pytest.mark.parametrize("pages", [1, 2, 3, 9, 30])
+def test_slugged_pages_are_read_alike_on_small_and_large_hosts(pages):
+    region = html_wrappers.region_of(host_wrapper([slugged_page(i)[0] for i in range(pages)]))
+    assert all(html_wrappers.main_text(slugged_page(i)[0], region) == slugged_page(i)[1] for i in range(pages))
+
+
+def test_extracted_texts_equal_the_generated_ones(spark):
+    rows = [(i, f"https://s{i % 2}.example/{i}", *slugged_page(i)) for i in range(240)]
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id bigint, url string, html string").repartition(7)
+    found = {r["page_id"]: r["text"] for r in html_wrappers.extract(pages).collect()}
+    wrong = [i for i, _, _, text in rows if found[i] != text]
+    assert not wrong, (len(wrong), rows[wrong[0]][2], found[wrong[0]], rows[wrong[0]][3])
+
+
 @pytest.mark.parametrize("html", ["", "   ", "plain words", "<", "<p", "<!-- open", "<script>open", "<div>" * 5000 + "deep", "</p></div>", '<a title="open>x', "<p>" * 3000])
 def test_broken_pages_do_not_crash(html):
     assert isinstance(html_wrappers.main_text(html, None), str)
