@@ -10,7 +10,7 @@ until they are unique or cover W bytes, the places 0 are merged in by (symbol, r
 rank), and neighbours in the order are compared on their W bytes.
 
 Equal contexts are one row with a count, so copies cost nothing. A family that is still too big for a shard
-is cut by the distance from window to anchor: each half has more bytes in common, by which it is dealt
+is cut by the distance from window to anchor: each part has more bytes in common, by which it is dealt
 again, down to single windows.
 """
 
@@ -30,6 +30,8 @@ from tallymill.plans.skew import lookup_join
 WINDOW, GRAM = 400, 128
 #: Bytes of contexts that one shard takes, and of a family that is not cut.
 SHARD_BYTES, FAMILY_BYTES = 1 << 20, 1 << 19
+#: Ranges of distances that such a family is cut in at once; a round of cutting costs the same number of jobs however many.
+PARTS = 4
 #: Bytes of text whose grams are hashed together; a longer text is cut with windows overlapping.
 CHUNK = 1 << 20
 _A, _B, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29)
@@ -160,9 +162,9 @@ def ranks(symbols: np.ndarray, cover: int) -> np.ndarray:
     sample = np.concatenate((one, two))
     names = _names(s[sample], s[sample + 1], s[sample + 2])
     if names.max() < len(sample) and cover > 3:
-        # A least symbol between the halves ends the suffixes of the first.
-        halves = ranks(np.concatenate((names[:len(one)] + 1, [1], names[len(one):] + 1)), -(-cover // 3) + 1)
-        names = np.concatenate((halves[:len(one)], halves[len(one) + 1:]))
+        # A least symbol between the parts ends the suffixes of the first.
+        parts = ranks(np.concatenate((names[:len(one)] + 1, [1], names[len(one):] + 1)), -(-cover // 3) + 1)
+        names = np.concatenate((parts[:len(one)], parts[len(one) + 1:]))
     rank = np.zeros(n + 3, np.int64)
     rank[sample] = names
     zero = np.arange(0, n, 3)
@@ -228,24 +230,25 @@ def _distinct(rows: DataFrame) -> DataFrame:
     return rows.groupBy("c1", "c2").agg(*[F.any_value(c).alias(c) for c in ("family", "near", "far", "least", "most", "context")], F.sum("n").alias("n"))
 
 
-def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts cut at the middle of their family's distances; a half's family is what all its windows have in common."""
+def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts cut by their family's distances in PARTS equal ranges; a part's family is what all its windows have in common."""
     for batch in batches:
         out = []
         for row in batch.to_pylist():
-            middle, far, context = (row["least"] + row["most"]) // 2, row["far"], row["context"]
-            for least, most in ((row["least"], middle), (middle + 1, row["most"])):
+            far, context = row["far"], row["context"]
+            cuts = [row["least"] + (row["most"] + 1 - row["least"]) * i // PARTS for i in range(PARTS + 1)]
+            for least, most in zip(cuts, (c - 1 for c in cuts[1:])):
                 lo, hi = max(row["near"], least), min(far, most)
                 if lo > hi:
                     continue
                 common = hashlib.blake2b(context[far - least:far + WINDOW - most], digest_size=8, key=b"%d %d %d" % (row["family"], least, most))
                 out.append({"p1": row["c1"], "p2": row["c2"], "shift": far - hi, "family": int.from_bytes(common.digest(), "little", signed=True),
                             "near": lo, "far": hi, "least": least, "most": most, "context": context[far - hi:far - lo + WINDOW], "n": row["n"]})
-        yield pa.RecordBatch.from_pylist(out, _HALF)
+        yield pa.RecordBatch.from_pylist(out, _PART)
 
 
-_HALF = pa.schema([(c, pa.int64()) for c in ("p1", "p2", "shift", "family", "near", "far", "least", "most")] + [("context", pa.binary()), ("n", pa.int64())])
-_HALF_TYPE = ", ".join(f"{f.name} {'binary' if f.name == 'context' else 'bigint'}" for f in _HALF)
+_PART = pa.schema([(c, pa.int64()) for c in ("p1", "p2", "shift", "family", "near", "far", "least", "most")] + [("context", pa.binary()), ("n", pa.int64())])
+_PART_TYPE = ", ".join(f"{f.name} {'binary' if f.name == 'context' else 'bigint'}" for f in _PART)
 
 
 def _runs(flags: np.ndarray) -> np.ndarray:
@@ -307,9 +310,9 @@ def _repeated(contexts: DataFrame) -> DataFrame:
     found = dealt.groupBy("shard").applyInArrow(_shard_spans, _SPANS)
     if not families.filter(hot).isEmpty():
         columns = ["c1", "c2", "family", "near", "far", "least", "most", "context", "n"]
-        halves = stored(_named(rows.filter(hot).select(*columns).mapInArrow(_halved, _HALF_TYPE)), "halves")
-        inner = _repeated(stored(_distinct(halves), "half-contexts"))
-        links = lookup_join(halves.select("p1", "p2", "shift", "c1", "c2"), inner, ["c1", "c2"], "inner")
+        parts = stored(_named(rows.filter(hot).select(*columns).mapInArrow(_parted, _PART_TYPE)), "parts")
+        inner = _repeated(stored(_distinct(parts), "part-contexts"))
+        links = lookup_join(parts.select("p1", "p2", "shift", "c1", "c2"), inner, ["c1", "c2"], "inner")
         found = found.unionByName(_moved(links, ["p1", "p2"], "shift").withColumnsRenamed({"p1": "c1", "p2": "c2"}))
     return stored(_moved(whole.unionByName(found).withColumn("zero", F.lit(0).cast("bigint")), ["c1", "c2"], "zero"), "repeated-windows")
 
