@@ -8,9 +8,8 @@ some language knows. A text's language is the one with the best mean over its wo
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +28,19 @@ MODEL_GRAMS = 120_000
 LONGEST_GRAM = 5
 #: Log10 frequency of what a language has never seen.
 UNSEEN = -7.0
-REMEMBERED = 200_000
+#: Values of unseen words' scores a worker keeps before it starts anew; steers cost only.
+REMEMBERED = 2_000_000
+TEXTS_AT_ONCE = 64
+#: Shares into which the tokens of a language are dealt to find the most frequent; steers cost only.
+SALTS = 32
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _LETTERS = regex.compile(r"\p{L}+")
 
 
-def _words(text: str) -> Counter:
-    """The words of a text in lower case, with their counts: runs of letters. Signs such as a half or a squared
-    are numbers, not letters, though patterns count them as word characters."""
-    counts = Counter(_WORD.findall(text.lower()))
+def _letters_only(counts: Counter) -> Counter:
+    """The same counts with all but letters cut out of the words. Signs such as a half or a squared are numbers, not
+    letters, though patterns count them as word characters."""
     for mixed in [w for w in counts if not w.isalpha()]:
         n = counts.pop(mixed)
         for word in _LETTERS.findall(mixed):
@@ -46,74 +48,121 @@ def _words(text: str) -> Counter:
     return counts
 
 
-@dataclass
+def _words(text: str) -> Counter:
+    """The words of a text in lower case, with their counts: runs of letters."""
+    return _letters_only(Counter(_WORD.findall(text.lower())))
+
+
+def _shares(scores: np.ndarray) -> np.ndarray:
+    shares = 10.0 ** (scores - scores.max(axis=1, keepdims=True, initial=UNSEEN))  # no language, no scores
+    return shares / shares.sum(axis=1, keepdims=True)
+
+
 class Model:
-    """Log10 frequencies, one row per entry and one column per language."""
-
-    languages: list[str]
-    words: dict[str, int]
-    grams: dict[str, int]
-    table: np.ndarray
-    _memory: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def unseen(self, word: str) -> np.ndarray:
-        """Scores of a word no language knows: the longest n-grams that one knows, on average."""
-        score = self._memory.get(word)
-        if score is None:
-            padded = f" {word} "
-            score = np.full(len(self.languages), UNSEEN)
+    """Log10 frequencies, one row per entry and one column per language.
+
+    Every word met gets a line of scores and of shares (how much it speaks for each language) once; texts add up lines.
+    """
+
+    def __init__(self, languages: list[str], words: dict[str, int], grams: dict[str, int], table: np.ndarray):
+        self.languages, self.words, self.grams, self.table = languages, words, grams, table
+        self._forget()
+
+    def _forget(self) -> None:
+        """Lines of the known words alone."""
+        self._line = {word: line for line, word in enumerate(self.words)}
+        self._scores = self.table[np.array(list(self.words.values()), np.int64)].astype(np.float64)
+        self._shares = _shares(self._scores)
+
+    def __getstate__(self) -> tuple:
+        return self.languages, self.words, self.grams, self.table
+
+    def __setstate__(self, state: tuple) -> None:
+        self.__init__(*state)
+
+    def _unseen(self, words: list[str]) -> np.ndarray:
+        """Scores of words no language knows: the longest n-grams that one knows, on average."""
+        row_of = self.grams.get
+        rows, sizes = [], []
+        for word in words:
+            padded, found = f" {word} ", []
             for size in range(min(LONGEST_GRAM, len(padded)), 0, -1):
-                rows = [self.grams[g] for g in (padded[i:i + size] for i in range(len(padded) - size + 1)) if g in self.grams]
-                if rows:
-                    score = self.table[rows].mean(axis=0)
+                found = [r for r in map(row_of, [padded[i:i + size] for i in range(len(padded) - size + 1)]) if r is not None]
+                if found:
                     break
-            if len(self._memory) >= REMEMBERED:
-                self._memory.clear()
-            self._memory[word] = score
-        return score
+            rows += found
+            sizes.append(len(found))
+        counts = np.array(sizes)
+        scores = np.full((len(words), len(self.languages)), UNSEEN)
+        if rows:
+            starts = (np.cumsum(counts) - counts)[counts > 0]
+            scores[counts > 0] = np.add.reduceat(self.table[rows].astype(np.float64), starts, axis=0) / counts[counts > 0, None]
+        return scores
+
+    def _meet(self, words: list[str]) -> None:
+        begin, size = len(self._line), len(self._line) + len(words)
+        if size > len(self._scores):
+            grown = max(size, 2 * len(self._scores)) - begin
+            self._scores, self._shares = (np.concatenate((t[:begin], np.empty((grown, t.shape[1])))) for t in (self._scores, self._shares))
+        self._scores[begin:size] = self._unseen(words)
+        self._shares[begin:size] = _shares(self._scores[begin:size])
+        self._line.update(zip(words, range(begin, size)))
 
     def predict(self, text: str) -> tuple[str, float]:
         """Language and a score of 0 to 1: how much of the text's words speak for it."""
-        counts = _words(text)
-        if not counts or not self.languages:
-            return UNKNOWN, 0.0
-        known, weights, others, other_weights = [], [], [], []
-        for word, n in counts.items():
-            row = self.words.get(word)
-            if row is None:
-                others.append(self.unseen(word))
-                other_weights.append(n)
-            else:
-                known.append(row)
-                weights.append(n)
-        scores = np.concatenate((self.table[known].reshape(-1, len(self.languages)), np.array(others).reshape(-1, len(self.languages))))
-        weight = np.array(weights + other_weights, np.float64)
-        best = int(np.argmax(weight @ scores))
-        shares = 10.0 ** (scores - scores.max(axis=1, keepdims=True))
-        share = float(weight @ (shares[:, best] / shares.sum(axis=1)) / weight.sum())
-        return self.languages[best], min(1.0, share)
+        return self.predict_all([text])[0]
+
+    def predict_all(self, texts: list[str]) -> list[tuple[str, float]]:
+        """``predict`` for every text; words new to the model are scored together."""
+        counted = [_words(text) for text in texts]
+        if not self.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        if (len(self._line) - len(self.words)) * len(self.languages) > REMEMBERED:
+            self._forget()
+        self._meet(list(set().union(*counted).difference(self._line)))
+        found = []
+        for counts in counted:
+            if not counts:
+                found.append((UNKNOWN, 0.0))
+                continue
+            lines = list(map(self._line.__getitem__, counts))
+            weight = np.fromiter(counts.values(), np.float64, len(counts))
+            best = int(np.argmax(weight @ self._scores[lines]))
+            found.append((self.languages[best], min(1.0, float(weight @ self._shares[lines, best] / weight.sum()))))
+        return found
+
+
+def _lang_table(counts: dict[str, Counter]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lang for lang, own in counts.items() for _ in own], pa.string()), pa.array([w for own in counts.values() for w in own], pa.string()),
+                                       pa.array([n for own in counts.values() for n in own.values()], pa.int64())], ["lang", "token", "n"])
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts: Counter = Counter()
+        counts: dict[str, Counter] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), strings(batch.column("text"))):
-            for word, n in _words(text).items():
-                counts[lang, word] += n
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()),
-                                          pa.array(list(counts.values()), pa.int64())], ["lang", "token", "n"])
+            counts.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
+        yield _lang_table({lang: _letters_only(own) for lang, own in counts.items()})
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts: Counter = Counter()
+        alike: dict[tuple, list] = {}  # most words are rare: equal counts are multiplied once per n-gram
         for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "token", "n"))):
-            padded = f" {word} "
-            for size in range(1, LONGEST_GRAM + 1):
-                for i in range(len(padded) - size + 1):
-                    counts[lang, padded[i:i + size]] += n
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()),
-                                          pa.array(list(counts.values()), pa.int64())], ["lang", "token", "n"])
+            alike.setdefault((lang, n), []).append(f" {word} ")
+        counts: dict[str, defaultdict] = {}
+        for (lang, n), words in alike.items():
+            own = counts.setdefault(lang, defaultdict(int))
+            for gram, k in Counter([w[i:i + size] for w in words for size in range(1, LONGEST_GRAM + 1) for i in range(len(w) - size + 1)]).items():
+                own[gram] += n * k
+        yield _lang_table(counts)
+
+
+def _most_frequent(counts: DataFrame, by: list[str], k: int) -> DataFrame:
+    """The ``k`` most frequent tokens of every key, in two levels: a language may hold most of all tokens."""
+    order = [F.desc("n"), F.asc("token")]
+    shares = first_rows(counts.withColumn("salt", F.pmod(F.xxhash64("token"), F.lit(SALTS))), [*by, "salt"], order, k)
+    return first_rows(shares, by, order, k).drop("salt")
 
 
 def held_out(doc_id) -> F.Column:
@@ -135,8 +184,8 @@ def learn(labelled: DataFrame) -> Model:
     grams = stored(words.mapInArrow(_gram_counts, "lang string, token string, n bigint").withColumn("size", F.length("token"))
                    .groupBy("lang", "size", "token").agg(F.sum("n").alias("n")), "grams")
     per_word, per_gram = MODEL_WORDS // len(languages), MODEL_GRAMS // (len(languages) * LONGEST_GRAM)
-    common = first_rows(words, ["lang"], [F.desc("n"), F.asc("token")], per_word)
-    parts = first_rows(grams, ["lang", "size"], [F.desc("n"), F.asc("token")], per_gram)
+    common = _most_frequent(words, ["lang"], per_word)
+    parts = _most_frequent(grams, ["lang", "size"], per_gram)
     word_total = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     gram_total = {(r["lang"], r["size"]): r["n"] for r in grams.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
     column = {lang: i for i, lang in enumerate(languages)}
@@ -163,7 +212,9 @@ def predictions(texts: DataFrame, model: Model, text: str = "text", name: str =
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.Array) -> pa.Array:
-        found = [shared.value.predict(t) for t in strings(batch)]
+        found = []
+        for at in range(0, len(batch), TEXTS_AT_ONCE):
+            found += shared.value.predict_all(strings(batch.slice(at, TEXTS_AT_ONCE)))
         return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang", "score"])
 
     return texts.withColumn(name, text_udf(run, "struct<lang:string,score:double>")(F.col(text)))
