@@ -7,15 +7,16 @@ largest piece that fits and is still free, ties go by rank, gaps shrink, and the
 gap takes anything more, new sequences are opened for what is left.
 
 There are at most ``capacity`` lengths and as many gap sizes, so a round's sweep is a walk over that many
-counters, whatever the number of documents, and runs where the counters are; it yields intervals of ranks.
-All rows find their sequence in their own tasks by looking their rank up in these intervals.
+counters, whatever the number of documents, and runs where the counters are; it yields at most two intervals
+of ranks per counter (``best_fit_rounds`` has the bound). All rows find their sequence in their own tasks: their
+rank names the interval, and with it the round and the gap, which the rounds lead back to its sequence.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import insort
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,57 +30,79 @@ CAPACITY = 4096
 END = 1
 
 
-def best_fit_rounds(lengths: dict[int, int], capacity: int) -> np.ndarray:
-    """Rows (length, rank, step, sequence, n, offset): of the pieces of a length, those with ranks from
-    ``rank`` on, n * step of them, go to n sequences from ``sequence`` on, step to each, the first at offset."""
+@dataclass
+class Plan:
+    """Where the pieces go. ``moves`` has rows (length, rank, step, round, first, n, offset): of the pieces of a length
+    those with ranks from ``rank`` on, n * step of them, go to the n gaps of a round from ``first`` on, step to each,
+    the first at offset. The gaps of a round are numbered anew, those of one room next to each other. ``rounds`` has
+    per round how its gaps' numbers lead back: (starts, numbers in the round before), or, where sequences were
+    opened, the first sequence."""
+
+    moves: np.ndarray
+    rounds: list[tuple[np.ndarray, np.ndarray] | int]
+
+    def sequences(self, rounds: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+        """The sequence that each gap of a round is the rest of."""
+        gaps, rounds = gaps.copy(), rounds.copy()
+        for number in range(int(rounds.max(initial=-1)), -1, -1):
+            at, back = np.flatnonzero(rounds == number), self.rounds[number]
+            if isinstance(back, int):
+                gaps[at] += back
+                rounds[at] = -1
+            else:
+                run = np.searchsorted(back[0], gaps[at], side="right") - 1
+                gaps[at] += back[1][run] - back[0][run]
+                rounds[at] = number - 1
+        return gaps
+
+
+def best_fit_rounds(lengths: dict[int, int], capacity: int) -> Plan:
+    """The plan for ``lengths`` (pieces per length).
+
+    A round has one row of gaps per room. A move uses up a length or a row of gaps, so a round makes at most
+    2 * capacity moves, whatever the number of documents. While sequences stay open, every round gives each gap
+    that goes on a piece: at most capacity / shortest length rounds. What is left then fits none of these
+    sequences, so they are more than half full: had the shortest piece left more than half the capacity, all of
+    them would have begun with one as long. Each time sequences are opened, the tokens left are thus at most halved.
+    """
     left = dict(sorted((s, n) for s, n in lengths.items() if n))
     taken = dict.fromkeys(left, 0)
-    made, opened = [], 0
-
-    def give(size: int, count: int, gap: tuple[int, int], room: int, step: int) -> None:
-        made.append((size, taken[size], step, gap[0], count, capacity - room))
-        taken[size] += count * step
-        left[size] -= count * step
-
-    while True:
-        total = sum(s * n for s, n in left.items())
-        if not total:
-            break
+    moves, rounds, opened = [], [], 0
+    while total := sum(s * n for s, n in left.items()):
         fresh = -(-total // capacity)
-        gaps = {capacity: [(opened, fresh)]}
+        rounds.append(opened)
+        gaps = {capacity: (0, fresh)}
         opened += fresh
         while gaps:
-            sizes = [s for s, n in left.items() if n]
-            events = sorted({*sizes, *gaps})
             stack, shrunk = [], {}
-            for size in events:
+            for size in sorted({*(s for s, n in left.items() if n), *gaps}):
                 if left.get(size):
                     stack.append(size)
-                for first, n in gaps.get(size, ()):
-                    while n and stack:
-                        top = stack[-1]
-                        free = left[top]
-                        step = min(size // top, free // n) if free >= 2 * n else 1
-                        count = n if free >= n else free
-                        give(top, count, (first, n), size, step)
-                        rest = size - top * step
-                        if rest:
-                            insort(shrunk.setdefault(rest, []), (first, count))
-                        first, n = first + count, n - count
-                        if not left[top]:
-                            stack.pop()
-            gaps = {room: _merged(runs) for room, runs in shrunk.items()}
-    return np.array(made, np.int64).reshape(-1, 6)
-
-
-def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out = [runs[0]]
-    for first, n in runs[1:]:
-        if out[-1][0] + out[-1][1] == first:
-            out[-1] = (out[-1][0], out[-1][1] + n)
-        else:
-            out.append((first, n))
-    return out
+                first, n = gaps.get(size, (0, 0))
+                while n and stack:
+                    top = stack[-1]
+                    free = left[top]
+                    step = min(size // top, free // n) if free >= 2 * n else 1
+                    count = min(n, free)
+                    moves.append((top, taken[top], step, len(rounds) - 1, first, count, capacity - size))
+                    taken[top] += count * step
+                    left[top] -= count * step
+                    if size > top * step:
+                        shrunk.setdefault(size - top * step, []).append((first, count))
+                    first, n = first + count, n - count
+                    if not left[top]:
+                        stack.pop()
+            gaps, starts, before, number = {}, [], [], 0
+            for room, runs in sorted(shrunk.items()):
+                gaps[room] = (number, sum(n for _, n in runs))
+                for first, n in runs:
+                    starts.append(number)
+                    before.append(first)
+                    number += n
+            if gaps:
+                rounds.append((np.array(starts, np.int64), np.array(before, np.int64)))
+    table = np.array(moves, np.int64).reshape(-1, 7)
+    return Plan(table[np.lexsort((table[:, 1], table[:, 0]))], rounds)
 
 
 def _pieces(path: str, capacity: int, keep_ids: bool):
@@ -107,16 +130,16 @@ def _pieces(path: str, capacity: int, keep_ids: bool):
 
 def _placed(plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = plan.value
+        table = plan.value.moves
         starts = table[:, 0] << 48 | table[:, 1]
         for batch in batches:
             length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             row = table[np.searchsorted(starts, length << 48 | rank, side="right") - 1]
             within = rank - row[:, 1]
             columns = {name: batch.column(name) for name in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-            yield pa.RecordBatch.from_arrays(
-                [*columns.values(), pa.array(row[:, 3] + within // row[:, 2]), pa.array(row[:, 5] + within % row[:, 2] * length)],
-                [*columns, "sequence_id", "offset"])
+            sequence = plan.value.sequences(row[:, 3], row[:, 4] + within // row[:, 2])
+            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(sequence), pa.array(row[:, 6] + within % row[:, 2] * length)],
+                                             [*columns, "sequence_id", "offset"])
     return run
 
 
@@ -141,8 +164,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bo
     counts = cut.groupBy("length", "bucket").count()
     before = stored(counts.withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("bucket")) - F.col("count")), "ranks")
     lengths = {r["length"]: r["n"] for r in before.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-    plan = best_fit_rounds(lengths, capacity)
-    shared = spark.sparkContext.broadcast(plan[np.lexsort((plan[:, 1], plan[:, 0]))])
+    shared = spark.sparkContext.broadcast(best_fit_rounds(lengths, capacity))
     within = F.row_number().over(Window.partitionBy("bucket", "length").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = (cut.withColumn("within", within).join(before.select("length", "bucket", "before"), ["bucket", "length"])
               .withColumn("rank", (F.col("within") + F.col("before")).cast("bigint")))

@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tallymill.llm import quality, simhash
@@ -119,8 +120,15 @@ def test_byte_bpe(spark, texts):
 
 def test_packing(spark, texts):
     rows = QUERIES["op4_best_fit_packing"](spark, DIRECTORY).collect()
-    assert {r["doc_id"] for r in rows} == {d for d, _ in texts}
     check_packing(rows, 4096)
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    expected = set()
+    for doc, text in texts:
+        ids = library.encode(text or "", add_special_tokens=False).ids + [1]
+        for piece, start in enumerate(range(0, len(ids), 4096)):
+            cut = ids[start:start + 4096]
+            expected.add((doc, piece, start, len(cut), zlib.crc32(np.array(cut, "<u4").tobytes())))
+    assert {tuple(r[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")) for r in rows} == expected and len(rows) == len(expected)
 
 
 # --- pipeline -----------------------------------------------------------------------------------

@@ -1,6 +1,7 @@
 """Operators next to brute force on small tables, and the cases their docstrings define."""
 
 import base64
+import bisect
 import functools
 import hashlib
 import json
@@ -339,15 +340,39 @@ def test_packing_of_odd_texts(odd):
     assert packing.pack(odd.limit(0), WORDS).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(6))
+def plain_best_fit(lengths, capacity):
+    """How many sequences best fit opens when it takes the pieces one by one, the longest first."""
+    rooms, opened = [], 0
+    for size in sorted(lengths.elements(), reverse=True):
+        at = bisect.bisect_left(rooms, size)
+        room = rooms.pop(at) if at < len(rooms) else capacity
+        opened += room == capacity
+        bisect.insort(rooms, room - size)
+    return opened
+
+
+@pytest.mark.parametrize("seed", range(12))
 def test_rounds_place_every_rank_once(seed):
     rng = random.Random(seed)
     lengths = Counter(rng.choice([rng.randint(1, 64), rng.randint(1, 9), 1]) for _ in range(rng.choice([1, 50, 3000])))
+    plan = packing.best_fit_rounds(lengths, 64)
     rows = []
-    for size, rank, step, sequence, n, offset in packing.best_fit_rounds(lengths, 64).tolist():
-        rows += [{"size": size, "rank": rank + i, "length": size, "sequence_id": sequence + i // step, "offset": offset + i % step * size} for i in range(n * step)]
-    check_packing(rows, 64)
+    for size, rank, step, number, first, n, offset in plan.moves.tolist():
+        sequences = plan.sequences(np.full(n, number), np.arange(first, first + n))
+        rows += [{"size": size, "rank": rank + i, "length": size, "sequence_id": int(sequences[i // step]), "offset": offset + i % step * size} for i in range(n * step)]
+    used = check_packing(rows, 64)
     assert Counter((r["size"], r["rank"]) for r in rows) == Counter((s, i) for s, n in lengths.items() for i in range(n))
+    assert used <= 1.02 * plain_best_fit(lengths, 64) + 1
+
+
+def test_the_plan_does_not_grow_with_the_pieces():
+    rng = random.Random(7)
+    few = Counter(min(4096, int(rng.lognormvariate(6, 1.2)) + 1) for _ in range(20_000))
+    for times in (1, 1000):
+        plan = packing.best_fit_rounds({s: n * times + n % 3 for s, n in few.items()}, 4096)
+        per_round = Counter(plan.moves[:, 3].tolist())
+        assert max(per_round.values()) <= 2 * 4096 and len(plan.rounds) <= 60 and len(plan.moves) <= 40_000
+    assert len(packing.best_fit_rounds({}, 4096).moves) == 0
 
 
 # --- SimHash ------------------------------------------------------------------------------------
