@@ -583,13 +583,15 @@ def plain_scan(rows):
         lines = (text or "").split("\n") if text is not None else []
         units = ([(0, text)] if len(lines) > 1 else []) + list(enumerate(lines, 1))
         for number, unit in units:
-            own = set(licenses.bigrams(unit))
+            own, hits = set(licenses.bigrams(unit)), []
             for name, texts in licenses.TEMPLATES.items():
                 for template in texts:
                     wanted = set(licenses.bigrams(template))
                     dice = 2 * len(own & wanted) / max(1, len(own) + len(wanted))
                     if own and dice >= 0.8:
-                        out.setdefault(doc, []).append((-dice, number, name))
+                        hits.append((-dice, number, name))
+            out.setdefault(doc, []).extend(h for h in hits if h[0] == min(hits)[0])
+    out = {doc: hits for doc, hits in out.items() if hits}
     return {d: (min(h)[2], -min(h)[0], min(h)[1], ",".join(sorted({x[2] for x in h}))) for d, h in out.items()}
 
 
@@ -618,15 +620,21 @@ def test_licences_over_several_lines_equal_all_runs(spark):
     names = {"MIT": [mit, "Released under the MIT License."], "Apache-2.0": [apache]}
     expected = {}
     for doc, text in rows:
-        lines = (text or "").split("\n")
+        lines, units = (text or "").split("\n"), {}
         for i, j in ((i, j) for i in range(len(lines)) for j in range(i + 1, len(lines) + 1)):
             own = set(licenses.bigrams(" ".join(lines[i:j])))
             whole, held = (i, j) == (0, len(lines)) and len(lines) > 1, lines[i].strip(" */") and lines[j - 1].strip(" */")
+            rest = " ".join(lines[i + 1:j])
+            begun = set(licenses.bigrams(" ".join([lines[i], *licenses.normal_words(rest)[:1]])))
             for name, texts in names.items():
                 for wanted in map(set, map(licenses.bigrams, texts)):
                     dice = 2 * len(own & wanted) / (len(own) + len(wanted))
-                    if dice >= 0.8 and (whole or held):
-                        expected.setdefault(doc, []).append((-dice, 0 if whole else i + 1, name))
+                    if dice >= 0.8 and whole:
+                        units.setdefault("whole", []).append((-dice, 0, name))
+                    if dice >= 0.8 and held and (j == i + 1 or begun & wanted):
+                        units.setdefault((i, j == i + 1), []).append((-dice, i + 1, name))
+        for hits in units.values():
+            expected.setdefault(doc, []).extend(h for h in hits if h[0] == min(hits)[0])
     found = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), names).collect()
     wanted = {d: (min(h)[2], -min(h)[0], min(h)[1], ",".join(sorted({x[2] for x in h}))) for d, h in expected.items()}
     assert {r["doc_id"]: (r["license"], r["dice"], r["line_no"], r["licenses"]) for r in found if r["license"]} == wanted
@@ -641,6 +649,18 @@ def test_size_bounds_never_cut_a_match():
                 assert 2 * min(size, other) / (size + other) < 0.8
 
 
+def test_usual_notices_name_their_licence(spark):
+    """The usual wordings, also some that are no template, give their licence and none of its relatives."""
+    said = {"Licensed under the MIT License.": "MIT", "This project is licensed under the MIT License": "MIT", "Released under the Apache License 2.0.": "Apache-2.0",
+            "Licensed under the GNU General Public License v3.0": "GPL-3.0", "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+            "SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause", "// SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0", "# SPDX-License-Identifier: MIT": "MIT",
+            "This project is licensed under the GNU Lesser General Public License v2.1.": "LGPL-2.1", "Released under the GNU Affero General Public License, version 3": "AGPL-3.0",
+            "Code licensed under CC0 1.0": "CC0-1.0", "the project is licensed under the terms of a lease": None, "a licence to drive": None}
+    rows = [(i, f"some words before\n\n{text}\n\nand some words after") for i, text in enumerate(said)]
+    found = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found == {i: name or "" for i, name in enumerate(said.values())}
+
+
 def test_licence_scan_computes_each_step_once(documents):
     """The texts are cut into words once per row for the candidates, not once per use of the words."""
     rows = licenses._templates(licenses.TEMPLATES, licenses.THRESHOLD)
