@@ -13,13 +13,18 @@ from collections.abc import Iterator
 from decimal import Decimal
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallymill.operators.telemetry import TERMINAL
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Shards to which the keys of a budget fuse are dealt, and calls that wait in one entry of the state.
+FUSE_SHARDS, CALLS_AT_ONCE = 256, 10_000
 
 
 def _stepped(stream: DataFrame, by: list[str], step: StatefulProcessor, schema: T.StructType, mode: str) -> DataFrame:
@@ -169,64 +174,95 @@ def first_seen(stream: DataFrame, by: list[str], ts: str, ttl_us: int, *, delay:
 
 
 class _Fuse(StatefulProcessor):
-    """Calls that the watermark has not passed, and the cost of those it has."""
+    """Calls that the watermark has not passed, and the cost of those it has, for the keys of one shard.
 
-    def __init__(self, schema: T.StructType, key: list[str], order: list[str], ts: str, cost: str, budget: Decimal):
-        self._columns, self._key = [f.name for f in schema.fields], key
-        self._order, self._ts, self._cost, self._budget = order, ts, cost, budget
-        self._waiting_type = T.StructType([f for f in schema.fields if f.name not in key])
+    Calls wait as Arrow tables of many rows: a call handed to the state store on its own costs more than all the rest.
+    """
+
+    def __init__(self, schema: T.StructType, key: str, order: list[str], ts: str, cost: str, budget: Decimal, more: list[str]):
+        self._key, self._order, self._ts, self._cost, self._budget, self._more = key, order, ts, cost, budget, more
+        clock = T.TimestampType, T.TimestampNTZType
+        # The clock stays as pandas has it, without a zone.
+        self._schema = pa.schema([(f.name, pa.timestamp("us") if isinstance(f.dataType, clock) else to_arrow_type(f.dataType)) for f in schema.fields])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._waiting = handle.getListState("waiting", self._waiting_type)
-        self._total = handle.getValueState("total", "total decimal(38,12), calls bigint")
+        self._waiting = handle.getListState("waiting", "calls binary")
+        self._total = handle.getMapState("total", "key string", "total decimal(38,12), calls bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _in_order(rows, self._order)
-        if not len(batch):
-            return
-        self._waiting.appendList(list(batch[self._waiting_type.fieldNames()].itertuples(index=False, name=None)))
-        self._wake(batch)
+        oldest = []
+        for batch in rows:
+            if len(batch):
+                calls = pa.Table.from_pandas(batch[self._schema.names], self._schema, preserve_index=False)
+                self._waiting.appendList(self._packed(calls))
+                oldest.append(_micros(batch[self._ts]).min())
+        if oldest:
+            self._wake(min(oldest))
         yield from ()
 
-    def _wake(self, waiting: pd.DataFrame) -> None:
+    def _wake(self, oldest: int) -> None:
         """A timer for the oldest waiting call; its release sets the next."""
-        self._handle.registerTimer(int(_micros(waiting[self._ts]).min() // 1000) + 1)
+        self._handle.registerTimer(int(oldest // 1000) + 1)
+
+    @staticmethod
+    def _packed(calls: pa.Table) -> list[tuple]:
+        packed = []
+        for at in range(0, len(calls), CALLS_AT_ONCE):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, calls.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+                writer.write_table(calls.slice(at, CALLS_AT_ONCE))
+            packed.append((sink.getvalue().to_pybytes(),))
+        return packed
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self._waiting.exists():
             return
-        names = self._waiting_type.fieldNames()
-        waiting = pd.DataFrame(list(self._waiting.get()), columns=names)
-        passed = _micros(waiting[self._ts]) // 1000 < timerValues.getCurrentWatermarkInMs()
+        waiting = pa.concat_tables([pa.ipc.open_stream(calls).read_all() for calls, in self._waiting.get()])
+        at = _micros(waiting.column(self._ts).to_pandas())
+        passed = (at // 1000 < timerValues.getCurrentWatermarkInMs()).to_numpy()
         if not passed.any():
             return
-        ready = waiting[passed].sort_values(self._order, kind="stable", ignore_index=True)
-        rest = waiting[~passed]
+        ready, rest = waiting.filter(pa.array(passed)), waiting.filter(pa.array(~passed))
         if len(rest):
-            self._waiting.put(list(rest.itertuples(index=False, name=None)))
-            self._wake(rest)
+            self._waiting.put(self._packed(rest))
+            self._wake(at[~passed].min())
         else:
             self._waiting.clear()
-        total, calls = self._total.get() if self._total.exists() else (Decimal(0), 0)
-        sums, fuse = [], []
-        for cost in ready[self._cost]:
+        ready = ready.sort_by([(c, "ascending") for c in (self._key, *self._order)])
+        sums, fuse, last, total, calls = [], [], None, Decimal(0), 0
+        for name, cost in zip(ready.column(self._key).to_pylist(), ready.column(self._cost).to_pylist()):
+            if name != last:
+                if last is not None:
+                    self._total.updateValue((last,), (total, calls))
+                total, calls = self._total.getValue((name,)) or (Decimal(0), 0)
+                last = name
             before, calls = total, calls + 1
-            total += Decimal(0) if cost is None or pd.isna(cost) else cost
+            total += Decimal(0) if cost is None else cost
             sums.append(total)
             fuse.append("before" if total < self._budget else "trip" if before < self._budget or calls == 1 else "after")
-        self._total.update((total, calls))
-        for name, value in zip(self._key, key):
-            ready[name] = value
-        yield ready[self._columns].assign(cumulative_cost=sums, fuse=fuse)
+        self._total.updateValue((last,), (total, calls))
+        yield ready.drop_columns([self._key]).to_pandas().assign(**dict(zip(self._more, (sums, fuse))))
 
 
-def budget_fuse(stream: DataFrame, by: list[str], order: list[str], ts: str, budget: Decimal, *, cost: str = "cost", delay: str = "1 hour") -> DataFrame:
+def budget_fuse(stream: DataFrame, by: list[str], order: list[str], ts: str, budget: Decimal, *, cost: str = "cost", delay: str = "1 hour",
+                shards: int = FUSE_SHARDS) -> DataFrame:
     """Cumulative cost of every call and whether it came before the fuse, tripped it or came after, in order of
     ``order`` (which begins with ``ts``) although calls arrive out of order by up to ``delay``. A call comes out once
     the watermark has passed it; later ones are late and dropped. State: one total per key, and the calls of the
-    last ``delay``."""
+    last ``delay``.
+
+    Keys are dealt to ``shards``, each of which takes its calls of a batch at once; a started stream keeps their number.
+    """
     timed = stream.withWatermark(ts, delay)
+    schema, name, shard = timed.schema, "fuse_key", "fuse_shard"
+    whole = [f.name for f in schema.fields if isinstance(f.dataType, T.IntegralType)]
+    key = F.to_json(F.struct(*[F.col(c) for c in by]), {"ignoreNullFields": "false"})
+    # pandas would turn whole numbers beside nulls into doubles.
+    exact = timed.withColumns({name: key, shard: F.pmod(F.xxhash64(*by), F.lit(shards))}).withColumns({c: F.col(c).cast("decimal(20,0)") for c in whole})
+    held = exact.drop(shard).schema
     more = T.StructField("cumulative_cost", T.DecimalType(38, 12)), T.StructField("fuse", T.StringType())
-    step = _Fuse(timed.schema, by, order, ts, cost, Decimal(budget))
-    return _stepped(timed, by, step, _with(timed.schema, *more), "EventTime")
+    step = _Fuse(held, name, order, ts, cost, Decimal(budget), [f.name for f in more])
+    out = T.StructType([f for f in held.fields if f.name != name])
+    fused = _stepped(exact, [shard], step, _with(out, *more), "EventTime")
+    return fused.withColumns({c: F.col(c).cast(schema[c].dataType) for c in whole})

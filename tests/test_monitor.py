@@ -132,6 +132,25 @@ def test_stream_fuse_trips_at_the_very_call(spark, tmp_path):
     assert waiting <= sum(c[2] >= passed for c in calls)
 
 
+def test_stream_fuse_takes_the_keys_of_a_shard_together(spark, tmp_path):
+    """300 keys wait in a few entries of the state, not in one per call; ids beyond 2**53 beside nulls stay exact."""
+    calls = [(m if m else None, 2 ** 60 + i if i else None, i * 60, Decimal(m % 3)) for m in range(300) for i in range(4)]
+    schema = "m long, id long, sec long, cost decimal(18,12)"
+    spark.createDataFrame(calls, schema).write.parquet(str(tmp_path / "in"))
+    stream = jobs.read_folder(spark, str(tmp_path / "in"), schema).withColumn("ts", F.timestamp_seconds("sec"))
+    fused = stateful.budget_fuse(stream, ["m"], ["ts", "id"], "ts", Decimal(3), delay="1 minute", shards=8)
+    assert fused.columns == [*stream.columns, "cumulative_cost", "fuse"] and fused.schema["id"].dataType.simpleString() == "bigint"
+    jobs.drain(fused, str(tmp_path / "job"))
+    got = {(r.m, r.id): (r.cumulative_cost, r.fuse) for r in jobs.output(spark, str(tmp_path / "job")).collect()}
+    want = {}
+    for m, i, sec, cost in calls:
+        if sec < 120:
+            total = cost * (1 + sec // 60)
+            want[m, i] = (total, "before" if total < 3 else "trip")
+    assert got == want
+    assert 0 < state_rows(spark, tmp_path / "job", "waiting").count() <= 8
+
+
 def test_cosine(spark):
     rows = [([1.0, 0.0], [1.0, 0.0], 1.0), ([1.0, 0.0], [0.0, 1.0], 0.0), ([1.0, 0.0], [-1.0, 0.0], -1.0), ([0.0, 0.0], [1.0, 1.0], 0.0)]
     df = spark.createDataFrame(rows, "a array<double>, b array<double>, want double")
