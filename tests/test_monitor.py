@@ -137,7 +137,7 @@ def test_stream_fuse_takes_the_keys_of_a_shard_together(spark, tmp_path):
     calls = [(m if m else None, 2 ** 60 + i if i else None, i * 60, Decimal(m % 3)) for m in range(300) for i in range(4)]
     schema = "m long, id long, sec long, cost decimal(18,12)"
     spark.createDataFrame(calls, schema).write.parquet(str(tmp_path / "in"))
-    stream = jobs.read_folder(spark, str(tmp_path / "in"), schema).withColumn("ts", F.timestamp_seconds("sec"))
+    stream = jobs.read_folder(spark, str(tmp_path / "in"), schema).withColumn("ts", F.timestamp_seconds(F.col("sec") + 1_000_000_000))
     fused = stateful.budget_fuse(stream, ["m"], ["ts", "id"], "ts", Decimal(3), delay="1 minute", shards=8)
     assert fused.columns == [*stream.columns, "cumulative_cost", "fuse"] and fused.schema["id"].dataType.simpleString() == "bigint"
     jobs.drain(fused, str(tmp_path / "job"))
