@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,13 +17,24 @@ from tallymill.operators.state import Snapshots
 from tallymill.plans.ordered import union_all
 
 BatchFunction = Callable[[pd.DataFrame], pd.Series]
+#: Bytes of prompts that are handed to a call at once; a longer prompt goes alone.
+PROMPT_BYTES = 1 << 20
+
+
+def _parts(batch: pa.RecordBatch, prompt: str) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batch`` in order, in parts of about PROMPT_BYTES of prompts: Spark's batches have any size."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(prompt)), 0).to_numpy(zero_copy_only=False)
+    number = (np.cumsum(sizes, dtype=np.int64) - sizes) // PROMPT_BYTES
+    starts = np.flatnonzero(np.diff(number, prepend=-1)).tolist()
+    for start, end in zip(starts, [*starts[1:], batch.num_rows]):
+        yield batch.slice(start, end - start)
 
 
 def refine(items: DataFrame, call: BatchFunction, rules: list[Rule], path: str, *, max_attempts: int = 3,
            item: str = "item_id", prompt: str = "prompt", callers: int | None = None) -> DataFrame:
     """All attempts at ``items``: item, attempt, output, passed, score, critique.
 
-    ``call`` gets Arrow batches with item, prompt, attempt and feedback and returns the outputs. Each
+    ``call`` gets frames with item, prompt, attempt and feedback and returns the outputs. Each
     round only sends the items that have not passed, with the names of the failed rules as feedback.
     Rounds are stored below ``path``: none is computed twice, and a job started again with the same
     path goes on after the last finished round. ``callers`` bounds the concurrent callers.
@@ -32,7 +46,12 @@ def refine(items: DataFrame, call: BatchFunction, rules: list[Rule], path: str,
 
     def ask(batches):
         for batch in batches:
-            yield batch.assign(output=call(batch))
+            for part in _parts(batch, prompt):
+                frame = part.to_pandas()
+                for zoned in frame.select_dtypes("datetimetz"):
+                    frame[zoned] = frame[zoned].dt.tz_localize(None)
+                output = frame.assign(output=call(frame))["output"]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(output, part.column(prompt).type, from_pandas=True)], [*part.schema.names, "output"])
 
     # The prompt and the last feedback travel with the row, so equal ids stay rows of their own.
     waiting = items.select(item, prompt, F.lit(None).cast("string").alias("feedback"))
@@ -44,7 +63,7 @@ def refine(items: DataFrame, call: BatchFunction, rules: list[Rule], path: str,
             sent = waiting.withColumn("attempt", F.lit(attempt))
             if callers is not None:
                 sent = sent.repartition(callers)
-            answered = sent.mapInPandas(ask, f"{item} {kind}, {prompt} string, feedback string, attempt int, output string")
+            answered = sent.mapInArrow(ask, f"{item} {kind}, {prompt} string, feedback string, attempt int, output string")
             checked = apply_rules(answered, rules)
             failed = F.map_keys(F.map_filter("rule_scores", lambda k, v: v < 1.0))
             rounds.write(checked.select(

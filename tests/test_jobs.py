@@ -220,6 +220,21 @@ def test_refine_goes_on_after_a_stop(spark, tmp_path):
     assert got == {i: next((("success", k) for k in (1, 2, 3) if (i + k) % 4 == 0), ("exhausted", 3)) for i in range(1, 8)}
 
 
+def test_refine_hands_long_prompts_out_in_small_parts(spark, tmp_path):
+    """Sixty prompts of 300 000 characters in one task: no call, and so no worker, holds them all; ids stay as they are."""
+    items = spark.range(60).coalesce(1).select(F.when(F.col("id") > 0, F.col("id") + 2 ** 60).alias("item_id"),
+                                               F.when(F.col("id") != 7, F.repeat(F.lit("x"), 300_000)).alias("prompt"))
+
+    def call(batch):
+        assert batch["prompt"].str.len().sum() < 2_000_000
+        return batch["prompt"].fillna("none")
+
+    made = refine(items, call, [Rule("expression", "length(output) > 4", name="long")], str(tmp_path / "r"), max_attempts=2)
+    got = {(r.item_id, r.attempt): r.n for r in made.select("item_id", "attempt", F.length("output").alias("n")).collect()}
+    lengths = {i: 4 if i == 7 else 300_000 for i in range(60)}
+    assert got == {(2 ** 60 + i if i else None, k): n for i, n in lengths.items() for k in ((1, 2) if i == 7 else (1,))}
+
+
 def test_refine_keeps_equal_ids_apart(spark, tmp_path):
     items = spark.createDataFrame([(1, "a"), (1, "bb"), (2, "a")], "item_id long, prompt string")
     made = refine(items, lambda batch: batch["prompt"], [Rule("expression", "length(output) > 5", name="long")], str(tmp_path / "r"), max_attempts=3)
