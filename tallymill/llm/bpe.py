@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.llm.chunks import LONGEST, REMEMBERED, ChunkEncoder
-from tallymill.llm.common import strings, text_udf
+from tallymill.llm.common import kept, strings, text_udf
 
 KNOWN_PAIRS = 1_000_000
 
@@ -204,14 +204,12 @@ class Codec:
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
-    """One codec per worker process."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+    """One codec per worker process, while no other operator works there."""
+    codecs = kept("codecs")
+    if (path, pattern) not in codecs:
+        codecs[path, pattern] = Codec(path, pattern)
+    return codecs[path, pattern]
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tallymill.llm.common import kept
+
 REMEMBERED = 300_000
 LONGEST = 64
 TOGETHER = 512
@@ -211,13 +213,10 @@ class FileTokenizer:
         return [data[b:e] for b, e in zip([0, *(s + 4 * gap for s in stops)], stops)]
 
 
-_LOADED: dict[tuple[str, bool, bool], ChunkEncoder] = {}
-
-
 def file_encoder(path: str, attached: bool, special_as_text: bool = False) -> ChunkEncoder:
-    """The encoder of a tokenizers file, one per worker process."""
-    key = path, attached, special_as_text
-    if key not in _LOADED:
+    """The encoder of a tokenizers file, one per worker process while no other operator works there."""
+    loaded, key = kept("chunks"), (path, attached, special_as_text)
+    if key not in loaded:
         tokenizer = FileTokenizer(path, special_as_text)
-        _LOADED[key] = ChunkEncoder(tokenizer, attached, 3 * REMEMBERED // 2, tokenizer.specials)
-    return _LOADED[key]
+        loaded[key] = ChunkEncoder(tokenizer, attached, 3 * REMEMBERED // 2, tokenizer.specials)
+    return loaded[key]

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.common import stored, strings, text_udf
+from tallymill.llm.common import kept, stored, strings, text_udf
 from tallymill.plans.ordered import first_rows
 
 #: Bounds of the model. Per language it learns from about SAMPLE_DOCS documents chosen by a hash of their id,
@@ -138,6 +138,7 @@ def _lang_table(counts: dict[str, Counter]) -> pa.RecordBatch:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept("langid")  # makes room
     for batch in batches:
         counts: dict[str, Counter] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), strings(batch.column("text"))):
@@ -212,6 +213,7 @@ def predictions(texts: DataFrame, model: Model, text: str = "text", name: str =
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.Array) -> pa.Array:
+        kept("langid")  # makes room
         found = []
         for at in range(0, len(batch), TEXTS_AT_ONCE):
             found += shared.value.predict_all(strings(batch.slice(at, TEXTS_AT_ONCE)))

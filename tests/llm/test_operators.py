@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallymill.llm import bpe, chunks, components, embeddings, html_wrappers, langid, licenses, line_dedup, packing, quality, rans, simhash
+from tallymill.llm import bpe, chunks, common, components, embeddings, html_wrappers, langid, licenses, line_dedup, packing, quality, rans, simhash
 from tallymill.session import fresh_path
 
 DIRECTORY = "/root/testdata/sf0.001"
@@ -709,3 +709,13 @@ def test_near_vectors_equal_all_pairs(spark, monkeypatch, cell, block):
     assert sorted(r for r in found if r[0] is not None) == [(i, n, g, k) for i, n, g, k in expected]
     assert [r for r in found if r[0] is None] == [(None, 0, None, False)]
     assert embeddings.near_vectors(table.limit(0)).count() == 0
+
+
+def test_a_worker_keeps_the_memory_of_one_operator():
+    """Tokenizers and their chunks go when language identification begins in the same worker, and the other way round."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = chunks.file_encoder(path, attached=True)
+    assert chunks.file_encoder(path, attached=True) is encoder
+    assert list(langid._word_counts(iter([]))) == [] and common.kept("langid") == {}
+    assert chunks.file_encoder(path, attached=True) is not encoder
+    assert encoder.encode(["a bc, a bc"]) == chunks.file_encoder(path, attached=True).encode(["a bc, a bc"])
