@@ -68,11 +68,12 @@ class ChunkEncoder:
         begins = parts.offsets.to_numpy()
         coded = parts.flatten().dictionary_encode()
         chunks, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
-        missing = set(chunks).difference(memory)
+        known = list(map(memory.get, chunks))
+        missing = {c for c, ids in zip(chunks, known) if ids is None}
         # Most chunks are one visible word; only the others are looked at closely.
         loose = {c for c in missing if (not c or c[0].isspace() or c[-1].isspace()) and _loose(c)} if self._attached else set()
         long = self._learn(memory, missing - loose)
-        ids = [memory.get(c, b"") for c in chunks]
+        ids = [memory.get(c, b"") if own is None else own for c, own in zip(chunks, known)]
         self._often.update(compress(chunks, np.bincount(index, minlength=len(chunks)) > 1))
         again = set()
         if self._attached:
@@ -218,5 +219,6 @@ def file_encoder(path: str, attached: bool, special_as_text: bool = False) -> Ch
     loaded, key = kept("chunks"), (path, attached, special_as_text)
     if key not in loaded:
         tokenizer = FileTokenizer(path, special_as_text)
-        loaded[key] = ChunkEncoder(tokenizer, attached, 3 * REMEMBERED // 2, tokenizer.specials)
+        # With its space and its case a word is more than one chunk.
+        loaded[key] = ChunkEncoder(tokenizer, attached, 3 * REMEMBERED if attached else 3 * REMEMBERED // 2, tokenizer.specials)
     return loaded[key]

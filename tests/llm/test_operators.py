@@ -719,3 +719,9 @@ def test_a_worker_keeps_the_memory_of_one_operator():
     assert list(langid._word_counts(iter([]))) == [] and common.kept("langid") == {}
     assert chunks.file_encoder(path, attached=True) is not encoder
     assert encoder.encode(["a bc, a bc"]) == chunks.file_encoder(path, attached=True).encode(["a bc, a bc"])
+
+
+def test_spaced_chunks_get_twice_the_room():
+    """Words with their space and case are more chunks than lower-case words, and stay as long."""
+    rooms = [chunks.file_encoder(public_tokenizers.path(name), attached)._room for name, attached in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False))]
+    assert rooms[0] == 2 * rooms[1] == 3 * chunks.REMEMBERED
